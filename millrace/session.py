@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     at = os.path.join(shared_dir(spark), f"millrace-{label}-{uuid.uuid4().hex}")
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, so that it need not be installed on them.
+
+    The archive lies in the shared folder where the session names one on a file system, else beside the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    folder = shared_dir(spark)
+    folder = folder[5:] if folder.startswith("file:") else folder
+    if "://" in folder:
+        folder = tempfile.mkdtemp(prefix="millrace-")
+    elif folder.startswith("//"):
+        folder = folder[2:]
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, f"millrace-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
