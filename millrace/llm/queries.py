@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import repetition
+from millrace.llm import encoding, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": repetition.p1_found,
         "p1_shares": repetition.p1_shares,
+        "p6_ids": encoding.p6_ids,
     }
 
 
