@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import encoding, packing, repetition
+from millrace.llm import credentials, encoding, packing, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": repetition.p1_found,
         "p1_shares": repetition.p1_shares,
+        "p2_found": credentials.p2_found,
+        "p2_redacted": credentials.p2_redacted,
         "p3_containers": packing.p3_containers,
         "p3_utilisation": packing.p3_utilisation,
         "p6_ids": encoding.p6_ids,
