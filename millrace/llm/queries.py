@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import credentials, encoding, packing, repetition
+from millrace.llm import credentials, encoding, packing, personal, repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_containers": packing.p3_containers,
         "p3_utilisation": packing.p3_utilisation,
         "p6_ids": encoding.p6_ids,
+        "p8_found": personal.p8_found,
+        "p8_redacted": personal.p8_redacted,
     }
 
 
