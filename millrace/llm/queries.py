@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import credentials, encoding, packing, personal, repetition
+from millrace.llm import credentials, encoding, packing, personal, repetition, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_redacted": credentials.p2_redacted,
         "p3_containers": packing.p3_containers,
         "p3_utilisation": packing.p3_utilisation,
+        "p4_found": truncation.p4_found,
+        "p4_rates": truncation.p4_rates,
         "p6_ids": encoding.p6_ids,
         "p8_found": personal.p8_found,
         "p8_redacted": personal.p8_redacted,

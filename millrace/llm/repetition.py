@@ -188,6 +188,10 @@ def model() -> boost.Forest:
     rng = np.random.default_rng(20240)
     made = [_compose(rng, "wide" if i % 3 == 0 else "spaced") for i in range(TRAINING_RECORDS)]
     made += [("=-~"[i % 3] * 2 * int(rng.integers(12, 90)), 0.95) for i in range(60)]
+    for i in range(120):  # a sentence, then a loop of symbols
+        text, _ = _compose(rng, "spaced")
+        loop = ("=-", "~", "* ", "\\quad ", "- ")[i % 5] * int(rng.integers(30, 120))
+        made.append((text[: 20 + i] + " " + loop, len(loop) / (len(loop) + 20 + i)))
     made += [(" ".join(["so", "we", "get", str(i), "think", "done"][: i % 7]), 0.0) for i in range(350)]  # short and whole
     return boost.fit(statistics([t for t, _ in made]), np.array([s for _, s in made]), MONOTONE)
 
