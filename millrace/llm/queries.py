@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import credentials, encoding, packing, personal, repetition, truncation
+from millrace.llm import credentials, encoding, packing, pairs, personal, repetition, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_utilisation": packing.p3_utilisation,
         "p4_found": truncation.p4_found,
         "p4_rates": truncation.p4_rates,
+        "p5_found": pairs.p5_found,
         "p6_ids": encoding.p6_ids,
         "p8_found": personal.p8_found,
         "p8_redacted": personal.p8_redacted,
