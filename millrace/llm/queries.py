@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import credentials, encoding, packing, pairs, personal, repetition, truncation
+from millrace.llm import credentials, encoding, leakage, packing, pairs, personal, repetition, truncation
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_rates": truncation.p4_rates,
         "p5_found": pairs.p5_found,
         "p6_ids": encoding.p6_ids,
+        "p7_found": leakage.p7_found,
         "p8_found": personal.p8_found,
         "p8_redacted": personal.p8_redacted,
     }
