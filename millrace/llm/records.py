@@ -59,31 +59,37 @@ def decode(ids: pa.Array, mask: pa.Array, pieces: pa.Array, tail: bool) -> pa.Ar
     return text
 
 
+def opened(b: pa.RecordBatch, known: pa.Array, prompts: bool) -> dict[str, pa.Array]:
+    """row_idx, data_source, n, response and, if wanted, prompt of one batch of rollouts."""
+    ids, mask = b.column("responses"), b.column("attention_mask")
+    flat, at = _flat(mask)
+    lengths = np.diff(ids.offsets.to_numpy())
+    total = np.concatenate(([0], np.cumsum(flat == 1)))
+    n = total[at[1:]] - total[np.maximum(at[1:] - lengths, at[:-1])]
+    out = {"row_idx": b.column("row_idx"), "data_source": b.column("data_source"), "n": pa.array(n, pa.int32()), "response": decode(ids, mask, known, True)}
+    if prompts:
+        out["prompt"] = decode(b.column("prompts"), mask, known, False)
+    return out
+
+
+def token_columns(prompts: bool) -> list[str]:
+    return ["row_idx", "data_source", "responses", "attention_mask"] + ["prompts"] * prompts
+
+
 def visible_texts(rollout: DataFrame, vocab: DataFrame, prompts: bool = False) -> DataFrame:
     """row_idx, data_source, n (visible tokens), response and, if wanted, prompt: decoded without special tokens.
 
     Repeated rows are kept as they are; a row without responses has a null text.
     """
     pieces = vocabulary(vocab)
-    keep = ["row_idx", "data_source", "responses", "attention_mask"] + ["prompts"] * prompts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.array(pieces, pa.string())
         for b in batches:
-            ids, mask = b.column("responses"), b.column("attention_mask")
-            text = decode(ids, mask, known, True)
-            flat, at = _flat(mask)
-            lengths = np.diff(ids.offsets.to_numpy())
-            total = np.concatenate(([0], np.cumsum(flat == 1)))
-            ends = at[1:]
-            n = total[ends] - total[np.maximum(ends - lengths, at[:-1])]
-            out = {"row_idx": b.column("row_idx"), "data_source": b.column("data_source"), "n": pa.array(n, pa.int32()), "response": text}
-            if prompts:
-                out["prompt"] = decode(b.column("prompts"), mask, known, False)
-            yield pa.RecordBatch.from_pydict(out)
+            yield pa.RecordBatch.from_pydict(opened(b, known, prompts))
 
     schema = "row_idx long, data_source string, n int, response string" + ", prompt string" * prompts
-    return rollout.select(*[F.col(c) for c in keep]).mapInArrow(run, schema)
+    return rollout.select(*token_columns(prompts)).mapInArrow(run, schema)
 
 
 def judged_pairs(evals: DataFrame) -> DataFrame:

@@ -25,6 +25,8 @@ MONOTONE = np.array([1] * len(RUNS) + [1, 1, 1, 0, 0, 0, 0])
 #: Composed training records; the bound on what the model is fitted on.
 TRAINING_RECORDS = 4000
 THRESHOLD = 0.4
+#: Records worked on at once in a worker.
+CHUNK = 2000
 
 
 def _repeated(key: np.ndarray) -> np.ndarray:
@@ -212,9 +214,8 @@ def measure(df: DataFrame, ids: list[str], text: str = "response") -> DataFrame:
     forest = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column("_text").to_pylist()]
-            share = np.clip(forest.score(statistics(texts)), 0, 1) if texts else np.zeros(0)
+        for b in (whole.slice(i, CHUNK) for whole in batches for i in range(0, whole.num_rows, CHUNK)):
+            share = np.clip(forest.score(statistics([t or "" for t in b.column("_text").to_pylist()])), 0, 1)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ids), pa.array(share)], [*ids, "share"])
 
     chosen = df.select(*ids, F.col(text).alias("_text"))
