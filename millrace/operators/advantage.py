@@ -1,29 +1,129 @@
-"""Group-relative advantages over the outcome score of each response.
+"""Advantages of responses: relative to their group, or along their tokens.
 
 A group is all rows of one prompt. Group figures come from an aggregate that is combined before its shuffle and joined
 back, so that a group holding a third of all rows never meets in one task. Null groups form a group of their own; null
-scores are left out of the group figures and get a null advantage.
+scores are left out of the group figures and get a null advantage. Names of a table that begin with _g_ would clash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import ragged
+from millrace.functions import sequences as Q
+
 EPSILON = 1e-6
 
 
 def with_group_figures(df: DataFrame, group: str, score: str) -> DataFrame:
-    """df with _n, _mean and _std (sample) of the score in each group. Names of df that start with _g_ would clash."""
-    figures = df.groupBy(F.col(group).alias("_g_key")).agg(F.count(score).alias("_n"), F.avg(score).alias("_mean"), F.stddev_samp(score).alias("_std"))
+    """df with _g_n, _g_mean and _g_std (sample) of the score in each group."""
+    figures = df.groupBy(F.col(group).alias("_g_key")).agg(F.count(score).alias("_g_n"), F.avg(score).alias("_g_mean"), F.stddev_samp(score).alias("_g_std"))
     return df.join(figures, df[group].eqNullSafe(figures["_g_key"]), "left").drop("_g_key")
 
 
 def _with(df: DataFrame, group: str, score: str, value: Column) -> DataFrame:
-    return with_group_figures(df, group, score).withColumn("advantage", value).drop("_n", "_mean", "_std")
+    return with_group_figures(df, group, score).withColumn("advantage", value).drop("_g_n", "_g_mean", "_g_std")
 
 
 def grpo(df: DataFrame, group: str, score: str, epsilon: float = EPSILON) -> DataFrame:
     """(s - mean) / (sample deviation + epsilon); a single row counts as mean 0 and deviation 1."""
     s = F.col(score)
-    return _with(df, group, score, F.when(F.col("_n") == 1, s / (1 + epsilon)).otherwise((s - F.col("_mean")) / (F.col("_std") + epsilon)))
+    return _with(df, group, score, F.when(F.col("_g_n") == 1, s / (1 + epsilon)).otherwise((s - F.col("_g_mean")) / (F.col("_g_std") + epsilon)))
+
+
+def rloo(df: DataFrame, group: str, score: str) -> DataFrame:
+    """(s - mean of the others); a single row keeps its score."""
+    s, n = F.col(score), F.col("_g_n")
+    return _with(df, group, score, F.when(n == 1, s).otherwise((s - F.col("_g_mean")) * n / F.nullif(n - 1, F.lit(0))))
+
+
+def baseline(df: DataFrame, group: str, score: str) -> DataFrame:
+    """s - mean; a single row keeps its score."""
+    s = F.col(score)
+    return _with(df, group, score, F.when(F.col("_g_n") == 1, s).otherwise(s - F.col("_g_mean")))
+
+
+def whitened(df: DataFrame, value: str, weight: str | None = None, shift_mean: bool = True) -> DataFrame:
+    """df with `whitened`: (v - mean) / sqrt(variance + 1e-8) over the whole table, each value `weight` times (tokens).
+
+    The mean is the weighted sum by the weights' sum + 1e-8, the variance is Bessel-corrected. One row of figures is
+    joined back; with fewer than two tokens the result is null.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    v = F.col(value)
+    moments = df.where(v.isNotNull()).agg(F.sum(w).alias("_g_w"), F.sum(v * w).alias("_g_s"))
+    means = moments.select("_g_w", (F.col("_g_s") / (F.col("_g_w") + 1e-8)).alias("_g_m"))
+    spread = df.where(v.isNotNull()).crossJoin(F.broadcast(means)).agg(F.first("_g_m").alias("_g_m"), F.first("_g_w").alias("_g_w"), F.sum((v - F.col("_g_m")) ** 2 * w).alias("_g_q"))
+    n = F.col("_g_w")
+    var = F.when(n > 1, F.col("_g_q") / (n + 1e-8) * n / F.nullif(n - 1, F.lit(0.0)))
+    figures = spread.select("_g_m", var.alias("_g_v"))
+    out = (v - F.col("_g_m")) / F.sqrt(F.col("_g_v") + 1e-8)
+    return df.crossJoin(F.broadcast(figures)).withColumn("whitened", out if shift_mean else out + F.col("_g_m")).drop("_g_m", "_g_v")
+
+
+def spread_over(mask: str) -> Callable[[Column], Column]:
+    """A scalar advantage on every token of the mask."""
+    return lambda a: F.transform(F.col(mask), lambda m: m.cast("double") * a)
+
+
+def remax_returns(rewards: str, mask: str) -> Column:
+    """Reverse running sum of rewards over the mask."""
+    return ragged.fold(lambda r, m: ragged.reverse_cumsum(r * m), rewards, mask)
+
+
+def remax(rewards: str, mask: str, reference: str) -> Column:
+    """remax_returns less the reference's score, over the mask."""
+    return F.zip_with(remax_returns(rewards, mask), F.transform(mask, lambda m: F.struct(m.cast("double").alias("m"), F.col(reference).alias("b"))), lambda r, p: r - p["b"] * p["m"])
+
+
+def discounted_returns(rewards: str, mask: str, gamma: float) -> Column:
+    """Returns that a 0 of the mask cuts off."""
+    return ragged.fold(lambda r, m: ragged.discounted(r, gamma, m), rewards, mask)
+
+
+def general_advantage(rewards: str, values: str, gamma: float, lam: float) -> Column:
+    """Generalised advantages, before whitening; returns are these plus the values."""
+    return ragged.fold(lambda r, v: ragged.general_advantage(r, v, gamma, lam), rewards, values)
+
+
+def weighted_rloo(df: DataFrame, position: str, samples: int, rewards: dict[str, float], mask: str) -> DataFrame:
+    """Leave-one-out over consecutive groups of `samples` rows, for several token rewards with weights: the weighted sum of
+    (masked mean of the row - mean of the others' masked means), as `advantage`."""
+    out = df.withColumn("_grp", F.expr(f"{position} div {samples}")).withColumn("advantage", F.lit(0.0))
+    for name, weight in rewards.items():
+        figures = out.select("*", Q.masked_mean(name, mask).alias("_own"))
+        sums = figures.groupBy("_grp").agg(F.sum("_own").alias("_sum"), F.count("_own").alias("_cnt"))
+        others = (F.col("_sum") - F.col("_own")) / F.nullif(F.col("_cnt") - 1, F.lit(0))
+        out = figures.join(sums, "_grp").withColumn("advantage", F.col("advantage") + weight * (F.col("_own") - F.coalesce(others, F.lit(0.0)))).drop("_own", "_sum", "_cnt")
+    return out.drop("_grp")
+
+
+#: Estimators over the outcome score by name.
+OUTCOME = {"grpo": grpo, "rloo": rloo, "reinforce_plus_plus_baseline": baseline}
+
+
+def outcome_advantage(df: DataFrame, estimator: str, group: str, score: str) -> DataFrame:
+    """The estimator's advantage of each row; an unknown name is an error."""
+    if estimator not in OUTCOME:
+        raise ValueError(f"no estimator {estimator}; there are {sorted(OUTCOME)}")
+    return OUTCOME[estimator](df, group, score)
+
+
+def varied_groups(df: DataFrame, group: str, metric: str) -> DataFrame:
+    """Rows of groups whose metric varies (population deviation above 0) or that have one row."""
+    figures = df.groupBy(F.col(group).alias("_g_key")).agg(F.stddev_pop(metric).alias("_g_std"), F.count("*").alias("_g_n"))
+    kept = figures.where("_g_std > 0 or _g_n = 1").select("_g_key")
+    return df.join(kept, df[group].eqNullSafe(kept["_g_key"]), "left_semi")
+
+
+def band_groups(df: DataFrame, group: str, accuracy: str, low: float, high: float, length: str | None = None, longest: int | None = None) -> DataFrame:
+    """`keep` for each row: its group's mean accuracy lies in [low, high] and its longest response stays below longest - 1."""
+    figures = [F.avg(accuracy).alias("_g_acc")] + ([F.max(length).alias("_g_len")] if length else [])
+    by = df.groupBy(F.col(group).alias("_g_key")).agg(*figures)
+    keep = F.col("_g_acc").between(low, high)
+    if length and longest is not None:
+        keep &= F.col("_g_len") < longest - 1
+    return df.join(by, df[group].eqNullSafe(by["_g_key"]), "left").withColumn("keep", F.coalesce(keep, F.lit(False))).drop("_g_key", "_g_acc", "_g_len")
