@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,10 +18,12 @@ def sizes(n: int) -> list[int]:
     return [2**k for k in range(1, 40) if 2**k < n] + [n]
 
 
-def resampled(values: np.ndarray, size: int, draws: int = 1000, seed: int = 42) -> np.ndarray:
-    """Indices of `draws` samples with replacement, the same for each call: numpy's old generator, one draw at a time."""
+@lru_cache(maxsize=256)
+def resampled(n: int, size: int, draws: int = 1000, seed: int = 42) -> np.ndarray:
+    """Indices of `draws` samples of n with replacement: numpy's old generator, seeded anew for each call, one draw at a
+    time. They depend on no value, so prompts of one size share them."""
     rng = np.random.RandomState(seed)
-    return np.stack([rng.choice(len(values), size=size, replace=True) for _ in range(draws)])
+    return np.stack([rng.choice(n, size=size, replace=True) for _ in range(draws)])
 
 
 def expected_best(values: np.ndarray, size: int) -> float:
@@ -31,13 +35,11 @@ def expected_best(values: np.ndarray, size: int) -> float:
 
 def majority_value(values: np.ndarray, votes: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """For each draw the value of the first pick of the most frequent vote; of equal ones the one seen first."""
-    out = np.empty(len(picks))
-    for i, row in enumerate(picks):
-        counts: dict[object, list[int]] = {}
-        for k in row:
-            counts.setdefault(votes[k], []).append(k)
-        out[i] = values[max(counts.values(), key=len)[0]]
-    return out
+    code = pd.factorize(pd.Series(votes, dtype=object), use_na_sentinel=False)[0][picks]
+    counts = np.zeros((len(picks), code.max() + 1), np.int64)
+    np.add.at(counts, (np.arange(len(picks))[:, None], code), 1)
+    first = np.take_along_axis(counts, code, 1).argmax(1)  # the earliest pick whose vote is the most frequent
+    return values[picks[np.arange(len(picks)), first]]
 
 
 def best_of(df: DataFrame, source: str, prompt: str, variable: str, value: str, order: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
@@ -54,7 +56,7 @@ def best_of(df: DataFrame, source: str, prompt: str, variable: str, value: str,
         if n > 1:
             out.append((f"std@{n}", v.std()))
             for size in sizes(n):
-                picks = resampled(v, size, draws, seed)
+                picks = resampled(n, size, draws, seed)
                 drawn = v[picks]
                 kinds = [("best", drawn.max(1)), ("worst", drawn.min(1))]
                 if vote:

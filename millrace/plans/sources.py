@@ -49,9 +49,8 @@ def external_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("masked_functions")
 def masked_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every function of every file that parses, with its masked file and a running id by file and place."""
-    f = table(spark, sf_dir, "py_files").select("sample_id", "code_content", F.array_distinct(C.names_column("code_content")).alias("names"))
-    e = f.select("sample_id", "code_content", F.posexplode("names").alias("pos", "name"))
-    e = e.select("sample_id", "pos", "name", C.extracted_column("code_content", "name").alias("x")).where("x is not null")
+    f = table(spark, sf_dir, "py_files").select("sample_id", F.posexplode(C.every_function_column("code_content")).alias("pos", "x"))
     from millrace.operators import frame
+    from millrace.session import written
 
-    return frame.positions(e.select("sample_id", "pos", "name", "x.*"), "sample_id", "pos", name="function_id")
+    return frame.positions(written(f.select("sample_id", "pos", "x.*"), "functions"), "sample_id", "pos", name="function_id")
