@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,26 +44,57 @@ def utf8_or_empty(content: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(content.cast("string")), F.lit(""))
 
 
-def _root(spark: SparkSession, path: str) -> str:
-    """The folder as file names will show it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+def _folders(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(name, address) of the folders right below a root."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted((f.getPath().getName(), f.getPath().toString()) for f in found if f.isDirectory())
+
+
+def _opened(address: str):  # noqa: ANN202
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address if "//" in address else address.replace(":", "://", 1))
 
 
 def source_tree(spark: SparkSession, root: str, pruning: str = "named", suffix: str = ".py") -> DataFrame:
     """repo_folder, file_path (below the repository, with slashes, beginning with one), content (bytes) of a folder of
     repositories. pruning 'named': folders in PRUNED or with a leading point are left out, by whole name; 'cache': only
-    paths with __pycache__ are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
-    below = F.regexp_replace(F.substring("path", len(_root(spark, root)) + 1, 1 << 20), "^/+", "")
-    parts = F.split(below, "/", -1)
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    if pruning == "named":
-        keep = ~F.exists(F.slice(folders, 2, F.size(folders)), lambda d: d.isin(*PRUNED) | F.startswith(d, F.lit(".")))
-    else:
-        keep = ~F.contains(below, F.lit("__pycache__"))
-    rows = files.select(F.get(parts, F.lit(0)).alias("repo_folder"), F.concat(F.lit("/"), F.array_join(F.slice(parts, 2, F.size(parts)), "/")).alias("file_path"), "content", keep.alias("_keep"), F.size(parts).alias("_n"))
-    return rows.where("_keep and _n > 1").drop("_keep", "_n")
+    paths with __pycache__ are.
+
+    Spark's own file sources pass over names that begin with an underscore, as `__init__.py` does, so the workers walk the
+    repositories themselves, one a row, and read the files after they are spread evenly, so that no large repository
+    stays in one task.
+    """
+    from pyarrow import fs
+
+    folders = spark.createDataFrame(_folders(spark, root), "repo_folder string, address string")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, address in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                system, top = _opened(address)
+                rest, paths = [top], []
+                while rest:
+                    for f in system.get_file_info(fs.FileSelector(rest.pop())):
+                        if f.type == fs.FileType.Directory:
+                            if f.base_name not in PRUNED and not f.base_name.startswith(".") if pruning == "named" else "__pycache__" not in f.base_name:
+                                rest.append(f.path)
+                        elif f.base_name.endswith(suffix) and (pruning == "named" or "__pycache__" not in f.base_name):
+                            paths.append(f.path)
+                n = len(paths)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array([address] * n, pa.string()), pa.array(paths, pa.string()), pa.array([p[len(top) :] for p in paths], pa.string())], ["repo_folder", "address", "place", "file_path"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):
+            contents = []
+            for address, place in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                with _opened(address)[0].open_input_stream(place) as f:
+                    contents.append(f.read())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(contents, pa.binary())], ["repo_folder", "file_path", "content"])
+
+    places = folders.repartition(max(1, min(folders.count(), 200)), "repo_folder").mapInArrow(walk, "repo_folder string, address string, place string, file_path string")
+    return places.repartition(F.xxhash64("place")).mapInArrow(read, "repo_folder string, file_path string, content binary")
 
 
 def repository_id(folder: Column) -> Column:

@@ -38,7 +38,9 @@ def accumulated(batches: list[DataFrame], keep: Callable[[DataFrame], DataFrame]
 
 def windowed_metrics(events: DataFrame, time: str, key: str, value: str, window: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Count and mean of a value by key and tumbling window of event time; rows later than `late` are left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), key, "n", "mean")
+    if not any("spark.watermarkDelayMs" in f.metadata for f in events.schema):  # a watermark can't be set twice
+        events = events.withWatermark(time, late)
+    return events.groupBy(F.window(time, window), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), key, "n", "mean")
 
 
 def deduplicated(rows: DataFrame, key: str, time: str, late: str = "2 days") -> DataFrame:
