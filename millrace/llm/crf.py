@@ -70,47 +70,76 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def fit(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, values: int, labels: int, rounds: int = 90, rate: float = 0.25, ridge: float = 2e-5) -> Chain:
-    """Maximises the conditional likelihood by Adam over the whole table; every line has at least one token."""
-    model = Chain(np.zeros((values, labels), np.float32), np.zeros((labels, labels), np.float32), np.zeros(labels, np.float32))
+@dataclass
+class _Shard:
+    features: np.ndarray
+    gold: np.ndarray
+    lengths: np.ndarray
+    reach: np.ndarray
+    begin: np.ndarray
+    begins: np.ndarray
+    pairs: np.ndarray
+    rows: np.ndarray
+    edges: np.ndarray
+    keys: np.ndarray
+    seen: np.ndarray
+
+
+def _shard(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, labels: int) -> _Shard:
+    line = np.repeat(np.arange(len(lengths)), lengths)
+    keep = chosen[line]
+    features, gold, lengths = features[keep], gold[keep], lengths[chosen]
     order, reach, begins = _layout(lengths)
-    begin = begins[order]
-    flat = features.reshape(-1)
-    width = features.shape[1]
     first = np.zeros(len(features), bool)
     first[begins] = True
     pairs = np.flatnonzero(~first)
-    one = np.eye(labels, dtype=np.float32)
-    seen_pairs = np.zeros((labels, labels))
-    np.add.at(seen_pairs, (gold[pairs - 1], gold[pairs]), 1)
-    moments = [np.zeros_like(p) for p in (model.emission, model.transition, model.start)]
-    squares = [np.zeros_like(p) for p in moments]
+    seen = np.zeros((labels, labels))
+    np.add.at(seen, (gold[pairs - 1], gold[pairs]), 1)
+    flat = features.reshape(-1)
     by = np.argsort(flat, kind="stable")
     edges = np.flatnonzero(np.concatenate(([True], flat[by][1:] != flat[by][:-1])))
-    keys, rows = flat[by][edges], by // width
-    for r in range(1, rounds + 1):
-        e = scores(model, features)
-        alpha = np.zeros_like(e)
-        alpha[begin] = model.start + e[begin]
-        for t in range(1, len(reach)):
-            at = begin[: reach[t]] + t
-            alpha[at] = e[at] + _logsum(alpha[at - 1][:, :, None] + model.transition, 1)
-        beta = np.zeros_like(e)
-        for t in range(len(reach) - 1, 0, -1):
-            at = begin[: reach[t]] + t
-            beta[at - 1] = _logsum(model.transition + (e[at] + beta[at])[:, None, :], 2)
-        z = _logsum(alpha[begins] + beta[begins], 1)
-        line = np.repeat(np.arange(len(lengths)), lengths)
-        marginal = np.exp(alpha + beta - z[line][:, None])
-        joint = np.exp(alpha[pairs - 1][:, :, None] + model.transition + (e[pairs] + beta[pairs])[:, None, :] - z[line[pairs]][:, None, None]).sum(0)
-        gap = one[gold] - marginal
-        sums = np.add.reduceat(gap[rows], edges, 0)
-        g_emission = np.zeros_like(model.emission)
-        g_emission[keys] = sums
-        n = len(lengths)
-        for k, (p, g) in enumerate(((model.emission, g_emission), (model.transition, seen_pairs - joint), (model.start, gap[begins].sum(0)))):
-            g = g / n - ridge * n * p / n
-            moments[k] += 0.1 * (g - moments[k])
-            squares[k] += 0.01 * (g * g - squares[k])
-            p += (rate * 0.99**r * (moments[k] / (1 - 0.9**r)) / (np.sqrt(squares[k] / (1 - 0.99**r)) + 1e-8)).astype(np.float32)
+    return _Shard(features, gold, lengths, reach, begins[order], begins, pairs, by // features.shape[1], edges, flat[by][edges], seen)
+
+
+def _gradients(model: Chain, s: _Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean gradient over a shard's lines: (rows of the emission table, their gradients, transition, start)."""
+    labels = len(model.start)
+    e = scores(model, s.features)
+    alpha = np.zeros_like(e)
+    alpha[s.begin] = model.start + e[s.begin]
+    for t in range(1, len(s.reach)):
+        at = s.begin[: s.reach[t]] + t
+        alpha[at] = e[at] + _logsum(alpha[at - 1][:, :, None] + model.transition, 1)
+    beta = np.zeros_like(e)
+    for t in range(len(s.reach) - 1, 0, -1):
+        at = s.begin[: s.reach[t]] + t
+        beta[at - 1] = _logsum(model.transition + (e[at] + beta[at])[:, None, :], 2)
+    z = np.repeat(_logsum(alpha[s.begins] + beta[s.begins], 1), s.lengths)
+    marginal = np.exp(alpha + beta - z[:, None])
+    joint = np.exp(alpha[s.pairs - 1][:, :, None] + model.transition + (e[s.pairs] + beta[s.pairs])[:, None, :] - z[s.pairs][:, None, None]).sum(0)
+    gap = np.eye(labels, dtype=np.float32)[s.gold] - marginal
+    n = len(s.lengths)
+    return s.keys, np.add.reduceat(gap[s.rows], s.edges, 0) / n, (s.seen - joint) / n, gap[s.begins].sum(0) / n
+
+
+def fit(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, values: int, labels: int, rounds: int = 26, shards: int = 6, rate: float = 0.12, ridge: float = 2e-5) -> Chain:
+    """Maximises the conditional likelihood by Adam over shards of the lines; every line has at least one token."""
+    model = Chain(np.zeros((values, labels), np.float32), np.zeros((labels, labels), np.float32), np.zeros(labels, np.float32))
+    parts = [_shard(features, gold, lengths, np.arange(len(lengths)) % shards == k, labels) for k in range(shards)]
+    tables = (model.emission, model.transition, model.start)
+    moments = [np.zeros_like(p) for p in tables]
+    squares = [np.zeros_like(p) for p in tables]
+    step = 0
+    for r in range(rounds):
+        for part in parts:
+            step += 1
+            keys, g_emission, g_transition, g_start = _gradients(model, part)
+            pace = rate * 0.93**r / (1 - 0.9**step)
+            rest = 1 - 0.99**step
+            for k, (rows, g) in enumerate(((keys, g_emission), (slice(None), g_transition), (slice(None), g_start))):
+                p, m, q = tables[k], moments[k], squares[k]
+                g = (g - ridge * p[rows]).astype(np.float32)
+                m[rows] += 0.1 * (g - m[rows])
+                q[rows] += 0.01 * (g * g - q[rows])
+                p[rows] += pace * m[rows] / (np.sqrt(q[rows] / rest) + 1e-8)
     return model
