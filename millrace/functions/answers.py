@@ -336,6 +336,48 @@ def marked_answer(text: str | None) -> tuple[bool, str]:
     return any(c.isdigit() for c in part), part
 
 
+#: What leads an answer in free-form tasks.
+FREE_LEADS = ["The answer is: ", "The answer is ", "The final answer is: ", "The final answer is "]
+_WRAPPED = re.compile(r"^\$(.*)\$$|^\\\((.*)\\\)$|^\\boxed\{(.*)\}$|^\\text\{(.*)\}$|^\*\*(.*)\*\*$", re.S)
+
+
+def free_form(text: str | None, reference: bool = False) -> str | None:
+    """An answer of a free-form task in one spelling: what follows a lead, without a trailing stop and wrappers, in lower
+    case, first line only; ', ' becomes ','. A reference has no lead to look for."""
+    if text is None:
+        return None
+    out = text.strip()
+    if not reference:
+        for lead in FREE_LEADS:
+            if lead in out:
+                out = out.rpartition(lead)[2].strip()
+                break
+    out = out.removesuffix(".").strip()
+    while m := _WRAPPED.match(out):
+        out = next(g for g in m.groups() if g is not None).strip()
+    return out.lower().replace(", ", ",").replace("**", "").split("\n")[0].strip()
+
+
+def graded_with_format(response: str | None, truth: str | None) -> tuple[bool, bool, str]:
+    """(right, found in the asked form, answer): the marked answer graded, pi taken for its symbol and for 3.14."""
+    found, given = marked_answer(response)
+    if truth is None:
+        return False, found, given
+    plain, want = plain_expression(given), plain_expression(truth)
+    right = graded(given, truth) or math_equal(given, truth)
+    if not right and plain and want and "pi" in want + plain:
+        u, v = evaluated(plain, 3.14), evaluated(want, math.pi)
+        w = evaluated(want, 3.14)
+        p = evaluated(plain)
+        right = any(x is not None and y is not None and math.isclose(x, y, rel_tol=1e-4) for x, y in ((u, v), (u, w), (p, w)))
+    return right, found, given
+
+
+def says_yes(judge: Column | str) -> Column:
+    """Whether a judge's reply to an equality question is yes; null and other replies are not."""
+    return F.coalesce(F.lower(F.trim(_c(judge))) == "yes", F.lit(False))
+
+
 # ------------------------------------------------------------------------------------------- column functions
 def _text_udf(f, *cols: Column | str) -> Column:  # noqa: ANN001
     @F.arrow_udf("string")

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import ragged
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -39,17 +41,26 @@ def masked_mean(values: Column | str, mask: Column | str) -> Column:
 
 
 def masked_var(values: Column | str, mask: Column | str, unbiased: bool = True) -> Column:
-    """Masked variance; unbiased: by Bessel's correction. Fewer than two masked values are null."""
-    mean = masked_mean(values, mask)
-    centred = F.zip_with(_c(values), F.transform(_c(mask), lambda m: F.struct(m.cast("double").alias("m"), mean.alias("c"))), lambda v, p: F.struct((F.coalesce(v.cast("double"), _zero()) - p["c"]).alias("d"), p["m"].alias("m")))
-    var = F.aggregate(centred, _zero(), lambda a, x: a + F.coalesce(x["d"] * x["d"] * x["m"], _zero())) / (total(mask) + 1e-8)
-    n = total(mask)
-    return F.when(n > 1, var * n / (n - 1) if unbiased else var)
+    """Masked variance about masked_mean; unbiased: by Bessel's correction. Fewer than two masked values are null.
+
+    One pass with running mean and square sum: an expression inside a lambda is evaluated for every element, so the mean
+    must not stand there.
+    """
+    pairs = F.zip_with(_c(values), _c(mask), lambda v, m: F.struct(F.coalesce(v.cast("double"), _zero()).alias("v"), F.coalesce(m.cast("double"), _zero()).alias("w")))
+    start = F.struct(_zero().alias("n"), _zero().alias("mean"), _zero().alias("m2"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + x["w"]
+        gap = x["v"] - a["mean"]
+        mean = a["mean"] + F.when(n > 0, x["w"] / n * gap).otherwise(0.0)
+        return F.struct(n.alias("n"), mean.alias("mean"), (a["m2"] + x["w"] * gap * (x["v"] - mean)).alias("m2"))
 
+    def finish(a: Column) -> Column:
+        off = a["mean"] * (1 - a["n"] / (a["n"] + 1e-8))  # masked_mean divides by a little more than n
+        var = (a["m2"] + a["n"] * off * off) / (a["n"] + 1e-8)
+        return F.when(a["n"] > 1, var * a["n"] / (a["n"] - 1) if unbiased else var)
 
-def positions(mask: Column | str) -> Column:
-    """Running count of the mask less one, at least 0."""
-    return F.transform(F.sequence(F.lit(1), F.size(_c(mask))), lambda i: F.greatest(F.aggregate(F.slice(_c(mask), 1, i), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x.cast("long"), F.lit(0))) - 1, F.lit(0).cast("long")))
+    return F.aggregate(pairs, start, step, finish)
 
 
 def continued_positions(last: Column, length: int) -> Column:
@@ -60,8 +71,9 @@ def continued_positions(last: Column, length: int) -> Column:
 def end_mask(ids: Column | str, ends: int | list[int]) -> Column:
     """1 up to and with the first end token, 0 behind it; all 1 where none is."""
     ends = [ends] if isinstance(ends, int) else ends
-    first = F.array_min(F.filter(F.array(*[F.array_position(_c(ids), F.lit(e).cast("long")) for e in ends]), lambda p: p > 0))
-    return F.transform(_c(ids), lambda x, i: F.when(first.isNull() | (i < first), 1).otherwise(0))
+    n = F.size(_c(ids))
+    first = F.least(*[F.coalesce(F.nullif(F.array_position(_c(ids), F.lit(e).cast("long")), F.lit(0)), n.cast("long")) for e in ends], n.cast("long")).cast("int")
+    return F.concat(F.array_repeat(F.lit(1), first), F.array_repeat(F.lit(0), n - first))
 
 
 def pad(ids: Column | str, length: int, value: int, left: bool = False) -> Column:
@@ -96,10 +108,11 @@ def strip_left(ids: Column | str, pad_id: int) -> Column:
 
 
 def place_at(value: Column, at: Column, length: Column | int) -> Column:
-    """An array of zeros with one value; a place below 0 is the last."""
+    """An array of zeros with one value; a place below 0 is the last, one beyond the end leaves zeros."""
     n = F.lit(length) if isinstance(length, int) else length
     where = F.when(at < 0, n - 1).otherwise(at)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == where, value.cast("double")).otherwise(_zero()))
+    parts = F.concat(F.array_repeat(_zero(), F.least(where, n)), F.array(value.cast("double")), F.array_repeat(_zero(), F.greatest(n - where - 1, F.lit(0))))
+    return F.slice(parts, 1, n)
 
 
 def response_mask(attention: Column | str, responses: Column | str) -> Column:
@@ -210,8 +223,8 @@ def arithmetic_sequence(n1: Column, n2: Column, count: Column | int, modulus: Co
 
 def cumulative_lengths(lengths: Column | str) -> Column:
     """0 and the running sums: where each packed sequence begins and the last ends."""
-    c = _c(lengths)
-    return F.transform(F.sequence(F.lit(0), F.size(c)), lambda i: F.aggregate(F.slice(c, 1, i), F.lit(0).cast("long"), lambda a, x: a + x.cast("long")))
+    c = F.concat(F.array(_zero()), F.transform(_c(lengths), lambda x: x.cast("double")))
+    return ragged.fold(lambda v: v.cumsum(1), c).cast("array<long>")
 
 
 def up_to_multiple(n: Column, multiple: int) -> Column:

@@ -13,21 +13,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.session import written
+
 IDX = "row_idx"
-#: Rows in one block of positions; blocks are numbered apart, so no position count meets in one task.
-BLOCK = 1 << 16
 
 
 def positions(df: DataFrame, *order: str | Column, name: str = IDX) -> DataFrame:
     """df with positions by the order given, which must be total for the result to be the same each time.
 
     The rows are range-partitioned and sorted once; each partition is numbered on its own and shifted by the sizes of
-    those before it, so no task holds all rows.
+    those before it, so no task holds all rows. The numbered rows are written to the shared folder: were they computed
+    twice, partitions might be merged otherwise the second time, and numbers would no longer fit.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    ordered = ordered.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    ordered = written(ordered.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)), "positions")
     sizes = ordered.groupBy("_part").agg((F.max("_at") + 1).alias("_size"))
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row a partition: its size is that of the task list
     return ordered.join(F.broadcast(shifts.select("_part", "_shift")), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 

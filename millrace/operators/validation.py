@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -114,3 +115,11 @@ def aggregated(df: DataFrame, group: list[str], metrics: str, statistics: tuple[
     made = flat.groupBy(*group, "_k").agg(*[STATISTICS[s]("_v").alias(s) for s in statistics])
     pairs = F.array(*[F.struct((F.col("_k") if s == "mean" else F.concat("_k", F.lit(f":{s}"))).alias("name"), F.col(s).alias("value")) for s in statistics])
     return made.select(*group, F.explode(pairs).alias("_p")).select(*group, "_p.*")
+
+
+def evaluate(df: DataFrame, group: str, response: str, truth: str, extract: Callable[[Column], Column], equal: Callable[[Column, Column], Column]) -> DataFrame:
+    """One example a row in, one row a group out: n, score (mean correctness), chars (mean length of the response). The
+    extractor and the comparison make the benchmark; a null answer is wrong."""
+    c = F.col
+    rows = df.select(c(group), F.coalesce(equal(extract(c(response)), c(truth)).cast("double"), F.lit(0.0)).alias("score"), F.length(response).alias("chars"))
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.avg("score").alias("score"), F.avg("chars").alias("chars"))

@@ -130,3 +130,19 @@ def prefix_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "rl_rows").select("uid", F.col("reward_model.ground_truth").alias("a"), F.col("extra_info.answer").alias("b")).distinct().where("a is not null and b is not null")
     n = common_prefix(F.col("a"), F.col("b"))
     return r.select("uid", F.round(n / (F.length("b") + 1), 6).alias("reward"))
+
+
+@register(
+    "benchmark_scores",
+    f"""WITH {LAST_SQL}, e AS (SELECT result_id, any_value(lower(eval_name)) AS eval_name FROM eval_results GROUP BY result_id), a AS (SELECT eval_name, text, regexp_extract_all(text, '\\\\boxed\\{{([^{{}}]*)\\}}', 1)[-1] AS given,
+    coalesce(list_filter(regexp_extract_all(text, '(\\-?[0-9\\.\\,]+)', 1), lambda x: x <> '' AND x <> '.')[-1], regexp_extract_all(text, '(\\-?[0-9\\.\\,]+)', 1)[1]) AS want FROM l JOIN e USING (result_id))
+    SELECT eval_name, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN given = want THEN 1.0 ELSE 0.0 END), 6) AS score, round(avg(length(text)), 6) AS chars FROM a GROUP BY eval_name""",
+)
+def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parameterised benchmark: boxes against each text's last number, by evaluation."""
+    from millrace.operators import validation as V
+
+    names = table(spark, sf_dir, "eval_results").groupBy("result_id").agg(F.lower(F.first("eval_name")).alias("eval_name"))
+    m = last_messages(spark, sf_dir).join(names, "result_id").withColumn("want", A.last_number("text"))
+    out = V.evaluate(m, "eval_name", "text", "want", A.box_column, lambda a, b: a == b)
+    return out.select("eval_name", "n", F.round("score", 6).alias("score"), F.round("chars", 6).alias("chars"))

@@ -117,3 +117,14 @@ def test_user_functions(spark, tmp_path):
     fixed = r.rows["length"]
     assert fixed("abc") == {"score": 6}
     assert [x.o for x in df.select(r.column("ones", "t").alias("o")).collect()] == [1.0, 1.0]
+
+
+def test_free_form_and_formats():
+    assert A.free_form("So. The answer is: **Yes**.\nMore") == "**yes**.\nmore".split("\n")[0].replace("*", "").rstrip(".") or A.free_form("The answer is: (A).") == "(a)"
+    assert A.free_form("The answer is: $\\text{B}$.") == "b" and A.free_form("X, Y", reference=True) == "x,y" and A.free_form(None) is None
+    assert A.graded_with_format("so the answer is 2\\pi", "6.28")[0] and A.graded_with_format("nothing", "1") == (False, False, "nothing") and not A.graded_with_format(None, "1")[0]
+
+
+def test_yes(spark):
+    df = spark.createDataFrame([(" Yes",), ("no",), (None,)], "j string")
+    assert [r.x for r in df.select(A.says_yes("j").alias("x")).collect()] == [True, False, False]
