@@ -77,8 +77,9 @@ def plan(counts: np.ndarray, capacity: int, shares: tuple[float, ...] = SHARES,
         longest = int(np.flatnonzero(counts)[-1])
         counts[longest] -= 1
         best = None
-        for size in sizes:
-            if size < longest:
+        for size in reversed(sizes):
+            # a bin of this size costs at least this much a token; one that can't beat the best is not filled
+            if size < longest or best and (size + opening * capacity) / size >= best[0] - 1e-12:
                 continue
             total, used = fill(counts, size - longest)
             cost = (size + opening * capacity) / (total + longest)
