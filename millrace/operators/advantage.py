@@ -49,19 +49,17 @@ def baseline(df: DataFrame, group: str, score: str) -> DataFrame:
 def whitened(df: DataFrame, value: str, weight: str | None = None, shift_mean: bool = True) -> DataFrame:
     """df with `whitened`: (v - mean) / sqrt(variance + 1e-8) over the whole table, each value `weight` times (tokens).
 
-    The mean is the weighted sum by the weights' sum + 1e-8, the variance is Bessel-corrected. One row of figures is
-    joined back; with fewer than two tokens the result is null.
+    The mean is the weighted sum by the weights' sum + 1e-8, the variance is Bessel-corrected; with fewer than
+    two tokens the result is null.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     v = F.col(value)
-    moments = df.where(v.isNotNull()).agg(F.sum(w).alias("_g_w"), F.sum(v * w).alias("_g_s"))
-    means = moments.select("_g_w", (F.col("_g_s") / (F.col("_g_w") + 1e-8)).alias("_g_m"))
-    spread = df.where(v.isNotNull()).crossJoin(F.broadcast(means)).agg(F.first("_g_m").alias("_g_m"), F.first("_g_w").alias("_g_w"), F.sum((v - F.col("_g_m")) ** 2 * w).alias("_g_q"))
-    n = F.col("_g_w")
-    var = F.when(n > 1, F.col("_g_q") / (n + 1e-8) * n / F.nullif(n - 1, F.lit(0.0)))
-    figures = spread.select("_g_m", var.alias("_g_v"))
-    out = (v - F.col("_g_m")) / F.sqrt(F.col("_g_v") + 1e-8)
-    return df.crossJoin(F.broadcast(figures)).withColumn("whitened", out if shift_mean else out + F.col("_g_m")).drop("_g_m", "_g_v")
+    known = df.where(v.isNotNull())
+    mean = known.agg(F.sum(v * w) / (F.sum(w) + 1e-8)).scalar()  # a scalar subquery: one value, no join
+    n = F.sum(w)
+    var = known.agg(F.when(n > 1, F.sum((v - mean) ** 2 * w) / (n + 1e-8) * n / F.nullif(n - 1, F.lit(0.0)))).scalar()
+    out = (v - mean) / F.sqrt(var + 1e-8)
+    return df.withColumn("whitened", out if shift_mean else out + mean)
 
 
 def spread_over(mask: str) -> Callable[[Column], Column]:

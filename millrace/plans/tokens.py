@@ -233,8 +233,9 @@ def overlong_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values whitened over all masked tokens of the table; shown as the sum over each row."""
     r = rows(spark, sf_dir, "critic_values").where("critic_values is not null")
-    s = r.select("row_idx", Q.masked_sum("critic_values", "mask").alias("s"), Q.total("mask").alias("n"), F.col("critic_values"), "mask")
-    mean = s.agg((F.sum("s") / (F.sum("n") + 1e-8)).alias("centre"), F.sum("n").alias("all"))
-    square = F.aggregate(F.zip_with("critic_values", "mask", lambda v, m: F.struct(v.cast("double").alias("v"), m.alias("m"))), F.lit(0.0), lambda a, p: a + F.coalesce((p["v"] - F.col("centre")) ** 2 * p["m"], F.lit(0.0)))
-    spread = s.crossJoin(F.broadcast(mean)).agg(F.first("centre").alias("mean"), (F.sum(square) / (F.first("all") + 1e-8) * F.first("all") / (F.first("all") - 1)).alias("var"))
-    return s.crossJoin(F.broadcast(spread)).select("row_idx", F.round((F.col("s") - F.col("n") * F.col("mean")) / F.sqrt(F.col("var") + 1e-8), 5).alias("whitened"))
+    s = r.select("row_idx", Q.masked_sum("critic_values", "mask").alias("s"), Q.total("mask").alias("n"), Q.masked_sum(F.transform("critic_values", lambda v: v * v), "mask").alias("q"))
+    # moments of each row add up, so no token is read twice; the scalars are subqueries, not joins
+    total, n, squares = F.sum("s"), F.sum("n"), F.sum("q")
+    mean = s.agg(total / (n + 1e-8)).scalar()
+    var = s.agg((squares - 2 * mean * total + mean * mean * n) / (n + 1e-8) * n / (n - 1)).scalar()
+    return s.select("row_idx", F.round((F.col("s") - F.col("n") * mean) / F.sqrt(var + 1e-8), 5).alias("whitened"))
