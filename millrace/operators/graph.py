@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import code as C
@@ -27,38 +27,44 @@ def modules(files: DataFrame, repo: str, path: str, code: str) -> DataFrame:
     return first.select("repo", "module", "_m.path", "_m.imports")
 
 
-def edges(mods: DataFrame, mode: str = "prefix") -> DataFrame:
-    """repo, src, dst, ord: imports of known modules of the same repository, each once, in order; none on itself.
+def _prefixes(c: Column, mode: str) -> Column:
+    """All prefixes of a name: by characters, or by dotted parts."""
+    if mode == "dotted":
+        parts = F.split(c, "\\.", -1)
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+
 
-    A name stands for every module of which it is a dotted suffix. mode 'dotted': an import meets a name that it equals or
-    that begins with it and a point, or the other way round. 'prefix': the point isn't asked for, so `os` meets `ossify`.
-    Of several modules the first by path is taken. Both sides are joined by their first character run, not row by row.
+def meetings(mods: DataFrame, mode: str = "prefix") -> DataFrame:
+    """repo, want, dst: the module that each imported name means, for names that mean one.
+
+    A module is known by all its dotted suffixes; of modules with one suffix the first by path has it. A name means what it
+    equals, or what begins with it, or what it begins with; an equal suffix comes before others, then the first by path.
+    mode 'dotted': beginnings end at a point. 'prefix': they need not, so `os` means `ossify`. Beginnings are met by equality
+    joins on prefixes, of which only the best module is kept: a repository of n names costs n times their length, not n * n.
     """
     names = mods.select("repo", F.col("module").alias("dst"), "path", F.explode(T.suffixes("module")).alias("name"))
     names = names.groupBy("repo", "name").agg(F.min_by("dst", "path").alias("dst"), F.min("path").alias("path"))
+    wants = mods.select("repo", F.explode("imports").alias("want")).where("want <> ''").distinct()
+    longer = names.select("repo", "dst", "path", "name", F.explode(_prefixes(F.col("name"), mode)).alias("want"))
+    longer = longer.groupBy("repo", "want").agg(F.min(F.struct((F.col("name") != F.col("want")).cast("int").alias("other"), "path", "name", "dst")).alias("m"))
+    shorter = wants.select("repo", "want", F.explode(_prefixes(F.col("want"), mode)).alias("name")).join(names, ["repo", "name"])
+    shorter = shorter.groupBy("repo", "want").agg(F.min(F.struct((F.col("name") != F.col("want")).cast("int").alias("other"), "path", "name", "dst")).alias("m"))
+    both = wants.join(longer, ["repo", "want"]).unionByName(shorter)
+    return both.groupBy("repo", "want").agg(F.min("m").alias("m")).select("repo", "want", "m.dst")
+
+
+def edges(mods: DataFrame, mode: str = "prefix") -> DataFrame:
+    """repo, src, dst, ord: imports of known modules of the same repository, each once, in order; none on itself."""
     wants = mods.select("repo", F.col("module").alias("src"), F.posexplode("imports").alias("ord", "want"))
-    head = (lambda c: F.split_part(c, F.lit("."), F.lit(1))) if mode == "dotted" else (lambda c: F.substring(c, 1, 1))
-    joined = wants.withColumn("_h", head(F.col("want"))).join(names.withColumn("_h", head(F.col("name"))), ["repo", "_h"])
-    if mode == "dotted":
-        meets = (F.col("name") == F.col("want")) | F.startswith("name", F.concat("want", F.lit("."))) | F.startswith("want", F.concat("name", F.lit(".")))
-    else:
-        meets = F.startswith("name", F.col("want")) | F.startswith("want", F.col("name"))
-    best = joined.where(meets).groupBy("repo", "src", "ord").agg(F.min_by("dst", F.struct((F.col("name") != F.col("want")).cast("int"), "path", "name")).alias("dst"))
+    best = wants.join(meetings(mods, mode), ["repo", "want"])
     return best.where("src <> dst").groupBy("repo", "src", "dst").agg(F.min("ord").alias("ord"))
 
 
 def external(mods: DataFrame, mode: str = "prefix") -> DataFrame:
-    """repo, src, package: first component of each import that meets no module of the repository."""
+    """repo, src, package: first component of each import that means no module of the repository."""
     wants = mods.select("repo", F.col("module").alias("src"), F.explode(F.array_distinct("imports")).alias("want"))
-    names = mods.select("repo", F.explode(T.suffixes("module")).alias("name")).distinct()
-    head = (lambda c: F.split_part(c, F.lit("."), F.lit(1))) if mode == "dotted" else (lambda c: F.substring(c, 1, 1))
-    a, b = wants.withColumn("_h", head(F.col("want"))).alias("a"), names.withColumn("_h", head(F.col("name"))).alias("b")
-    if mode == "dotted":
-        meets = (F.col("b.name") == F.col("a.want")) | F.startswith("b.name", F.concat("a.want", F.lit("."))) | F.startswith("a.want", F.concat("b.name", F.lit(".")))
-    else:
-        meets = F.startswith("b.name", F.col("a.want")) | F.startswith("a.want", F.col("b.name"))
-    left = a.join(b, (F.col("a.repo") == F.col("b.repo")) & (F.col("a._h") == F.col("b._h")) & meets, "left_anti")
-    return left.select("repo", "src", T.package("want").alias("package")).distinct()
+    return wants.join(meetings(mods, mode), ["repo", "want"], "left_anti").select("repo", "src", T.package("want").alias("package")).distinct()
 
 
 def closure(mods: DataFrame, links: DataFrame) -> DataFrame:
