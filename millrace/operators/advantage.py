@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import ragged
-from millrace.functions import sequences as Q
 
 EPSILON = 1e-6
 
@@ -87,16 +86,17 @@ def general_advantage(rewards: str, values: str, gamma: float, lam: float) -> Co
     return ragged.fold(lambda r, v: ragged.general_advantage(r, v, gamma, lam), rewards, values)
 
 
-def weighted_rloo(df: DataFrame, position: str, samples: int, rewards: dict[str, float], mask: str) -> DataFrame:
-    """Leave-one-out over consecutive groups of `samples` rows, for several token rewards with weights: the weighted sum of
-    (masked mean of the row - mean of the others' masked means), as `advantage`."""
-    out = df.withColumn("_grp", F.expr(f"{position} div {samples}")).withColumn("advantage", F.lit(0.0))
-    for name, weight in rewards.items():
-        figures = out.select("*", Q.masked_mean(name, mask).alias("_own"))
-        sums = figures.groupBy("_grp").agg(F.sum("_own").alias("_sum"), F.count("_own").alias("_cnt"))
-        others = (F.col("_sum") - F.col("_own")) / F.nullif(F.col("_cnt") - 1, F.lit(0))
-        out = figures.join(sums, "_grp").withColumn("advantage", F.col("advantage") + weight * (F.col("_own") - F.coalesce(others, F.lit(0.0)))).drop("_own", "_sum", "_cnt")
-    return out.drop("_grp")
+def weighted_rloo(df: DataFrame, position: str, samples: int, rewards: dict[str, float]) -> DataFrame:
+    """Leave-one-out over consecutive groups of `samples` rows, for several scores of a row (as masked means of its token
+    rewards) with weights: the weighted sum of (own score - mean of the others'), as `advantage`."""
+    out = df.withColumn("_g_at", F.expr(f"{position} div {samples}"))
+    figures = out.groupBy(F.col("_g_at").alias("_g_key")).agg(*[f(c).alias(f"_g_{n}{i}") for i, c in enumerate(rewards) for n, f in (("s", F.sum), ("n", F.count))])
+    out = out.join(figures, F.col("_g_at") == F.col("_g_key"))
+    value = F.lit(0.0)
+    for i, (c, weight) in enumerate(rewards.items()):
+        others = (F.col(f"_g_s{i}") - F.col(c)) / F.nullif(F.col(f"_g_n{i}") - 1, F.lit(0))
+        value = value + weight * (F.col(c) - F.coalesce(others, F.lit(0.0)))
+    return out.withColumn("advantage", value).select(*df.columns, "advantage")
 
 
 #: Estimators over the outcome score by name.

@@ -20,14 +20,18 @@ t AS (SELECT row_idx, i - 1 AS pos, CAST(s[i] AS DOUBLE) AS r, CAST(o[i] AS DOUB
 
 
 def rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Rollouts once each with `mask`, the response's part of the attention mask. Copies of a row are equal, so one is kept
-    before any array is read further."""
-    r = table(spark, sf_dir, "rollout").select("row_idx", "uid", "data_source", *columns, Q.response_mask("attention_mask", "responses").alias("mask"))
-    return r.dropDuplicates(["row_idx"])
+    """Rollouts with `mask`, the response's part of the attention mask. Rows may repeat: what is computed from them is cut
+    to `once`, so that results are shuffled and not the arrays they come from."""
+    return table(spark, sf_dir, "rollout").select("row_idx", *columns, Q.response_mask("attention_mask", "responses").alias("mask"))
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Each row_idx once; copies of a rollout are equal, and so is what comes of them."""
+    return df.dropDuplicates(["row_idx"])
 
 
 def per_token(df: DataFrame, value: str, digits: int = 6) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).select("row_idx", F.posexplode(value).alias("pos", "_v")).select("row_idx", F.col("pos").cast("long").alias("pos"), F.round("_v", digits).alias(value))
+    return once(df.where(F.col(value).isNotNull()).select("row_idx", value)).select("row_idx", F.posexplode(value).alias("pos", "_v")).select("row_idx", F.col("pos").cast("long").alias("pos"), F.round("_v", digits).alias(value))
 
 
 @register(
@@ -67,7 +71,7 @@ def general_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def divergence_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "old_log_probs", "ref_log_prob").where("old_log_probs is not null and ref_log_prob is not null")
-    return r.select("row_idx", *[F.round(Q.masked_mean(Q.divergence("old_log_probs", "ref_log_prob", k), "mask"), 6).alias(k) for k in ("kl", "abs", "mse", "low_var_kl")])
+    return once(r.select("row_idx", *[F.round(Q.masked_mean(Q.divergence("old_log_probs", "ref_log_prob", k), "mask"), 6).alias(k) for k in ("kl", "abs", "mse", "low_var_kl")]))
 
 
 @register(
@@ -78,7 +82,7 @@ def divergence_estimators(spark: SparkSession, sf_dir: str) -> DataFrame:
 def penalised_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "token_level_scores", "old_log_probs", "ref_log_prob").where("token_level_scores is not null and old_log_probs is not null and ref_log_prob is not null")
     kl = Q.divergence("old_log_probs", "ref_log_prob", "kl")
-    return r.select("row_idx", F.round(Q.total(Q.penalised("token_level_scores", kl, "mask", BETA)), 6).alias("reward"), F.round(Q.masked_mean(kl, "mask"), 6).alias("kl"))
+    return once(r.select("row_idx", F.round(Q.total(Q.penalised("token_level_scores", kl, "mask", BETA)), 6).alias("reward"), F.round(Q.masked_mean(kl, "mask"), 6).alias("kl")))
 
 
 @register(
@@ -89,7 +93,7 @@ def penalised_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def masked_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "critic_values").where("critic_values is not null")
-    return r.select("row_idx", F.round(Q.masked_sum("critic_values", "mask"), 6).alias("total"), F.round(Q.masked_mean("critic_values", "mask"), 6).alias("mean"), F.round(Q.masked_var("critic_values", "mask"), 6).alias("var"))
+    return once(r.select("row_idx", F.round(Q.masked_sum("critic_values", "mask"), 6).alias("total"), F.round(Q.masked_mean("critic_values", "mask"), 6).alias("mean"), F.round(Q.masked_var("critic_values", "mask"), 6).alias("var")))
 
 
 @register(
@@ -106,7 +110,7 @@ def policy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = Q.policy_terms("old_log_probs", "ref_log_prob", F.transform("token_level_scores", lambda s: s - 0.1), 0.2)
     parts = r.withColumn("terms", terms)
     names = ("loss", "clipped", "clipped_low", "kl")
-    sums = parts.select(*[Q.masked_sum(F.col(f"terms.{c}"), "mask").alias(c) for c in names], Q.total("mask").alias("n"))
+    sums = once(parts.select("row_idx", *[Q.masked_sum(F.col(f"terms.{c}"), "mask").alias(c) for c in names], Q.total("mask").alias("n")))
     total = sums.agg(*[(F.sum(c) / (F.sum("n") + 1e-8)).alias(c) for c in names])
     return total.select(F.round("loss", 6).alias("loss"), F.round("clipped", 6).alias("clip_fraction"), F.round("clipped_low", 6).alias("clip_fraction_low"), F.round("kl", 6).alias("kl"))
 
@@ -119,7 +123,7 @@ def policy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "token_level_scores", "critic_values").where("token_level_scores is not null and critic_values is not null")
     r = r.withColumn("terms", Q.value_terms("critic_values", F.transform("critic_values", lambda v: v * 0.9), "token_level_scores", 0.05))
-    sums = r.select(*[Q.masked_sum(F.col(f"terms.{c}"), "mask").alias(c) for c in ("loss", "clipped")], Q.total("mask").alias("n"))
+    sums = once(r.select("row_idx", *[Q.masked_sum(F.col(f"terms.{c}"), "mask").alias(c) for c in ("loss", "clipped")], Q.total("mask").alias("n")))
     return sums.agg(F.round(F.sum("loss") / (F.sum("n") + 1e-8), 6).alias("loss"), F.round(F.sum("clipped") / (F.sum("n") + 1e-8), 6).alias("clip_fraction"))
 
 
@@ -130,7 +134,7 @@ def value_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def loss_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three ways to a scalar loss. Rows without a masked token have no mean and are left out of the last."""
-    s = rows(spark, sf_dir, "old_log_probs").where("old_log_probs is not null").select(Q.masked_sum("old_log_probs", "mask").alias("total"), Q.total("mask").alias("n"))
+    s = once(rows(spark, sf_dir, "old_log_probs").where("old_log_probs is not null").select("row_idx", Q.masked_sum("old_log_probs", "mask").alias("total"), Q.total("mask").alias("n")))
     return s.agg(F.round(F.sum("total") / (F.sum("n") + 1e-8), 6).alias("token_mean"), F.round(F.avg("total"), 6).alias("seq_mean_token_sum"), F.round(F.avg(F.col("total") / F.nullif("n", F.lit(0.0))), 6).alias("seq_mean_token_mean"))
 
 
@@ -141,7 +145,7 @@ def loss_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions from the attention mask, folded over whole batches."""
-    r = table(spark, sf_dir, "rollout").select("row_idx", "attention_mask").dropDuplicates(["row_idx"])
+    r = once(table(spark, sf_dir, "rollout").select("row_idx", "attention_mask"))
     import numpy as np
 
     running = ragged.fold(lambda m: np.maximum(np.cumsum(m, 1) - 1, 0), "attention_mask")
@@ -155,8 +159,8 @@ def position_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def end_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens up to and with the first end token."""
-    r = table(spark, sf_dir, "rollout").select("row_idx", "responses").dropDuplicates(["row_idx"]).where("responses is not null")
-    return r.select("row_idx", F.aggregate(Q.end_mask("responses", 1), F.lit(0), lambda a, x: a + x).alias("kept"))
+    r = table(spark, sf_dir, "rollout").select("row_idx", "responses").where("responses is not null")
+    return once(r.select("row_idx", F.aggregate(Q.end_mask("responses", 1), F.lit(0), lambda a, x: a + x).alias("kept")))
 
 
 @register(
@@ -165,8 +169,8 @@ def end_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT row_idx, CAST(len(x) AS INTEGER) AS n, CAST(list_sum(x) AS BIGINT) AS checksum FROM (SELECT row_idx, list_transform(list_filter(list_zip(i, m), lambda p: p[2] = 1), lambda p: p[1]) AS x FROM d)""",
 )
 def unpadded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "rollout").select("row_idx", "input_ids", "attention_mask").dropDuplicates(["row_idx"]).select("row_idx", Q.unpad("input_ids", "attention_mask").alias("x"))
-    return r.select("row_idx", F.size("x").alias("n"), F.when(F.size("x") > 0, F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v)).alias("checksum"))
+    r = table(spark, sf_dir, "rollout").select("row_idx", "input_ids", "attention_mask").select("row_idx", Q.unpad("input_ids", "attention_mask").alias("x"))
+    return once(r.select("row_idx", F.size("x").alias("n"), F.when(F.size("x") > 0, F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v)).alias("checksum")))
 
 
 @register(
@@ -175,8 +179,8 @@ def unpadded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT row_idx, CASE WHEN k IS NULL OR k = 0 THEN [] ELSE list_slice(p, k, len(p)) END AS ids FROM s WHERE p IS NOT NULL""",
 )
 def left_stripped_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "rollout").select("row_idx", "prompts").dropDuplicates(["row_idx"]).where("prompts is not null")
-    return p.select("row_idx", Q.strip_left("prompts", 0).alias("ids"))
+    p = table(spark, sf_dir, "rollout").select("row_idx", "prompts").where("prompts is not null")
+    return once(p.select("row_idx", Q.strip_left("prompts", 0).alias("ids")))
 
 
 @register(
@@ -210,7 +214,7 @@ def placed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "token_level_scores").where("token_level_scores is not null")
     n = Q.total("mask").cast("int")
     placed = r.withColumn("placed", Q.place_at(Q.total("token_level_scores"), n - 1, 160)).withColumn("at", F.when(n == 0, 159).otherwise(n - 1))
-    return placed.select("row_idx", F.col("at").alias("place"), F.round(F.get("placed", F.col("at")), 6).alias("reward"))
+    return once(placed.select("row_idx", F.col("at").alias("place"), F.round(F.get("placed", F.col("at")), 6).alias("reward")))
 
 
 @register(
@@ -221,7 +225,7 @@ def placed_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlong_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Linear from 40 tokens before the limit of 160 on."""
     n = Q.total("mask")
-    return rows(spark, sf_dir).select("row_idx", F.round(F.least(-(n - 120) / 40, F.lit(0.0)), 6).alias("penalty"))
+    return once(rows(spark, sf_dir).select("row_idx", F.round(F.least(-(n - 120) / 40, F.lit(0.0)), 6).alias("penalty")))
 
 
 @register(
@@ -233,7 +237,7 @@ def overlong_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values whitened over all masked tokens of the table; shown as the sum over each row."""
     r = rows(spark, sf_dir, "critic_values").where("critic_values is not null")
-    s = r.select("row_idx", Q.masked_sum("critic_values", "mask").alias("s"), Q.total("mask").alias("n"), Q.masked_sum(F.transform("critic_values", lambda v: v * v), "mask").alias("q"))
+    s = once(r.select("row_idx", Q.masked_sum("critic_values", "mask").alias("s"), Q.total("mask").alias("n"), Q.masked_sum(F.transform("critic_values", lambda v: v * v), "mask").alias("q")))
     # moments of each row add up, so no token is read twice; the scalars are subqueries, not joins
     total, n, squares = F.sum("s"), F.sum("n"), F.sum("q")
     mean = s.agg(total / (n + 1e-8)).scalar()

@@ -12,7 +12,7 @@ from millrace.operators import advantage as A
 from millrace.operators import training as R
 from millrace.plans.catalogue import register
 from millrace.plans.groups import ROLLOUT_SQL, scored
-from millrace.plans.tokens import TOKENS_SQL, rows
+from millrace.plans.tokens import TOKENS_SQL, once, rows
 from millrace.session import table
 
 
@@ -23,10 +23,10 @@ from millrace.session import table
 )
 def assembled_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows put together again from prompts and responses, shown as sums."""
-    d = table(spark, sf_dir, "rollout").select("row_idx", "prompts", "responses", F.slice("attention_mask", 1, 80).alias("pm")).dropDuplicates(["row_idx"]).where("prompts is not null and size(responses) = 160")
+    d = table(spark, sf_dir, "rollout").select("row_idx", "prompts", "responses", F.slice("attention_mask", 1, 80).alias("pm")).where("prompts is not null and size(responses) = 160")
     full = R.rollout_rows(d, "prompts", "responses", "pm", 1)
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return full.select("row_idx", add("input_ids").alias("ids"), add("attention_mask").alias("attended"), F.element_at("position_ids", -1).alias("last_position"))
+    return once(full.select("row_idx", add("input_ids").alias("ids"), add("attention_mask").alias("attended"), F.element_at("position_ids", -1).alias("last_position")))
 
 
 @register(
@@ -71,7 +71,7 @@ def preference_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "old_log_probs", "ref_log_prob", "token_level_scores").where("old_log_probs is not null and ref_log_prob is not null and token_level_scores is not null")
     x = Q.masked_sum(Q.divergence("old_log_probs", "ref_log_prob", "kl"), "mask")
     a = F.when(Q.total("token_level_scores") > 0.5, 1.0).otherwise(0.0)
-    s = r.select(x.alias("x"), a.alias("a"))
+    s = once(r.select("row_idx", x.alias("x"), a.alias("a")))
     return s.agg(F.round(F.avg(R.cross_entropy(F.col("x"), F.col("a"), 0.05)), 6).alias("loss"), F.round(F.avg(R.sided_accuracy(F.col("x"), F.col("a"))), 6).alias("agreement"))
 
 
@@ -94,7 +94,8 @@ def largest_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def weighted_leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rows(spark, sf_dir, "critic_values").where("critic_values is not null")
-    return A.weighted_rloo(r, "row_idx", 4, {"critic_values": 0.7}, "mask").select("row_idx", F.round("advantage", 6).alias("advantage"))
+    r = once(r.select("row_idx", Q.masked_mean("critic_values", "mask").alias("own")))
+    return A.weighted_rloo(r, "row_idx", 4, {"own": 0.7}).select("row_idx", F.round("advantage", 6).alias("advantage"))
 
 
 @register("preference_rows", "SELECT uid, 0 AS place, extra_info.answer AS response FROM (SELECT DISTINCT uid, extra_info, reward_model FROM rl_rows) UNION ALL SELECT uid, 1, reward_model.ground_truth FROM (SELECT DISTINCT uid, extra_info, reward_model FROM rl_rows)")

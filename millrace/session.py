@@ -51,7 +51,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"millrace-{label}-{uuid.uuid4().hex}")
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
