@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ragged
@@ -102,6 +102,20 @@ def use_of_peak(flops: float, epochs: int, peak: float, workers: int) -> float:
     return flops * epochs / peak / workers
 
 
+def packed(df: DataFrame, group: str, order: str, length: str, block: int = 4096) -> DataFrame:
+    """df with `begins` and `ends`: the running sum of lengths before and after each row of its group, null groups alike.
+    Null lengths are 0. order: distinct whole numbers in each group."""
+    d = df.withColumn("_n", F.coalesce(F.col(length).cast("long"), F.lit(0))).withColumn("_block", F.floor(F.col(order) / block))
+    sums = d.groupBy(F.col(group).alias("_group"), F.col("_block").alias("_of")).agg(F.sum("_n").alias("_sum"))
+    earlier = Window.partitionBy("_group").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_group", "_of", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_in", F.sum("_n").over(inside))
+    d = d.join(sums, F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_of")))
+    ends = F.col("_before") + F.col("_in")
+    return d.withColumn("begins", ends - F.col("_n")).withColumn("ends", ends).drop("_n", "_block", "_group", "_of", "_before", "_in")
+
+
 def on_workers(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], workers: int, order: str, schema: str) -> DataFrame:
     """f on equal consecutive chunks, one a worker, results in the chunks' order: `chunk_id` is added to the schema.
     Each chunk is handed to f in Arrow batches; rows that don't divide are an error."""

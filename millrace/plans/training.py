@@ -141,6 +141,18 @@ def sft_loss_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("packed_bounds", "SELECT uid, list_transform(range(0, len(l) + 1), lambda i: CAST(coalesce(list_sum(l[1:i]), 0) AS BIGINT)) AS bounds FROM (SELECT uid, list(len ORDER BY row_idx) AS l FROM (SELECT row_idx, any_value(uid) AS uid, any_value(CAST(list_sum(list_slice(attention_mask, 81, 240)) AS INTEGER)) AS len FROM rollout GROUP BY row_idx) WHERE uid LIKE 'val-00%' GROUP BY uid)")
 def packed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the sequences of a validation prompt begin when they are packed one after another."""
+    """Where the sequences of a validation prompt begin when they are packed one after another, as arrays: the prompts that
+    its SQL names. `sequence_bounds` has all sequences."""
     r = scored(spark, sf_dir).where("uid like 'val-00%'").groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "len"))), lambda x: x["len"]).alias("l"))
     return r.select("uid", Q.cumulative_lengths("l").alias("bounds"))
+
+
+@register(
+    "sequence_bounds",
+    f"""WITH {ROLLOUT_SQL} SELECT row_idx, uid, CAST(coalesce(sum(len) OVER (PARTITION BY uid ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins,
+    CAST(coalesce(sum(len) OVER (PARTITION BY uid ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS ends FROM r""",
+)
+def sequence_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each sequence begins and ends when those of its uid are packed one after another; those of no uid are packed
+    together. Totals of ranges first, then within each range, so that a hot uid is no single task."""
+    return R.packed(scored(spark, sf_dir), "uid", "row_idx", "len").select("row_idx", "uid", "begins", "ends")

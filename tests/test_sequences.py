@@ -114,3 +114,14 @@ def test_controller():
 def test_preference_pair_masks(spark):
     pair = one(spark, R.preference_pair(F.col("p"), F.col("a"), F.col("b"), 4, 0), p=([1], "array<long>"), a=([2, 3], "array<long>"), b=([4], "array<long>"))
     assert pair[0].input_ids == [1, 2, 3, 0] and pair[0].attention_mask == [1, 1, 1, 0] and pair[1].attention_mask == [1, 1, 0, 0]
+
+
+def test_packed_bounds_of_all_sequences(spark):
+    rows = [(g, i, (i * 7) % 5 if i % 6 else None) for g, n in (("val-001", 40), ("train", 25), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame(rows, "uid string, row_idx long, len int").repartition(3)
+    got = {(r.uid, r.row_idx): (r.begins, r.ends) for r in R.packed(df, "uid", "row_idx", "len", block=8).collect()}
+    want, at = {}, {}
+    for g, i, n in rows:
+        want[g, i] = (at.get(g, 0), at.get(g, 0) + (n or 0))
+        at[g] = want[g, i][1]
+    assert got == want
