@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Responses to one prompt that are resampled together; more is an error, for one prompt's runs meet in one task.
-MAX_RUNS = 100_000
+from millrace.session import written
+
+#: Runs of one prompt that are resampled row by row; of more, which would not fit one task, the counts of their values are.
+RESAMPLED_RUNS = 2048
+#: Picks of prompts with equally many runs that are looked up at once.
+_PICKS = 2_000_000
 
 
 def sizes(n: int) -> list[int]:
@@ -19,12 +24,18 @@ def sizes(n: int) -> list[int]:
     return [2**k for k in range(1, 40) if 2**k < n] + [n]
 
 
-@lru_cache(maxsize=256)
 def resampled(n: int, size: int, draws: int = 1000, seed: int = 42) -> np.ndarray:
     """Indices of `draws` samples of n with replacement: numpy's old generator, seeded anew for each call, one draw at a
     time. They depend on no value, so prompts of one size share them."""
+    return _kept(n, size, draws, seed) if n <= 256 else _resampled(n, size, draws, seed)
+
+
+def _resampled(n: int, size: int, draws: int, seed: int) -> np.ndarray:
     rng = np.random.RandomState(seed)
-    return np.stack([rng.choice(n, size=size, replace=True) for _ in range(draws)])
+    return np.stack([rng.choice(n, size=size, replace=True).astype(np.uint16 if n <= 1 << 16 else np.int64) for _ in range(draws)])
+
+
+_kept = lru_cache(maxsize=1024)(_resampled)
 
 
 def expected_best(values: np.ndarray, size: int) -> float:
@@ -43,33 +54,119 @@ def majority_value(values: np.ndarray, votes: np.ndarray, picks: np.ndarray) ->
     return values[picks[np.arange(len(picks)), first]]
 
 
+def _row_metrics(v: np.ndarray, codes: np.ndarray | None, draws: int, seed: int) -> list[tuple[str, np.ndarray]]:
+    """Metrics of prompts with equally many runs, one a row of v; codes: their votes, numbered in each row."""
+    rows, n = v.shape
+    out = [(f"mean@{n}", v.mean(1))]
+    if n == 1:
+        return out
+    out.append((f"std@{n}", v.std(1)))
+    for size in sizes(n):
+        picks = resampled(n, size, draws, seed)
+        step = max(1, _PICKS // picks.size)
+        made: dict[str, list[np.ndarray]] = {}
+        for a in range(0, rows, step):
+            drawn = v[a : a + step][:, picks]
+            kinds = {"best": drawn.max(2), "worst": drawn.min(2)}
+            if codes is not None:
+                kinds["maj"] = _majority_values(drawn, codes[a : a + step][:, picks])
+            for kind, x in kinds.items():
+                made.setdefault(f"{kind}@{size}/mean", []).append(x.mean(1))
+                made.setdefault(f"{kind}@{size}/std", []).append(x.std(1))
+        out += [(m, np.concatenate(x)) for m, x in made.items()]
+    return out
+
+
+def _majority_values(drawn: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """majority_value of draws that are looked up already, over the last axis."""
+    kinds = int(code.max()) + 1
+    flat = code.reshape(-1, code.shape[-1])
+    at = np.arange(len(flat))[:, None]
+    counts = np.bincount((at * kinds + flat).ravel(), minlength=len(flat) * kinds).reshape(-1, kinds)
+    first = counts[at, flat].argmax(1)
+    return drawn.reshape(flat.shape)[at[:, 0], first].reshape(code.shape[:-1])
+
+
+def _count_metrics(values: np.ndarray, votes: np.ndarray | None, counts: np.ndarray, draws: int, seed: int) -> list[tuple[str, float]]:
+    """Metrics of one prompt from the counts of its (value, vote) pairs. Best and worst are exact: mean and deviation of the
+    extreme's distribution. The majority is that of `draws` samples of vote counts; equal votes are as likely to be seen
+    first, and the first pick of a vote is any of its rows, so the vote's moments stand for its value."""
+    n = int(counts.sum())
+    order = np.argsort(values, kind="stable")
+    v, share = values[order], np.cumsum(counts[order]) / n
+    below = np.concatenate(([0.0], share[:-1]))
+    mean = float((values * counts).sum() / n)
+    out = [(f"mean@{n}", mean), (f"std@{n}", float(np.sqrt((counts * (values - mean) ** 2).sum() / n)))]
+    if votes is not None:
+        code = pd.factorize(pd.Series(votes, dtype=object), use_na_sentinel=False)[0]
+        voters = np.bincount(code, counts)
+        moments = np.stack([np.bincount(code, counts * values) / voters, np.bincount(code, counts * values**2) / voters])
+        chance = voters / n
+    for size in sizes(n):
+        for kind, p in (("best", share**size - below**size), ("worst", (1 - below) ** size - (1 - share) ** size)):
+            m = float((v * p).sum())
+            out += [(f"{kind}@{size}/mean", m), (f"{kind}@{size}/std", float(np.sqrt((p * (v - m) ** 2).sum())))]
+        if votes is not None:
+            rng, step, got = np.random.RandomState(seed), max(1, _PICKS // len(chance)), []
+            for a in range(0, draws, step):
+                drawn = rng.multinomial(size, chance, min(step, draws - a))
+                got.append(moments[:, (drawn + rng.random_sample(drawn.shape)).argmax(1)])
+            m, square = np.concatenate(got, 1).mean(1)
+            out += [(f"maj@{size}/mean", float(m)), (f"maj@{size}/std", float(np.sqrt(max(square - m * m, 0.0))))]
+    return out
+
+
 def best_of(df: DataFrame, source: str, prompt: str, variable: str, value: str, order: str, vote: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
     """source, prompt, variable, metric, value: mean@N, std@N (population) and, by resampling, mean and deviation of
-    best@n, worst@n and, with votes, maj@n. Null values are left out; a prompt without values has no row."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_RUNS:
-            raise ValueError(f"{len(pdf)} runs of one prompt are beyond MAX_RUNS")
-        pdf = pdf.sort_values([order, "_value"], kind="stable")
-        v = pdf["_value"].to_numpy(float)
-        n = len(v)
-        out = [(f"mean@{n}", v.mean())]
-        if n > 1:
-            out.append((f"std@{n}", v.std()))
-            for size in sizes(n):
-                picks = resampled(n, size, draws, seed)
-                drawn = v[picks]
-                kinds = [("best", drawn.max(1)), ("worst", drawn.min(1))]
-                if vote:
-                    kinds.append(("maj", majority_value(v, pdf["_vote"].to_numpy(object), picks)))
-                for kind, x in kinds:
-                    out += [(f"{kind}@{size}/mean", x.mean()), (f"{kind}@{size}/std", x.std())]
-        return pd.DataFrame({source: pdf[source].iloc[0], prompt: pdf[prompt].iloc[0], variable: pdf[variable].iloc[0], "metric": [m for m, _ in out], "value": [float(x) for _, x in out]})
+    best@n, worst@n and, with votes, maj@n. Null values are left out; a prompt without values has no row. All runs count:
+    prompts of more than RESAMPLED_RUNS go by the counts of their values."""
+    keys, limit = [source, prompt, variable], RESAMPLED_RUNS
+
+    def metrics(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        """Of the prompts that start at the places."""
+        v, n = pdf["_value"].to_numpy(float), np.diff(np.append(first, len(pdf)))
+        names = pdf[keys].iloc[first].reset_index(drop=True)
+        parts = []
+        for k in np.unique(n):
+            who = np.flatnonzero(n == k)
+            rows = first[who][:, None] + np.arange(k)
+            codes = np.stack([pd.factorize(x, use_na_sentinel=False)[0] for x in pdf["_vote"].to_numpy(object)[rows]]) if vote else None
+            parts += [names.iloc[who].assign(metric=m, value=x) for m, x in _row_metrics(v[rows], codes, draws, seed)]
+        return pd.concat(parts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            changed = np.zeros(len(pdf), bool)
+            for c in keys:
+                a, b = pdf[c], pdf[c].shift()
+                changed |= ((a != b) & ~(a.isna() & b.isna())).to_numpy(bool)
+            changed[0] = True
+            first = np.flatnonzero(changed)
+            if len(first) > 1:  # the last prompt may go on in the next batch
+                yield metrics(pdf.iloc[: first[-1]], first[:-1])
+            rest = pdf.iloc[first[-1] :].reset_index(drop=True)
+        if rest is not None:
+            yield metrics(rest, np.zeros(1, np.int64))
+
+    def run_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_value", *(["_vote"] if vote else [])], kind="stable")
+        out = _count_metrics(pdf["_value"].to_numpy(float), pdf["_vote"].to_numpy(object) if vote else None, pdf["_n"].to_numpy(np.int64), draws, seed)
+        return pd.DataFrame({**{c: pdf[c].iloc[0] for c in keys}, "metric": [m for m, _ in out], "value": [x for _, x in out]})
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    chosen = df.where(F.col(value).isNotNull()).select(source, prompt, variable, order, F.col(value).cast("double").alias("_value"), *([F.col(vote).alias("_vote")] if vote else []))
+    chosen = df.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("_value"), *([F.col(vote).alias("_vote")] if vote else []))
+    chosen = written(chosen, "runs")
     schema = f"{source} {kinds[source]}, {prompt} {kinds[prompt]}, {variable} {kinds[variable]}, metric string, value double"
-    return chosen.groupBy(source, prompt, variable).applyInPandas(run, schema)
+    counts = chosen.groupBy(*keys, "_value", *(["_vote"] if vote else [])).agg(F.count("*").alias("_n"))
+    large = counts.groupBy(*keys).agg(F.sum("_n").alias("_all")).where(F.col("_all") > limit).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keys)])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(keys)])
+    by_row = chosen.join(large, same, "left_anti").repartition(*keys).sortWithinPartitions(*keys, order, "_value").mapInPandas(run, schema)
+    by_count = counts.join(large, same, "left_semi").groupBy(*keys).applyInPandas(run_counts, schema)
+    return by_row.unionByName(by_count)
 
 
 def by_source(metrics: DataFrame, source: str, variable: str) -> DataFrame:

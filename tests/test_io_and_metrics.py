@@ -93,6 +93,40 @@ def test_best_of(spark):
     assert m["p", "best@4/mean"] > m["p", "best@2/mean"] > m["p", "worst@2/mean"]
 
 
+def test_best_of_large_prompts_by_counts(spark, monkeypatch):
+    rows = [("s", p, "acc", i, float(i * 7 % 4), str(i * 7 % 4 // 2)) for p, n in (("p", 40), (None, 9), ("q", 40)) for i in range(n)] + [("s", "q", "acc", 50 + i, 3.0, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "src string, prompt string, var string, k long, v double, pred string")
+    got = {}
+    for limit in (2048, 20):
+        monkeypatch.setattr(V, "RESAMPLED_RUNS", limit)
+        got[limit] = {(r.prompt, r.metric): r.value for r in V.best_of(df, "src", "prompt", "var", "v", "k", "pred").collect()}
+    assert got[20].keys() == got[2048].keys() and {k[1] for k in got[20] if k[0] == "q"} >= {"mean@70", "best@64/mean", "maj@70/std"}
+    assert max(abs(x - got[2048][k]) for k, x in got[20].items()) < 0.15
+    v = np.array([r[4] for r in rows if r[1] == "q"])
+    assert abs(got[20]["q", "best@4/mean"] - V.expected_best(v, 4)) < 1e-9 and abs(got[20]["q", "mean@70"] - v.mean()) < 1e-9
+    w = np.array([float(i * 7 % 4) for i in range(9)])
+    picks = V.resampled(9, 4)
+    assert got[20][None, "best@4/mean"] == w[picks].max(1).mean() and got[20][None, "worst@4/std"] == w[picks].min(1).std()
+    votes = np.array([str(i * 7 % 4 // 2) for i in range(9)], object)
+    assert got[20][None, "maj@4/mean"] == V.majority_value(w, votes, picks).mean()
+
+
+def test_best_of_n_reads_all_runs_with_a_thousand_draws(spark, monkeypatch):
+    from millrace.plans import catalogue
+
+    seen = {}
+    whole = V.best_of
+
+    def best_of(df, *columns, **options):
+        seen.update(options, rows=df.count())
+        return whole(df, *columns, **options)
+
+    monkeypatch.setattr(V, "best_of", best_of)
+    names = {r.metric for r in catalogue.queries()["best_of_n"](spark, "/root/testdata/sf0.001").collect()}
+    scores = spark.read.parquet("/root/testdata/sf0.001/rollout.parquet").where("token_level_scores is not null").select("row_idx").distinct().count()
+    assert seen == {"rows": scores} and any(int(m.split("@")[1].split("/")[0]) > 16 for m in names)
+
+
 def test_accuracy(spark):
     df = spark.createDataFrame([("a", True), ("a", None), ("b", False), ("b", False)], "c string, ok boolean")
     rows = {r.c: r for r in V.accuracy(df, "c", "ok").collect()}
