@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ragged
+from millrace.session import written
 
 EPSILON = 1e-6
 
@@ -125,3 +126,26 @@ def band_groups(df: DataFrame, group: str, accuracy: str, low: float, high: floa
     if length and longest is not None:
         keep &= F.col("_g_len") < longest - 1
     return df.join(by, df[group].eqNullSafe(by["_g_key"]), "left").withColumn("keep", F.coalesce(keep, F.lit(False))).drop("_g_key", "_g_acc", "_g_len")
+
+
+def opposed_pairs(df: DataFrame, group: str, score: str, length: str) -> DataFrame:
+    """group, pairs, opposed: of all pairs of rows of a group, those in which the higher score has the lesser length or both
+    are equal. Groups of one row have no pair. Lengths are whole numbers from 0; a null one agrees with nothing.
+
+    No row meets another: rows become counts of (score, length), and a length is greater than another where the first bit
+    that differs is set, so each bit asks for running sums over the scores of those that have the higher bits in common.
+    """
+    cells = written(df.groupBy(group, F.col(score).alias("_s"), F.col(length).cast("long").alias("_l")).agg(F.count("*").alias("_n")), "cells")
+    n = F.col("_n")
+    equal = F.when(F.col("_l").isNotNull() & ~F.isnan("_s"), n * (n - 1) / 2).otherwise(0.0).cast("long")
+    by = cells.groupBy(group).agg(F.sum("_n").alias("_all"), F.sum(equal).alias("_equal"))
+    bits = int(cells.agg(F.max("_l")).first()[0] or 0).bit_length()
+    split = cells.where(F.col("_l").isNotNull() & ~F.isnan("_s")).withColumn("_bit", F.explode(F.array(*[F.lit(b) for b in range(bits)]) if bits else F.array().cast("array<int>")))
+    is_set = F.expr("shiftright(_l, _bit) & 1") == 1
+    split = split.groupBy(group, "_bit", F.expr("shiftright(_l, _bit + 1)").alias("_head"), "_s").agg(F.sum(F.when(is_set, n).otherwise(0)).alias("_longer"), F.sum(F.when(is_set, 0).otherwise(n)).alias("_shorter"))
+    worse = Window.partitionBy(group, "_bit", "_head").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    met = split.withColumn("_met", F.col("_shorter") * F.coalesce(F.sum("_longer").over(worse), F.lit(0)))
+    met = met.groupBy(F.col(group).alias("_group")).agg(F.sum("_met").alias("_met"))
+    every = by.join(met, F.col(group).eqNullSafe(F.col("_group")), "left").where("_all > 1")
+    pairs = F.when(F.col("_all") % 2 == 0, F.expr("_all div 2") * (F.col("_all") - 1)).otherwise(F.expr("(_all - 1) div 2") * F.col("_all"))
+    return every.select(group, pairs.alias("pairs"), (F.col("_equal") + F.coalesce("_met", F.lit(0))).alias("opposed"))

@@ -107,8 +107,8 @@ def oversample_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM f a JOIN f b ON a.uid = b.uid AND a.k < b.k GROUP BY a.uid""",
 )
 def pairwise_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs i < j of the first eight responses of a prompt (eight is the trainer's group size, not a cap on skew): how
-    often the better score goes with the shorter response."""
+    """Pairs i < j of the first eight responses of a prompt, to which its SQL is cut: how often the better score goes with
+    the shorter response. `pairwise_agreement` has all pairs."""
     from pyspark.sql import Window
 
     r = scored(spark, sf_dir).where("score is not null and uid is not null")
@@ -119,6 +119,19 @@ def pairwise_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("a.uid").alias("uid")).agg(F.count("*").alias("pairs"), F.round(F.avg(F.when(same, 1.0).otherwise(0.0)), 6).alias("agreement"))
 
 
+@register(
+    "pairwise_agreement",
+    f"""WITH {ROLLOUT_SQL}, f AS (SELECT * FROM r WHERE score IS NOT NULL AND uid IS NOT NULL)
+    SELECT a.uid, CAST(count(*) AS BIGINT) AS pairs, round(avg(CASE WHEN sign(a.score - b.score) = sign(CAST(b.len AS INTEGER) - CAST(a.len AS INTEGER)) THEN 1.0 ELSE 0.0 END), 6) AS agreement
+    FROM f a JOIN f b ON a.uid = b.uid AND a.row_idx < b.row_idx GROUP BY a.uid""",
+)
+def pairwise_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs i < j of the responses of a prompt: how often the better score goes with the shorter response, and equal
+    scores with equal lengths."""
+    r = scored(spark, sf_dir).where("score is not null and uid is not null")
+    return A.opposed_pairs(r, "uid", "score", "len").select("uid", "pairs", F.round(F.col("opposed") / F.col("pairs"), 6).alias("agreement"))
+
+
 @register(
     "better_siblings",
     f"""WITH {ROLLOUT_SQL}, s AS (SELECT DISTINCT uid, score FROM r WHERE uid IS NOT NULL AND score IS NOT NULL),

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,18 @@ def test_packed_bounds_of_all_sequences(spark):
         want[g, i] = (at.get(g, 0), at.get(g, 0) + (n or 0))
         at[g] = want[g, i][1]
     assert got == want
+
+
+def test_opposed_pairs_of_all_rows(spark):
+    rng = random.Random(3)
+    rows = [(g, rng.choice([0.0, 0.5, 1.0, -2.0]), rng.choice([0, 1, 5, 6, 40, None])) for g, n in (("hot", 90), ("b", 9), ("two", 2), ("one", 1), (None, 12)) for _ in range(n)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        sign = lambda x: (x > 0) - (x < 0)
+        hits = [None not in (a[2], b[2]) and sign(a[1] - b[1]) == sign(b[2] - a[2]) for i, a in enumerate(own) for b in own[i + 1 :]]
+        if hits:
+            want[g] = (len(hits), sum(hits))
+    df = spark.createDataFrame(rows, "g string, s double, n int")
+    assert {r.g: (r.pairs, r.opposed) for r in A.opposed_pairs(df, "g", "s", "n").collect()} == want
+    assert A.opposed_pairs(df.limit(0), "g", "s", "n").count() == 0
