@@ -78,9 +78,9 @@ def middle_cut(s: Column | str, length: int, mark: str = "...(truncated) ...") -
 
 
 def tidied(s: Column | str) -> Column:
-    """Stripped; ' [title]' becomes a stop, other bracketed parts go, double spaces become single ones once."""
+    """Stripped; ' [title]' becomes a stop, other bracketed parts within a line (up to \\n) go, double spaces become single ones once."""
     c = F.replace(strip(s), F.lit(" [title]"), F.lit(". "))
-    return F.replace(F.regexp_replace(c, "\\[.*?\\]", ""), F.lit("  "), F.lit(" "))
+    return F.replace(F.regexp_replace(c, "\\[[^\\n]*?\\]", ""), F.lit("  "), F.lit(" "))
 
 
 def capitalised(s: Column | str) -> Column:

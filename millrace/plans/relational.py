@@ -273,11 +273,17 @@ def string_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("tidied_titles", "SELECT doc_id, replace(regexp_replace(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS tidy FROM (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x20-\\x7e\\n]*$'))")
 def tidied_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compared on texts of plain characters, on which both engines' white space is the same."""
+    """Compared on texts of plain characters, on which both engines' white space is the same. `tidied_texts` has all."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike("^[\\x20-\\x7e\\n]*$"))
     return d.select("doc_id", T.tidied("text").alias("tidy"))
 
 
+@register("tidied_texts")
+def tidied_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document. White space is Python's, which is not DuckDB's, so there is no SQL; tests hold it against Python."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.tidied("text").alias("tidy"))
+
+
 @register("prompt_length_filter", "SELECT item_id FROM eval_items WHERE len(string_split(question, ' ')) <= 60")
 def prompt_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").where(F.size(F.split("question", " ", -1)) <= 60).select("item_id")

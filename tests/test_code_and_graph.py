@@ -1,4 +1,5 @@
 import ast
+import re
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,18 @@ def test_text(spark):
     assert x(T.answer_part("s", ["</s>"]), "q<|im_start|>assistant hi</s>x") == "hi"
     assert x(T.module_name("s"), "/a/b.py") == "a.b"
     assert x(T.repeated_mark("s", "<image>", "P", F.array(F.lit(2), F.lit(1))), "x<image>y<image>z<image>") == "xPPyPz<image>"
+
+
+def test_tidied_of_any_text(spark, tmp_path):
+    from millrace.plans import catalogue
+
+    def brute(t):
+        return re.sub(r"\[.*?\]", "", t.strip().replace(" [title]", ". ")).replace("  ", " ")
+
+    texts = ["\u3000é [title] 漢字 [x\r\ny] [a\rb]c\u2028", "\x1c\t[a\u2028b]x  y[c\x85d] \r\n", "a [b\nc] d]\u200b ", "😀 [[x]] [] \ufeff", "", " \xa0", "plain [title][z] x", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.tidy for r in catalogue.queries()["tidied_texts"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.text and brute(r.text) for r in whole.collect()}
+    assert {r.doc_id: r.tidy for r in catalogue.queries()["tidied_texts"](spark, "/root/testdata/sf0.001").collect()} == want
