@@ -2,7 +2,8 @@
 
 Method: windows of twelve words, of items and of documents, go through the CGK random walk, which embeds edit distance
 in Hamming distance; repeated sampling of the embedding's places gives bucket keys, and every window that meets an item's
-window in a bucket is verified by exact edit distance over words. An item leaks into a document if verified windows cover
+window in a bucket is verified by exact edit distance over words, and so are the windows around each one verified, which
+need no bucket. An item leaks into a document if verified windows cover
 at least fourteen successive words of its question or solution. Items are a stated query set: their keys are sent to all
 tasks in blocks of bounded size; documents are read once a block and never shuffled.
 """
@@ -23,7 +24,7 @@ from millrace.llm import wordgrid as W
 
 WINDOW, EDITS, PASSAGE = 12, 2, 14
 #: Steps of the walk, repetitions, and places sampled in each repetition.
-STEPS, REPEATS, SAMPLED = 3 * WINDOW, 8, 5
+STEPS, REPEATS, SAMPLED = 3 * WINDOW, 16, 5
 #: A sentence that stands in more than this many items is shared wording and no passage.
 SHARED_ITEMS = 2
 #: Item windows in one block; a block's keys are about REPEATS * 16 bytes a window.
@@ -194,20 +195,9 @@ def search(texts: list[str], index: Index) -> list[tuple[int, str]]:
         who = np.repeat(np.arange(len(at)), count)
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
         met.append(who * np.int64(len(index.start)) + index.order[r][place])
-    pairs = np.unique(np.concatenate(met))
-    where, window = at[pairs // len(index.start)], pairs % len(index.start)
-    steps = np.arange(WINDOW)
-    good, far = [], []
-    number = numbers(g)
-    for a in range(0, len(pairs), 100_000):
-        w, i = where[a : a + 100_000], window[a : a + 100_000]
-        x, y = w[:, None] + steps, index.start[i][:, None] + steps
-        far.append(edit_distance(g.hash[x], index.words[y], number[x], index.number[y]))
-        good.append(far[-1] <= EDITS)
-    if not len(pairs) or not np.concatenate(good).any():
+    where, window, far = _verified(g, index, np.unique(np.concatenate(met)), at)
+    if not len(where):
         return []
-    keep = np.concatenate(good)
-    where, window, far = where[keep], window[keep], np.concatenate(far)[keep]
     # a place of the text belongs to the items that are nearest there; shared patterns of other items are no passages
     nearest = np.full(len(g.hash), 127, np.int8)
     np.minimum.at(nearest, where, far)
@@ -229,6 +219,41 @@ def search(texts: list[str], index: Index) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+#: From a verified window to those tried next: words on in the item, and how many more or fewer on in the text.
+_AROUND = [(step, step + shift) for step in (-2, -1, 1, 2) for shift in (-1, 0, 1)]
+
+
+def _verified(g: W.Grid, index: Index, met: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, item window and distance of the pairs within EDITS: of those met in a bucket (number in `at` times the item
+    windows, and the window), then of those around each verified one until none is new."""
+    size, steps, number = np.int64(len(index.start)), np.arange(WINDOW), numbers(g)
+    last = len(g.hash) - WINDOW
+    pairs = at[met // size] * size + met % size
+    tried, kept, fars = pairs, [], []
+    while len(pairs):
+        near = []
+        for a in range(0, len(pairs), 100_000):
+            w, i = pairs[a : a + 100_000] // size, pairs[a : a + 100_000] % size
+            x, y = w[:, None] + steps, index.start[i][:, None] + steps
+            near.append(edit_distance(g.hash[x], index.words[y], number[x], index.number[y]))
+        far = np.concatenate(near)
+        good = far <= EDITS
+        kept.append(pairs[good])
+        fars.append(far[good])
+        where, window = pairs[good] // size, pairs[good] % size
+        new = []
+        for step, on in _AROUND:
+            w, i = where + on, window + step
+            ok = (w >= 0) & (w <= last) & (i >= 0) & (i < size)
+            w, i, part, doc = w[ok], i[ok], index.part[window[ok]], g.doc[where[ok]]
+            ok = (index.part[i] == part) & (g.doc[w] == doc) & (g.doc[w + WINDOW - 1] == doc)
+            new.append(w[ok] * size + i[ok])
+        pairs = np.setdiff1d(np.concatenate(new), tried)
+        tried = np.union1d(tried, pairs)
+    every = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return every // size, every % size, np.concatenate(fars) if fars else np.zeros(0, np.int8)
+
+
 def leaks(documents: DataFrame, items: list[tuple[str, str]], id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The id and item_id of each leak, once. Null, empty and short texts hold none; very long ones are read whole.
 

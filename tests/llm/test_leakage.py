@@ -95,3 +95,19 @@ def test_blocks_and_frame(spark, monkeypatch):
     assert sorted(map(tuple, K.leaks(df, ITEMS).collect())) == want
     assert K.leaks(df, []).count() == 0 and K.leaks(df.limit(0), ITEMS).count() == 0
     assert K.leaks(df, [(None, q), ("n", None), ("e", "")]).count() == 0
+
+
+def test_recall_of_short_passages():
+    """Passages of 14 words, which need both their outer windows, with 2 and 3 words exchanged."""
+    rng = random.Random(31)
+    index = K.build(ITEMS)[0]
+    for edits in (2, 3):
+        texts, want = [], set()
+        for d in range(500 if edits == 2 else 2000):
+            k, a = rng.randrange(60), rng.randrange(17)
+            places = rng.sample(range(K.PASSAGE), edits)
+            w = [f"other{x}" if i in places else x for i, x in enumerate(ITEMS[k][1].split(".")[0].split()[a : a + K.PASSAGE])]
+            texts.append(" ".join(["pad"] * 9 + w + ["pad"] * 9))
+            if all(sum(o <= p < o + K.WINDOW for p in places) <= K.EDITS for o in (0, K.PASSAGE - K.WINDOW)):
+                want.add((d, f"i{k}"))
+        assert len(want & set(K.search(texts, index))) >= 0.99 * len(want) > 150
