@@ -11,8 +11,15 @@ WORDS = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "rstnl"]
 ITEMS = [(f"i{k}", " ".join(RNG.choice(WORDS) for _ in range(30)) + ". Work through every part and put the outcome alone on the last line.") for k in range(60)]
 
 
+SHARED = frozenset(["work through every part and put the outcome alone on the last line"])
+
+
+def index(items=ITEMS):
+    return K.index([(i, K.own_wording(t, SHARED)) for i, t in items])
+
+
 def leaks(texts):
-    return {x for x in K.search(texts, K.build(ITEMS)[0])}
+    return {x for x in K.search(texts, index())}
 
 
 def test_forms_of_leaks():
@@ -35,26 +42,26 @@ def test_recall_against_brute_force():
         a = int(rng.integers(0, 12))
         part = [x if rng.random() > 0.06 else RNG.choice(WORDS) for x in w[a : a + 18]]
         texts.append(" ".join(RNG.choice(WORDS) for _ in range(20)) + " " + " ".join(part) + " " + " ".join(RNG.choice(WORDS) for _ in range(20)))
-        index = K.build(ITEMS)[0] if n == 0 else index  # noqa: F821
-    got = set(K.search(texts, index))
-    g, start = K.W.grid(texts), index.start
+    idx = index()
+    got = set(K.search(texts, idx))
+    g, start = K.W.grid(texts), idx.start
     for d in range(len(texts)):  # every window with every window of the items
         at = np.arange(g.first[d], g.first[d + 1] - K.WINDOW + 1)
         a = g.hash[at[:, None] + np.arange(K.WINDOW)]
-        b = index.words[start[:, None] + np.arange(K.WINDOW)]
+        b = idx.words[start[:, None] + np.arange(K.WINDOW)]
         pairs = [(i, j) for i in range(len(a)) for j in np.flatnonzero((a[i] == b).sum(1) >= 4)]
         far = K.edit_distance(a[[i for i, _ in pairs]], b[[j for _, j in pairs]]) if pairs else []
         hits: dict[int, set[int]] = {}
         for (i, j), f in zip(pairs, far):
             if f <= K.EDITS:
-                hits.setdefault(int(index.part[j]), set()).update(range(int(index.offset[j]), int(index.offset[j]) + K.WINDOW))
+                hits.setdefault(int(idx.part[j]), set()).update(range(int(idx.offset[j]), int(idx.offset[j]) + K.WINDOW))
         for part, covered in hits.items():
             run = best = 0
             for o in range(max(covered) + 1):
                 run = run + 1 if o in covered else 0
                 best = max(best, run)
             if best >= K.PASSAGE:
-                want.add((d, index.items[index.part_item[part]]))
+                want.add((d, idx.items[idx.part_item[part]]))
     assert len(got & want) >= 0.98 * len(want) > 200 and not got - want
 
 
@@ -85,22 +92,47 @@ def test_equal_windows_have_equal_keys_and_near_ones_often():
     assert same.mean() > 0.9
 
 
+def frame(spark, items):
+    return spark.createDataFrame(items, "item_id string, text string")
+
+
 def test_blocks_and_frame(spark, monkeypatch):
     q = ITEMS[3][1].split(".")[0]
     df = spark.createDataFrame([(1, q, "x"), (2, None, "x"), (3, "", "x"), (1, q, "x"), (4, "pad " * 50_000 + q, "x")], "doc_id long, text string, item_id string")
     want = [(1, "i3"), (4, "i3")]
-    assert sorted(map(tuple, K.leaks(df, ITEMS).collect())) == want
+    items = frame(spark, ITEMS)
+    assert K.shared_wording(items) == SHARED
+    assert sorted(map(tuple, K.leaks(df, items).collect())) == want
     monkeypatch.setattr(K, "BLOCK_WINDOWS", 200)
-    assert len(K.build(ITEMS)) > 3
-    assert sorted(map(tuple, K.leaks(df, ITEMS).collect())) == want
-    assert K.leaks(df, []).count() == 0 and K.leaks(df.limit(0), ITEMS).count() == 0
-    assert K.leaks(df, [(None, q), ("n", None), ("e", "")]).count() == 0
+    assert len(list(K.blocks(items))) > 3
+    assert sorted(map(tuple, K.leaks(df, items).collect())) == want
+    assert K.leaks(df, items.limit(0)).count() == 0 and K.leaks(df.limit(0), items).count() == 0
+    assert K.leaks(df, frame(spark, [(None, q), ("n", None), ("e", "")])).count() == 0
+
+
+def test_a_question_of_many_items_leaks_for_all(spark):
+    """Copies, and variants by one word, of a question; only wording that a third of the items put beside other text is shared."""
+    q = ITEMS[3][1].split(".")[0].split()[:18]
+    for copies in (3, 10, 100):
+        same = [(f"c{k}", " ".join(q) + ".") for k in range(copies)]
+        other = [("v", " ".join([*q[:9], "changed", *q[10:]]) + ".")]
+        df = spark.createDataFrame([(1, "pad " * 30 + " ".join(q) + " pad" * 30)], "doc_id long, text string")
+        got = {i for _, i in K.leaks(df, frame(spark, same + other)).collect()}
+        assert got == {i for i, _ in same + other}
+
+
+def test_a_bucket_taken_in_pieces(monkeypatch):
+    q = ITEMS[3][1].split(".")[0]
+    texts = [q] * 50
+    want = K.search(texts, index())
+    monkeypatch.setattr(K, "PAIRS", 7)
+    assert K.search(texts, index()) == want and len(want) == 50
 
 
 def test_recall_of_short_passages():
     """Passages of 14 words, which need both their outer windows, with 2 and 3 words exchanged."""
     rng = random.Random(31)
-    index = K.build(ITEMS)[0]
+    idx = index()
     for edits in (2, 3):
         texts, want = [], set()
         for d in range(500 if edits == 2 else 2000):
@@ -110,4 +142,4 @@ def test_recall_of_short_passages():
             texts.append(" ".join(["pad"] * 9 + w + ["pad"] * 9))
             if all(sum(o <= p < o + K.WINDOW for p in places) <= K.EDITS for o in (0, K.PASSAGE - K.WINDOW)):
                 want.add((d, f"i{k}"))
-        assert len(want & set(K.search(texts, index))) >= 0.99 * len(want) > 150
+        assert len(want & set(K.search(texts, idx))) >= 0.99 * len(want) > 150
