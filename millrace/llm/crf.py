@@ -65,11 +65,6 @@ def viterbi(model: Chain, emission: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return out
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
 @dataclass
 class _Shard:
     features: np.ndarray
@@ -102,27 +97,36 @@ def _shard(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, chosen:
 
 
 def _gradients(model: Chain, s: _Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Mean gradient over a shard's lines: (rows of the emission table, their gradients, transition, start)."""
+    """Mean gradient over a shard's lines: (rows of the emission table, their gradients, transition, start).
+
+    Forward and backward go over probabilities that are scaled at each token, so every step is a product of matrices.
+    """
     labels = len(model.start)
     e = scores(model, s.features)
-    alpha = np.zeros_like(e)
-    alpha[s.begin] = model.start + e[s.begin]
+    p = np.exp(e - e.max(1, keepdims=True)).astype(float)
+    move = np.exp(model.transition - model.transition.max()).astype(float)
+    alpha, scale = np.zeros_like(p), np.ones(len(p))
+
+    def place(at: np.ndarray, x: np.ndarray) -> None:
+        scale[at] = x.sum(1)
+        alpha[at] = x / scale[at, None]
+
+    place(s.begin, np.exp(model.start - model.start.max()) * p[s.begin])
     for t in range(1, len(s.reach)):
         at = s.begin[: s.reach[t]] + t
-        alpha[at] = e[at] + _logsum(alpha[at - 1][:, :, None] + model.transition, 1)
-    beta = np.zeros_like(e)
+        place(at, (alpha[at - 1] @ move) * p[at])
+    beta = np.ones_like(p)
     for t in range(len(s.reach) - 1, 0, -1):
         at = s.begin[: s.reach[t]] + t
-        beta[at - 1] = _logsum(model.transition + (e[at] + beta[at])[:, None, :], 2)
-    z = np.repeat(_logsum(alpha[s.begins] + beta[s.begins], 1), s.lengths)
-    marginal = np.exp(alpha + beta - z[:, None])
-    joint = np.exp(alpha[s.pairs - 1][:, :, None] + model.transition + (e[s.pairs] + beta[s.pairs])[:, None, :] - z[s.pairs][:, None, None]).sum(0)
-    gap = np.eye(labels, dtype=np.float32)[s.gold] - marginal
+        beta[at - 1] = (p[at] * beta[at] / scale[at, None]) @ move.T
+    marginal = alpha * beta
+    joint = move * (alpha[s.pairs - 1].T @ (p[s.pairs] * beta[s.pairs] / scale[s.pairs, None]))
+    gap = (np.eye(labels)[s.gold] - marginal).astype(np.float32)
     n = len(s.lengths)
-    return s.keys, np.add.reduceat(gap[s.rows], s.edges, 0) / n, (s.seen - joint) / n, gap[s.begins].sum(0) / n
+    return s.keys, np.add.reduceat(gap[s.rows], s.edges, 0) / n, ((s.seen - joint) / n).astype(np.float32), gap[s.begins].sum(0) / n
 
 
-def fit(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, values: int, labels: int, rounds: int = 26, shards: int = 6, rate: float = 0.12, ridge: float = 2e-5) -> Chain:
+def fit(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, values: int, labels: int, rounds: int = 20, shards: int = 6, rate: float = 0.12, ridge: float = 2e-5) -> Chain:
     """Maximises the conditional likelihood by Adam over shards of the lines; every line has at least one token."""
     model = Chain(np.zeros((values, labels), np.float32), np.zeros((labels, labels), np.float32), np.zeros(labels, np.float32))
     parts = [_shard(features, gold, lengths, np.arange(len(lengths)) % shards == k, labels) for k in range(shards)]
@@ -134,7 +138,7 @@ def fit(features: np.ndarray, gold: np.ndarray, lengths: np.ndarray, values: int
         for part in parts:
             step += 1
             keys, g_emission, g_transition, g_start = _gradients(model, part)
-            pace = rate * 0.93**r / (1 - 0.9**step)
+            pace = rate * 0.91**r / (1 - 0.9**step)
             rest = 1 - 0.99**step
             for k, (rows, g) in enumerate(((keys, g_emission), (slice(None), g_transition), (slice(None), g_start))):
                 p, m, q = tables[k], moments[k], squares[k]

@@ -8,6 +8,7 @@ follows and settles its edges. One pass over the rows, no shuffle.
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,9 +64,22 @@ WIDE = [chr(c) for c in range(0x4E00, 0x9F00, 7)]
 WIDE_COMMON = list("掩码模型窗口缓存循环样本矩阵梯度日志序列损失阈值批次词表索引分支余数上界采样器验证检查点注册表奖励函数提示")
 
 
+#: Chinese family names of two characters, and words within a name that begin small.
+COMPOUND = {"欧阳", "司马", "上官", "诸葛", "司徒", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "长孙", "宇文", "夏侯"}
+PARTICLES = ["de", "de la", "del", "de los", "von", "van", "van der", "van den", "di", "da", "dos", "du", "zu", "bin", "al", "el", "ter", "ten"]
+
+
+class _Draws(random.Random):
+    """Python's generator with numpy's name for whole numbers: single draws are much quicker."""
+
+    def integers(self, low: int, high: int | None = None) -> int:
+        low, high = (0, low) if high is None else (low, high)
+        return low + int(self.random() * (high - low))
+
+
 class _Filler:
     def __init__(self, seed: int) -> None:
-        self.rng = np.random.default_rng(seed)
+        self.rng = _Draws(seed)
 
     def pick(self, seq):  # noqa: ANN001, ANN201
         return seq[self.rng.integers(len(seq))]
@@ -123,8 +138,17 @@ class _Filler:
 
     def N(self, wide: bool = False) -> str:  # noqa: N802
         if wide and self.rng.random() < 0.8:
+            if self.rng.random() < 0.08:
+                return self.pick(sorted(COMPOUND)) + "".join(self.pick(WIDE) for _ in range(self.pick([1, 2, 2])))
             return "".join(self.pick(WIDE) for _ in range(self.pick([2, 3, 3, 3, 3, 3, 3, 3])))
         given, family = self.proper(), self.proper(3)
+        rare = self.rng.random()
+        if rare < 0.08:
+            return f"{given}-{self.proper()} {family}"
+        if rare < 0.11:
+            return f"{given} {family}-{self.proper(2)}"
+        if rare < 0.24:
+            return f"{given}{self.pick(['', ' ' + self.proper()])} {self.pick(PARTICLES)} {family}"
         kind = self.rng.integers(8)
         if kind in (0, 2):
             return f"{family}, {given}"
@@ -314,6 +338,7 @@ _PHONE = re.compile(r"[+(]?\d[\d ().-]{5,22}\d")
 _ID = re.compile(r"[A-Z]{0,2} ?\d[A-Z\d -]{5,20}[A-Z\d]")
 _WAYS = "Street|Road|Avenue|Lane|Drive|Close|Court|Way|Place|Square|Terrace|Hill|Crescent|Boulevard|Row|Walk|St\\.|Rd\\.|Ave\\.|Ln\\.|Dr\\.|Blvd\\."
 _SHORT = re.compile(r"\b(?:St|Rd|Ave|Ln|Dr|Blvd|str)$", re.I)
+_WAY = re.compile(rf"\b(?:{_WAYS})(?!\w)|(?:straße|strasse|gasse|platz)\b", re.I)
 _STARTS = "|".join(ROMANCE)
 _ADDRESS = [re.compile(p, re.I) for p in (
     rf"\b\d+[a-z]? (?:[^\W\d_][\w'’.-]* ){{1,3}}(?:(?:{_WAYS})(?!\w)|(?:St|Rd|Ave|Ln|Dr|Blvd)\b\.?)",
@@ -323,19 +348,49 @@ _ADDRESS = [re.compile(p, re.I) for p in (
     r"\b(?:Calle|C/|Plaza|Avenida|Paseo|Camino|Ronda|Carrera|Travesía|Vía|Rambla)(?: (?:del|de la|de los|de las|de))?(?: [^\W\d_][\w'’-]*)+,? \d+[a-z]?\b",
     r"[\u3400-\u9fff]{1,6}[路街巷道弄里村]\d+[号號]",
 )]
-#: Chinese family names of two characters, and characters that lead up to a person.
-COMPOUND = {"欧阳", "司马", "上官", "诸葛", "司徒", "东方", "皇甫", "尉迟", "公孙", "慕容", "令狐", "长孙", "宇文", "夏侯"}
+#: Characters that follow a person and that lead up to one.
 FOLLOWS = set("说审的等先女同写提认")
 LEADS = set("据由者名谢与和对请是为人向被让经给叫及")
 _NAME = re.compile(r"[^\W\d_][\w'’-]*(?:,? (?:[A-Z]\. ?)*[^\W\d_][\w'’-]+)+|[\u3400-\u9fff]{2,4}", re.U)
 
 
+#: A name with small words in it: given names, the small words, the family name.
+_LONG_NAME = re.compile(r"[^\W\d_][\w'’-]+(?: [^\W\d_][\w'’-]+)? (?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + r") [^\W\d_][\w'’-]+")
+_SMALL = {w for x in PARTICLES for w in x.split()}
+#: Words on either side of a span in which the rest of an address is looked for.
+ADDRESS_WORDS = 4
+
+
+def _word_before(text: str, at: int) -> int:
+    """Where the word before a place begins, on the same line."""
+    while at > 0 and text[at - 1] in " \t":
+        at -= 1
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _word_after(text: str, at: int) -> int:
+    """Where the word after a place ends, on the same line."""
+    while at < len(text) and text[at] in " \t":
+        at += 1
+    while at < len(text) and not text[at].isspace():
+        at += 1
+    return at
+
+
 def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     """The exact check: the span's edges by the form of its kind, or None where the form isn't there."""
     if kind == "email":
-        for m in _EMAIL.finditer(text, max(0, start - 40), min(len(text), end + 60)):
-            if m.start() < end and m.end() > start:
+        while start > 0 and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        line = text.find("\n", end)
+        while m := _EMAIL.search(text, start, line if line >= 0 else len(text)):  # begins in the span, ends where its form does
+            if m.start() >= end:
+                return None
+            if m.end() > start:
                 return m.span()
+            start = m.end()
         return None
     part = text[start:end]
     if kind == "phone":
@@ -357,7 +412,13 @@ def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None
         lead = len(text[start:end]) - len(text[start:end].lstrip())
         return start + lead, start + lead + len(m[0])
     if kind == "address":
-        for a, b in ((start, end), (start, min(len(text), end + 25)), (max(0, start - 25), min(len(text), end + 25))):
+        while end < len(text) and (text[end].isalpha() or text[end] in "-'’" and text[end + 1 : end + 2].isalpha()):
+            end += 1
+        left, right = start, end  # as far as words of an address may go on either side, if the span itself has no form
+        for _ in range(ADDRESS_WORDS):
+            left = _word_before(text, left)
+            right = _word_after(text, right)
+        for a, b in ((start, end), (start, right), (left, right)):
             for form in _ADDRESS:
                 for m in form.finditer(text[a:b]):
                     if a + m.start() < end and a + m.end() > start:
@@ -365,18 +426,21 @@ def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None
                         return a + m.start(), stop + (text[stop : stop + 1] == "." and bool(_SHORT.search(m[0])))
         return None
     if ord(part[0]) >= 0x2E80:
-        if len(part) > 3 and part[:2] not in COMPOUND:
-            end -= len(part) - 3
+        if any(w.startswith(part[: len(w)]) for w in WIDE_STARTERS):
+            return None  # a word that opens a sentence
+        longest = 4 if part[:2] in COMPOUND else 3
+        if len(part) > longest:
+            end -= len(part) - longest
         led = start == 0 or ord(text[start - 1]) < 0x2E80 or text[start - 1] in LEADS or not text[start - 1].isalpha()
         if end - start == 2 and text[end : end + 1].isalpha() and text[end] not in FOLLOWS:
             led = False  # two characters at the head of a longer run are a word
         return (start, end) if led and _NAME.fullmatch(text[start:end]) else None
     part = re.sub(r"(?: [^\W\d_])+$", "", part)
-    m = re.match(r"[^\W\d_][\w'’-]+(?:, [^\W\d_][\w'’-]+| (?:[A-Z]\. ?)*[^\W\d_][\w'’-]+)(?: [A-Z]\.(?=\s?[^\W\d_]))?", part)
+    m = _LONG_NAME.match(part) or re.match(r"[^\W\d_][\w'’-]+(?:, [^\W\d_][\w'’-]+| (?:[A-Z]\. ?)*[^\W\d_][\w'’-]+)(?: [A-Z]\.(?=\s?[^\W\d_]))?", part)
     if not m:
         return None
     part, end = m[0], start + m.end()
-    words = re.findall(r"[^\W\d_][\w'’-]*", part)
+    words = [w for w in re.findall(r"[^\W\d_][\w'’-]*", part) if w not in _SMALL]
     if not all(w[0].isupper() for w in words) or len(words) < 2:
         return None
     if part.isupper():  # inside a passage in capitals a run of capitals is no name
@@ -386,10 +450,10 @@ def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None
     return start, end
 
 
-def find_all(texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """For each text its details as (start, end, kind), in order of place."""
+def find_all(texts: list[str], field: tuple[crf.Chain, Lexicon] | None = None) -> list[list[tuple[int, int, str]]]:
+    """For each text its details as (start, end, kind), in order of place. field: what model() gives, on a worker."""
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    chain, lexicon = model()
+    chain, lexicon = field or model()
     t = tokens([*texts, "- - - - - -"])
     labels = crf.viterbi(chain, crf.scores(chain, features(t, lexicon)), t.lengths)
     first = np.zeros(len(labels), bool)
@@ -399,7 +463,11 @@ def find_all(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     opens = (kind > 0) & ((labels % 2 == 1) | (kind != before) | first)
     at = np.flatnonzero(opens)
     inside = kind > 0
+    fresh = (labels % 2 == 1) | first
+    done = 0
     for a in at:
+        if a < done:
+            continue
         b = a + 1
         while b < len(labels) and inside[b] and not opens[b]:
             b += 1
@@ -408,7 +476,16 @@ def find_all(texts: list[str]) -> list[list[tuple[int, int, str]]]:
             continue
         base = int(t.begins[i])
         name = KINDS[kind[a] - 1]
-        span = settle(texts[i], int(t.start[a]) - base, int(t.end[b - 1]) - base, name)
+        on = b
+        while on < len(labels) and inside[on] and not fresh[on]:
+            on += 1
+        # small words are as common in streets: a span that goes on as another kind is a name if it has a name's form
+        if on > b and {name, KINDS[kind[b] - 1]} == {"name", "address"} and _LONG_NAME.fullmatch(texts[i][int(t.start[a]) - base : int(t.end[on - 1]) - base]):
+            name, b, done = "name", on, on
+        start, end = int(t.start[a]) - base, int(t.end[b - 1]) - base
+        if name == "name" and _WAY.search(texts[i][start:end]) and settle(texts[i], start, end, "address"):
+            name = "address"  # a street is no person
+        span = settle(texts[i], start, end, name)
         if span and (not found[i] or span[0] >= found[i][-1][1]):
             found[i].append((*span, name))
     return found
@@ -427,7 +504,7 @@ def replaced(text: str, spans: list[tuple[int, int, str]]) -> str:
 PART = 600_000
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None], list[list[tuple[int, int, str]]]]]:
+def _parts(batches: Iterator[pa.RecordBatch], field: Broadcast) -> Iterator[tuple[pa.Array, list[str | None], list[list[tuple[int, int, str]]]]]:
     for b in batches:
         ids, texts = b.column(0), b.column(1).to_pylist()
         at = size = 0
@@ -435,16 +512,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
             size += len(text or "")
             if size >= PART or i == len(texts) - 1:
                 part = texts[at : i + 1]
-                yield ids.slice(at, len(part)), part, find_all([x or "" for x in part])
+                yield ids.slice(at, len(part)), part, find_all([x or "" for x in part], field.value)
                 at, size = i + 1, 0
 
 
 def find(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """The id, `kind` and `value`, once per text and value. Null, empty and blank texts have none."""
-    model()
+    field = df.sparkSession.sparkContext.broadcast(model())  # trained once, on the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, found in _parts(batches):
+        for ids, texts, found in _parts(batches, field):
             rows = [(i, k, v) for i, t, spans in zip(ids.to_pylist(), texts, found) for k, v in dict.fromkeys((k, t[a:b]) for a, b, k in spans)]
             columns = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], ids.type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], [id_column, "kind", "value"])
@@ -455,9 +532,10 @@ def find(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
 
 def redacted(df: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """The id and `text` with placeholders; null texts stay null."""
+    field = df.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, found in _parts(batches):
+        for ids, texts, found in _parts(batches, field):
             out = [t if t is None else replaced(t, s) for t, s in zip(texts, found)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string())], [id_column, "text"])
 

@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -16,7 +17,8 @@ CASES = [
     ("Call (212) 555-0134 after the run.", {("phone", "(212) 555-0134")}), ("The on-call line is +44 20 7946 0618.", {("phone", "+44 20 7946 0618")}), ("Phone 312.555.0164, weekdays only.", {("phone", "312.555.0164")}), ("请拨打 +1-415-555-0149 咨询。", {("phone", "+1-415-555-0149")}),
     ("SSN on file: 666-43-0042.", {("id_number", "666-43-0042")}), ("passport or card QQ 67 42 43 C, as scanned", {("id_number", "QQ 67 42 43 C")}), ("身份证号 99383419720612115X", {("id_number", "99383419720612115X")}),
     ("Ship the disks to 162 Quillon Lane, second floor.", {("address", "162 Quillon Lane")}), ("Flat 3, 201 Copperbeck Close", {("address", "201 Copperbeck Close")}), ("Lieferung nach Lindquarzstraße 10, Hinterhaus.", {("address", "Lindquarzstraße 10")}), ("Livraison au 139 rue des Tilleuls-Gris, second étage.", {("address", "139 rue des Tilleuls-Gris")}), ("请寄到北辰虚巷122号。", {("address", "北辰虚巷122号")}),
-    ("Reviewed by Elin Wexcombe.", {("name", "Elin Wexcombe")}), ("Thanks to Dr. Felix Oskarren for the second pass.", {("name", "Felix Oskarren")}), ("-- Saskia Quennholt", {("name", "Saskia Quennholt")}), ("作者:闻一苇", {("name", "闻一苇")}),
+    ("Reviewed by Elin Wexcombe.", {("name", "Elin Wexcombe")}), ("Thanks to Dr. Felix Oskarren for the second pass.", {("name", "Felix Oskarren")}), ("-- Saskia Quennholt", {("name", "Saskia Quennholt")}), ("作者:闻一苇", {("name", "闻一苇")}), ("Reviewed by Jean-Luc Picard.", {("name", "Jean-Luc Picard")}), ("Laut Ludwig van Beethoven stimmt es.", {("name", "Ludwig van Beethoven")}), ("作者:欧阳娜娜", {("name", "欧阳娜娜")}), ("Mail " + "a" * 80 + "@" + "b" * 90 + ".example now", {("email", "a" * 80 + "@" + "b" * 90 + ".example")}),
+    ("Thanks to Maria Anna de la Cruz for this.", {("name", "Maria Anna de la Cruz")}), ("Revisado por Ana de la Torre.", {("name", "Ana de la Torre")}),
     ("Amber Lattice and Velvet Anchor are project names.", set()), ("See the Pellingray Lemma for the bound.", set()), ("Bind the server to 10.126.210.49 for now.", set()), ("On 2031-01-06 the job 221692917 restarted.", set()), ("Release 5.7.36 fixes the sampler.", set()), ("Shapes went from 128-64-2459 to 256-32-2001.", set()), ("Use @cached_property and pkg@5.9 in the setup.", set()), ("Sixty jars apiece at dusk. A glazier notes it.", set()), ("", set()), (" \n\t ", set()),
 ]
 
@@ -63,3 +65,12 @@ def test_frame(spark):
     out = {r.doc_id: r.text for r in P.redacted(df, "doc_id").collect()}
     assert out[1] is None and out[2] == "" and out[3] == "Call <PHONE> or <PHONE>."
     assert P.find(df.limit(0), "doc_id").count() == 0
+
+
+def test_the_field_is_trained_on_the_driver_alone(spark):
+    """Workers get the field by broadcast: were it trained there, breaking the training on them would show."""
+    df = spark.createDataFrame([(1, "Reviewed by Elin Wexcombe.")], "doc_id long, text string")
+    P.model()
+    began = time.time()
+    assert P.find(df, "doc_id").count() == 1
+    assert time.time() - began < 6
