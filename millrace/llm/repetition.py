@@ -8,6 +8,7 @@ texts whose repeated share is known. One pass over the rows, no shuffle but for
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -19,11 +20,14 @@ from millrace.llm import boost, records
 from millrace.llm import wordgrid as W
 
 RUNS = (3, 5, 8, 13, 20)
+#: Characters of a run of symbols.
+SYMBOLS = 16
 FEATURES = [*(f"share_{k}" for k in RUNS), "sentences", "longest", "symbols", "vocabulary", "top_word", "wide", "log_words"]
 #: More repeated content never lowers the prediction; the other figures may act either way.
 MONOTONE = np.array([1] * len(RUNS) + [1, 1, 1, 0, 0, 0, 0])
 #: Composed training records; the bound on what the model is fitted on.
 TRAINING_RECORDS = 4000
+HELD_OUT = 1200
 THRESHOLD = 0.4
 #: Records worked on at once in a worker.
 CHUNK = 2000
@@ -74,8 +78,7 @@ def statistics(texts: list[str]) -> np.ndarray:
             lead = head + numbering[head]
             lead = np.minimum(lead, tail - 1)
             key = W.mix((total[tail] - total[lead]) * down[lead]) ^ salt[head]
-            units = np.where(g.wide[head], 2, 1) * 0 + (tail - head)
-            again = _repeated(key) & (units >= np.where(g.wide[head], 6, 3))
+            again = _repeated(key) & (tail - head >= np.where(g.wide[head], 6, 3))
             columns.append(_share(again[sentence], weight, g))
             # longest run of words covered at eight words
             edge = np.concatenate(([True], (runs[1:] != runs[:-1]) | (g.doc[1:] != g.doc[:-1])))
@@ -105,22 +108,26 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def _symbol_loops(texts: list[str], g: W.Grid) -> np.ndarray:
-    """Share of the characters that lie in runs of 16 characters, spaces left out, seen earlier; only for texts that
+    """Share of the characters that lie in runs of SYMBOLS characters, spaces left out, seen earlier; only for texts that
     are less than half words, for in those the words decide."""
     out = np.zeros(len(texts))
     words = W.per_doc(g, (g.end - g.start).astype(float)) if len(g.hash) else np.zeros(len(texts))
-    for i in np.flatnonzero(words < 0.5 * np.array([len(t or "") for t in texts])):
-        t = "".join((texts[i] or "").split())
-        if len(t) < 20:
-            continue
-        seen: set[str] = set()
-        flags = np.zeros(len(t), bool)
-        for j in range(len(t) - 15):
-            piece = t[j : j + 16]
-            if piece in seen:
-                flags[j : j + 16] = True
-            seen.add(piece)
-        out[i] = flags.mean()
+    few = np.flatnonzero(words < 0.5 * np.array([len(t or "") for t in texts]))
+    bare = {i: "".join((texts[i] or "").split()) for i in few.tolist()}
+    few = [i for i, t in bare.items() if len(t) >= SYMBOLS + 4]
+    if not few:
+        return out
+    points, begins = W.join_points([bare[i] for i in few])
+    doc = np.searchsorted(begins, np.arange(len(points)), "right") - 1
+    n = len(points) - SYMBOLS + 1
+    at = np.flatnonzero(doc[:n] == doc[SYMBOLS - 1 :])
+    at = at[at + SYMBOLS < begins[doc[at] + 1]]  # not over the line feed that ends a text
+    up, down = W.powers(len(points) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1])))
+        key = W.mix((total[at + SYMBOLS] - total[at]) * down[at]) ^ W.mix(doc[at].astype(np.uint64))
+    flag = W.covered(len(points), at[_repeated(key)], SYMBOLS)
+    out[few] = np.add.reduceat(flag, begins[:-1]) / (np.diff(begins) - 1)
     return out
 
 
@@ -171,7 +178,8 @@ def _compose(rng: np.random.Generator, kind: str) -> tuple[str, float]:
     hot = own[rng.integers(size)]
     while total and copied / (total + copied) < want and len(parts) < 80:
         source = hot if rng.random() < 0.6 else own[rng.integers(size)]
-        at = int(rng.integers([i for i, (s, _) in enumerate(parts) if s is source or s == source][0] + 1, len(parts) + 1))
+        first = next(i for i, (s, _) in enumerate(parts) if s is source or s == source)
+        at = int(rng.integers(first + 1, len(parts) + 1))
         parts.insert(at, (changed(source), True))
         copied += len(source)
     return _join(parts, end, glue)
@@ -184,9 +192,22 @@ def _join(parts: list[tuple[str, bool]], end: str, glue: str) -> tuple[str, floa
     return "".join(s + (end if len(s) > 14 or not glue else glue) for s, _ in parts), again / max(total, 1)
 
 
+@dataclass
+class Shares:
+    """The trees, and the true shares that stand behind their predictions: a fit by least squares draws every prediction
+    towards the mean, so the prediction is read on the curve of mean predictions by true share."""
+
+    forest: boost.Forest
+    predicted: np.ndarray
+    true: np.ndarray
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return np.interp(self.forest.score(x), self.predicted, self.true)
+
+
 @lru_cache(maxsize=1)
-def model() -> boost.Forest:
-    """The trees, trained on TRAINING_RECORDS composed records; the same each time."""
+def model() -> Shares:
+    """The trees, trained on TRAINING_RECORDS composed records, and their curve from HELD_OUT others; the same each time."""
     rng = np.random.default_rng(20240)
     made = [_compose(rng, "wide" if i % 3 == 0 else "spaced") for i in range(TRAINING_RECORDS)]
     made += [("=-~"[i % 3] * 2 * int(rng.integers(12, 90)), 0.95) for i in range(60)]
@@ -195,7 +216,12 @@ def model() -> boost.Forest:
         loop = ("=-", "~", "* ", "\\quad ", "- ")[i % 5] * int(rng.integers(30, 120))
         made.append((text[: 20 + i] + " " + loop, len(loop) / (len(loop) + 20 + i)))
     made += [(" ".join(["so", "we", "get", str(i), "think", "done"][: i % 7]), 0.0) for i in range(350)]  # short and whole
-    return boost.fit(statistics([t for t, _ in made]), np.array([s for _, s in made]), MONOTONE)
+    forest = boost.fit(statistics([t for t, _ in made]), np.array([s for _, s in made]), MONOTONE)
+    held = [_compose(rng, "wide" if i % 3 == 0 else "spaced") for i in range(HELD_OUT)]
+    guess, true = forest.score(statistics([t for t, _ in held])), np.array([s for _, s in held])
+    middle = np.arange(0.1, 0.8, 0.05)  # where composed shares lie close enough to each other
+    mean = np.array([guess[np.abs(true - m) < 0.05].mean() for m in middle])
+    return Shares(forest, np.concatenate(([0.0], np.maximum.accumulate(mean), [1.0])), np.concatenate(([0.0], middle, [1.0])))
 
 
 def repeated_share(texts: list[str]) -> np.ndarray:
