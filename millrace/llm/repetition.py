@@ -22,6 +22,8 @@ from millrace.llm import wordgrid as W
 RUNS = (3, 5, 8, 13, 20)
 #: Characters of a run of symbols.
 SYMBOLS = 16
+#: A word of so many characters is looked into for loops.
+LONG_WORD = 40
 FEATURES = [*(f"share_{k}" for k in RUNS), "sentences", "longest", "symbols", "vocabulary", "top_word", "wide", "log_words"]
 #: More repeated content never lowers the prediction; the other figures may act either way.
 MONOTONE = np.array([1] * len(RUNS) + [1, 1, 1, 0, 0, 0, 0])
@@ -108,26 +110,36 @@ def statistics(texts: list[str]) -> np.ndarray:
 
 
 def _symbol_loops(texts: list[str], g: W.Grid) -> np.ndarray:
-    """Share of the characters that lie in runs of SYMBOLS characters, spaces left out, seen earlier; only for texts that
-    are less than half words, for in those the words decide."""
+    """Share of the characters, spaces left out, that lie in runs of SYMBOLS characters seen earlier: anywhere in texts that
+    are less than half words, for in others the words decide, and there only within words of LONG_WORD characters or more,
+    as a loop of a syllable or a figure makes them."""
     out = np.zeros(len(texts))
-    words = W.per_doc(g, (g.end - g.start).astype(float)) if len(g.hash) else np.zeros(len(texts))
-    few = np.flatnonzero(words < 0.5 * np.array([len(t or "") for t in texts]))
-    bare = {i: "".join((texts[i] or "").split()) for i in few.tolist()}
-    few = [i for i, t in bare.items() if len(t) >= SYMBOLS + 4]
-    if not few:
+    inner = g.end - g.start
+    words = W.per_doc(g, inner.astype(float)) if len(g.hash) else np.zeros(len(texts))
+    symbolic = words < 0.5 * np.array([len(t or "") for t in texts])
+    long = np.flatnonzero((inner >= LONG_WORD) & ~symbolic[g.doc])
+    pieces: list[tuple[int, str]] = [(i, "".join((texts[i] or "").split())) for i in np.flatnonzero(symbolic).tolist()]
+    for k in long.tolist():
+        i = int(g.doc[k])
+        at = int(g.begins[i])
+        pieces.append((i, texts[i][int(g.start[k]) - at : int(g.end[k]) - at].lower()))
+    pieces = [(i, t) for i, t in pieces if len(t) >= SYMBOLS + 4]
+    if not pieces:
         return out
-    points, begins = W.join_points([bare[i] for i in few])
-    doc = np.searchsorted(begins, np.arange(len(points)), "right") - 1
+    owner = np.array([i for i, _ in pieces])
+    points, begins = W.join_points([t for _, t in pieces])
+    piece = np.searchsorted(begins, np.arange(len(points)), "right") - 1
     n = len(points) - SYMBOLS + 1
-    at = np.flatnonzero(doc[:n] == doc[SYMBOLS - 1 :])
-    at = at[at + SYMBOLS < begins[doc[at] + 1]]  # not over the line feed that ends a text
+    at = np.flatnonzero(piece[:n] == piece[SYMBOLS - 1 :])
+    at = at[at + SYMBOLS < begins[piece[at] + 1]]  # not over the line feed that ends a piece
     up, down = W.powers(len(points) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1])))
-        key = W.mix((total[at + SYMBOLS] - total[at]) * down[at]) ^ W.mix(doc[at].astype(np.uint64))
+        key = W.mix((total[at + SYMBOLS] - total[at]) * down[at]) ^ W.mix(owner[piece[at]].astype(np.uint64))
     flag = W.covered(len(points), at[_repeated(key)], SYMBOLS)
-    out[few] = np.add.reduceat(flag, begins[:-1]) / (np.diff(begins) - 1)
+    flagged = np.bincount(owner, np.add.reduceat(flag, begins[:-1]), minlength=len(texts))
+    for i in np.unique(owner).tolist():
+        out[i] = flagged[i] / max(sum(not c.isspace() for c in texts[i]), 1)
     return out
 
 
@@ -215,6 +227,11 @@ def model() -> Shares:
         text, _ = _compose(rng, "spaced")
         loop = ("=-", "~", "* ", "\\quad ", "- ")[i % 5] * int(rng.integers(30, 120))
         made.append((text[: 20 + i] + " " + loop, len(loop) / (len(loop) + 20 + i)))
+    for i in range(160):  # a loop within one word, alone or behind sentences
+        text, share = _compose(rng, "wide" if i % 3 == 0 else "spaced")
+        text = text[: int(rng.integers(0, 400))] if i % 2 else ""
+        loop = ("ha", "3", "0", "ab1", "é")[i % 5] * int(rng.integers(45, 300))
+        made.append((f"{text} {loop}", len(loop) / (len(loop) + sum(c.isalnum() for c in text))))
     made += [(" ".join(["so", "we", "get", str(i), "think", "done"][: i % 7]), 0.0) for i in range(350)]  # short and whole
     forest = boost.fit(statistics([t for t, _ in made]), np.array([s for _, s in made]), MONOTONE)
     held = [_compose(rng, "wide" if i % 3 == 0 else "spaced") for i in range(HELD_OUT)]

@@ -63,3 +63,9 @@ def test_frame(spark):
     rows = R.measure(df, ["id"]).collect()
     assert len(rows) == 4 and rows[0].share < 0.4 and rows[1].share < 0.4 and rows[2].share == rows[3].share > 0.6
     assert R.measure(df.limit(0), ["id"]).count() == 0
+
+
+def test_loops_within_a_word():
+    texts = ["3" * 160, "ha" * 80, SENTENCES[0] + " " + "0" * 140, SENTENCES[0] + " " + "ha" * 200, " ".join(SENTENCES) + " " + "q8" * 12, "".join(np.random.default_rng(1).choice(list("abcdefghijklmnop0123"), 200))]
+    got = R.repeated_share(texts)
+    assert (got[:4] >= R.THRESHOLD).all() and (got[4:] < R.THRESHOLD).all()
