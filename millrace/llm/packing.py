@@ -5,7 +5,7 @@ counts by length, whose size is bounded by sources times capacities and not by r
 lengths are filled side by side by an exact subset-sum over the lengths still at hand; the bin of least cost, opening
 included, is taken as often as the counts allow; at last every bin is downsized to the least permitted length that holds
 its contents. Sequences then find their bin by their rank among the sequences of their source and length, which is
-counted in salted parts, so no group meets in one task.
+counted in as many parts as a length needs, so no group meets in one task.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 SHARES = (0.25, 0.5, 0.75, 1.0)
 #: What opening a container costs beside its length, as a share of the capacity: many small bins cost more than one.
 OPENING = 0.25
-#: Parts in which the ranks of one source and length are counted.
-SALTS = 64
-#: The plan is made on the driver; more lengths than this raise an error instead of growing without bound.
-MAX_LENGTHS = 2_000_000
+#: Sequences of one source and length whose ranks are counted in one part; a hotter length has as many parts as it needs.
+PART_ROWS = 250_000
+#: The plan is made on the driver, on one count for each source and length: at most the sum of the capacities, which is
+#: known before anything is counted. A larger sum is an error.
+MAX_LENGTHS = 20_000_000
 
 
 def fill(counts: np.ndarray, size: int) -> tuple[int, list[tuple[int, int]]]:
@@ -101,34 +102,43 @@ def pack(items: DataFrame, key: str, group: str, size: str, capacities: DataFram
 
     items: one row per key. An item longer than its group's capacity is cut into full containers and a rest; no other is.
     capacities: the group column and `capacity`, one row per group. A null or unknown group gets the largest capacity
-    given. Items of size 0 or null get no container and no row. Extra columns are left out. Container ids are strings of
-    group and number; empty tables give no rows.
+    given; where no capacity at all is given every item is a container of its own length. Items of size 0 or null get no
+    container and no row. Extra columns are left out. Container ids are strings of group and number; empty tables give no
+    rows.
     """
     spark = items.sparkSession
-    caps = {g: int(c) for g, c in capacities.where("capacity > 0").select(F.lower(F.trim(group)), "capacity").collect()}
+    known = capacities.where("capacity > 0").groupBy(F.lower(F.trim(group)).alias("g")).agg(F.max("capacity").alias("c"))
+    caps = {g: int(c) for g, c in known.where("g is not null").limit(MAX_LENGTHS + 1).collect()}
+    if sum(caps.values()) > MAX_LENGTHS:
+        raise ValueError(f"capacities of {sum(caps.values())} lengths together are beyond MAX_LENGTHS")
+    kind = items.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, part int, length int, {group} string, container_id string, capacity int"
     if not caps:
-        caps = {"": 4096}
+        own = items.where(F.col(size) > 0).select(F.col(key), F.lit(0).alias("part"), F.col(size).cast("int").alias("length"), F.lit("").alias(group), F.concat(F.lit("#"), F.col(key).cast("string")).alias("container_id"), F.col(size).cast("int").alias("capacity"))
+        return own
     default = max(caps.values())
     name = F.coalesce(F.lower(F.trim(group)), F.lit(""))
     cap = F.coalesce(F.create_map(*[F.lit(x) for g, c in caps.items() for x in (g, c)])[name], F.lit(default))
     sized = items.where(F.col(size) > 0).select(F.col(key).alias("_key"), F.when(name.isin(*caps), name).otherwise("").alias("_group"), F.col(size).cast("long").alias("_size"), cap.cast("long").alias("_cap"))
     pieces = sized.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / F.col("_cap")) - 1)))
     pieces = pieces.withColumn("_length", F.least(F.col("_cap"), F.col("_size") - F.col("_part") * F.col("_cap")).cast("int"))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("_key", "_part"), F.lit(SALTS)).cast("int"))
-    histogram = pieces.groupBy("_group", "_cap", "_length", "_salt").count()
-    rows = histogram.collect()  # sources x lengths x salts, whatever the number of rows
-    if len(rows) > MAX_LENGTHS * SALTS:
-        raise ValueError("more lengths than MAX_LENGTHS")
-    by_group: dict[tuple[str, int], dict[int, np.ndarray]] = {}
-    for g, c, length, salt, n in rows:
-        by_group.setdefault((g, c), {}).setdefault(length, np.zeros(SALTS, np.int64))[salt] += n
-    starts: dict[tuple[str, int], np.ndarray] = {}
+    counted = pieces.groupBy("_group", "_cap", "_length").count().toArrow()
+    rows = list(zip(*(counted.column(i).to_pylist() for i in range(4))))
+    # a length that many sequences have is numbered in parts, by the key's hash; most lengths have one part
+    salts = {(g, length): -(-n // PART_ROWS) for g, _, length, n in rows if n > PART_ROWS}
+    pieces = pieces.withColumn("_salt", F.lit(0))
+    parts: dict[tuple[str, int], np.ndarray] = {}
+    if salts:
+        many = F.broadcast(spark.createDataFrame([(g, length, n) for (g, length), n in salts.items()], "_group string, _length int, _salts int"))  # at most all rows / PART_ROWS
+        pieces = pieces.drop("_salt").join(many, ["_group", "_length"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_key", "_part"), F.col("_salts")), F.lit(0)).cast("int"))
+        for g, length, salt, n in pieces.where("_salts is not null").groupBy("_group", "_length", "_salt").count().collect():
+            parts.setdefault((g, length), np.zeros(salts[g, length], np.int64))[salt] = n
+    by_group: dict[tuple[str, int], np.ndarray] = {}
+    for g, c, length, n in rows:
+        by_group.setdefault((g, c), np.zeros(c + 1, np.int64))[length] = n
+    starts = {at: np.concatenate(([0], np.cumsum(n)))[:-1] for at, n in parts.items()}
     slots: dict[tuple[str, int], tuple[np.ndarray, ...]] = {}
-    for (g, c), lengths in sorted(by_group.items()):
-        counts = np.zeros(c + 1, np.int64)
-        for length, salted in lengths.items():
-            counts[length] = salted.sum()
-            starts[g, length] = np.concatenate(([0], np.cumsum(salted)))[:-1]
+    for (g, c), counts in sorted(by_group.items()):
         rank: dict[int, int] = {}
         table: dict[int, list[tuple[int, int, int, int]]] = {}
         first = 0
@@ -148,7 +158,9 @@ def pack(items: DataFrame, key: str, group: str, size: str, capacities: DataFram
             d = b.to_pandas()
             container, capacity = np.empty(len(d), object), np.zeros(len(d), np.int32)
             for (g, length), at in d.groupby(["_group", "_length"]).indices.items():
-                ranks = starts[g, length][d["_salt"].to_numpy()[at]] + d["_rank"].to_numpy()[at] - 1
+                ranks = d["_rank"].to_numpy()[at] - 1
+                if (g, length) in starts:
+                    ranks = ranks + starts[g, length][d["_salt"].to_numpy()[at]]
                 begin, n, first, size = slots[g, length]
                 k = np.searchsorted(begin, ranks, "right") - 1
                 number = first[k] + (ranks - begin[k]) // n[k]
@@ -159,9 +171,8 @@ def pack(items: DataFrame, key: str, group: str, size: str, capacities: DataFram
     from pyspark.sql import Window
 
     ranked = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("_group", "_length", "_salt").orderBy("_key", "_part")))
-    kind = items.schema[key].dataType.simpleString()
     chosen = ranked.select("_key", "_part", "_length", "_group", "_salt", "_rank")
-    return chosen.mapInArrow(assign, f"{key} {kind}, part int, length int, {group} string, container_id string, capacity int")
+    return chosen.mapInArrow(assign, schema)
 
 
 def sequence_lengths(rollout: DataFrame) -> DataFrame:

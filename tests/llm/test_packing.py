@@ -58,3 +58,14 @@ def test_frame(spark):
 def test_lengths_once(spark):
     df = spark.createDataFrame([(1, "a", [1, 0, 1]), (1, "a", [1, 0, 1]), (2, None, None), (3, "b", [])], "row_idx long, data_source string, attention_mask array<int>")
     assert {(r.row_idx, r.size) for r in P.sequence_lengths(df).collect()} == {(1, 2), (2, 0), (3, 0)}
+
+
+def test_a_hot_length_is_numbered_in_parts(spark, monkeypatch):
+    items = spark.createDataFrame([(i, "a", 10 if i % 3 else 7) for i in range(900)], "row_idx long, data_source string, size int")
+    caps = spark.createDataFrame([("a", 32)], "data_source string, capacity int")
+    monkeypatch.setattr(P, "PART_ROWS", 50)
+    out = P.pack(items, "row_idx", "data_source", "size", caps).toPandas()
+    bins = out.groupby("container_id").agg(total=("length", "sum"), room=("capacity", "max"))
+    assert len(out) == 900 and (bins.total <= bins.room).all() and bins.total.sum() > 0.9 * bins.room.sum()
+    alone = P.pack(items, "row_idx", "data_source", "size", caps.limit(0)).toPandas()
+    assert (alone.capacity == alone.length).all() and alone.container_id.nunique() == 900
