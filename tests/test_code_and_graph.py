@@ -56,6 +56,20 @@ def test_extraction_and_masking():
     assert [f["name"] for f in C.every_function(SOURCE)] == ["outer", "inner"]
 
 
+def test_functions_of_broken_files():
+    broken = "class A:\n    def one_more(self):\n        return 0\n\n    def one(self, a=(1,\n            2)):\n        # note\n        if a:\n            return 1\n        return 2\n\n    def two(self): return 3\n\nx = (\n"
+    one, two = C.extracted(broken, "one"), C.extracted(broken, "two")
+    assert (one["start_line"], one["end_line"]) == (4, 11) and one["masked_code"].split("\n")[4:8] == ["    def one(self, a=(1,", "            2)):", "        # <MASKED_FUNCTION_BODY>", "    def two(self): return 3"]
+    assert "return 3" in two["masked_code"] and two["start_line"] == 11
+    assert C.extracted(broken, "on") is None and C.extracted("def f(", "f") is None
+
+
+def test_masking_of_unlike_bodies():
+    masked = lambda code, name="f": C.extracted(code, name)["masked_code"]
+    assert masked("def f(\n  a,\n):\n\n    # why\n    @deco\n    def g(): pass\n    return g\ny = 1") == "def f(\n  a,\n):\n    # <MASKED_FUNCTION_BODY>\ny = 1"
+    assert masked("def f(x: dict = {'a:': 1}) -> 'a:b':\n\treturn 1") == "def f(x: dict = {'a:': 1}) -> 'a:b':\n\t# <MASKED_FUNCTION_BODY>"
+
+
 def test_objects():
     assert C.balanced_object('x {"a": "}{", "b": {"c": 1}} y') == '{"a": "}{", "b": {"c": 1}}' and C.balanced_object("{") is None
     assert C.response_object('```json\n{"a": 1}\n```') == '{"a": 1}' and C.response_object("say {\"a\": 2}") == '{"a": 2}' and C.response_object(None) is None
