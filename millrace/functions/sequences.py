@@ -201,10 +201,12 @@ def sft_mask(attention: Column | str, prompt_length: Column, response_length: Co
     return F.transform(_c(attention), lambda m, i: F.when((prompt_length > 1) & (i < head), 0).when(i == last, 0).otherwise(m))
 
 
-def turn_mask(lengths: Column | str, wanted: Column | str, size: int) -> Column:
-    """Loss mask over turns: lengths of the turns in tokens, and which of them count; padded or cut to `size`."""
+def turn_mask(lengths: Column | str, wanted: Column | str, size: int | None = None) -> Column:
+    """Loss mask over turns: lengths of the turns in tokens, and which of them count; padded or cut to `size` if given."""
     spans = F.zip_with(_c(lengths), _c(wanted), lambda n, w: F.array_repeat(F.when(w, 1).otherwise(0), n))
     flat = F.flatten(spans)
+    if size is None:
+        return flat
     return F.slice(F.concat(flat, F.array_repeat(F.lit(0), F.greatest(F.lit(size) - F.size(flat), F.lit(0)))), 1, size)
 
 

@@ -33,8 +33,9 @@ def unix_lines(s: Column | str) -> Column:
 
 
 def repo_name(url: Column | str) -> Column:
-    """Last segment of an address's path, if the path has two segments or more."""
-    path = F.try_parse_url(strip(url), F.lit("PATH"))
+    """Last segment of an address's path, if the path has two segments or more. An address without a scheme, as ssh has
+    them, is all path."""
+    path = F.regexp_extract(strip(url), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
     parts = F.filter(F.split(F.regexp_replace(path, "^/+|/+$", ""), "/", -1), lambda x: x != "")
     return F.when(F.size(parts) >= 2, F.element_at(parts, -1))
 

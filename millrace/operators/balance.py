@@ -9,7 +9,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BATCH = 1_000_000
@@ -124,10 +124,11 @@ def token_budget(df: DataFrame, batch: str, position: str, size: str, budget: in
 def imbalance(df: DataFrame, batch: str, position: str, size: str, part: str, parts: int) -> DataFrame:
     """For each batch the least, most and mean load of consecutive parts, and the least and most of the given parts."""
     sized = df.select(batch, position, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(part).alias("_part"))
-    n = sized.groupBy(F.col(batch).alias("_b")).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
-    joined = sized.join(n, sized[batch].eqNullSafe(n["_b"]))
+    n = sized.groupBy(F.col(batch).alias("_b")).agg(F.count("*").alias("_n"))
+    ranked = sized.withColumn("_k", F.row_number().over(Window.partitionBy(batch).orderBy(position)) - 1)  # a batch is bounded
+    joined = ranked.join(n, ranked[batch].eqNullSafe(n["_b"]))
     per = F.greatest(F.ceil(F.col("_n") / parts), F.lit(1))
-    plain = joined.groupBy(batch, F.floor((F.col(position) - F.col("_first")) / per).alias("_p")).agg(F.sum("_size").alias("load"))
+    plain = joined.groupBy(batch, F.floor(F.col("_k") / per).alias("_p")).agg(F.sum("_size").alias("load"))
     given = joined.groupBy(batch, "_part").agg(F.sum("_size").alias("load"))
     a = plain.groupBy(batch).agg(F.min("load").alias("min"), F.max("load").alias("max"), F.avg("load").alias("mean"))
     b = given.groupBy(F.col(batch).alias("_b")).agg(F.min("load").alias("balanced_min"), F.max("load").alias("balanced_max"))

@@ -70,9 +70,18 @@ def inverse(permutation: DataFrame, at: str = "at", place: str = "place") -> Dat
 
 
 def cut(df: DataFrame, start: int = 0, stop: int | None = None, step: int = 1) -> DataFrame:
-    """Positions start, start + step, ... before stop; negative bounds count from the end as in a slice."""
-    if step < 1:
-        raise ValueError("step must be positive")
+    """Positions start, start + step, ... before stop; negative bounds count from the end as in a slice. With a negative step a
+    start of 0 means the end."""
+    if step == 0:
+        raise ValueError("step must not be 0")
+    if step < 0:  # backwards from start, as [::-1] does
+        n = df.count()
+        places = range(n)[slice(None if start == 0 else start, stop, step)]
+        if not len(places):
+            return df.limit(0)
+        at = F.col(IDX)
+        inside = at.between(places[-1], places[0]) & ((F.lit(places[0]) - at) % -step == 0)
+        return df.where(inside).withColumn(IDX, F.expr(f"({places[0]} - {IDX}) div {-step}"))
     if start < 0 or stop is not None and stop < 0:
         n = df.count()
         start = max(0, start + n) if start < 0 else start
@@ -190,7 +199,7 @@ def transpose(df: DataFrame, sample: str, value: str) -> DataFrame:
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
     """The rows in an order drawn by a hash of seed and position: the same each time and on any cluster."""
-    return positions(df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(IDX))).withColumnRenamed(IDX, "_was"), "_h", "_was").drop("_h", "_was")
+    return positions(df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(IDX).cast("string")))).withColumnRenamed(IDX, "_was"), "_h", "_was").drop("_h", "_was")
 
 
 def mini_batches(df: DataFrame, size: int, epochs: int, seed: int | None = None) -> DataFrame:

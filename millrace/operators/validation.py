@@ -8,7 +8,7 @@ from operator import and_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import written
@@ -169,6 +169,23 @@ def best_of(df: DataFrame, source: str, prompt: str, variable: str, value: str,
     return by_row.unionByName(by_count)
 
 
+def expected_extremes(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, size, best, worst: exact means of the largest and least of `size` values drawn with replacement, for the sizes
+    2, 4, 8 ... and all, of each group of two values or more. Null values are left out.
+
+    Rows become counts of values, which are combined before their shuffle; what is ordered are a group's distinct values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    shares = counts.select(*keys, "_v", "_n", upto.alias("_upto"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_all")).where("_all > 1")
+    below = F.filter(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda k: F.pow(F.lit(2.0), k).cast("long")), lambda x: x < F.col("_all"))
+    each = shares.withColumn("size", F.explode(F.concat(below, F.array("_all"))))
+    p, q = F.col("_upto") / F.col("_all"), (F.col("_upto") - F.col("_n")) / F.col("_all")
+    best = F.sum(F.col("_v") * (F.pow(p, "size") - F.pow(q, "size")))
+    worst = F.sum(F.col("_v") * (F.pow(1 - q, "size") - F.pow(1 - p, "size")))
+    return each.groupBy(*keys, "size").agg(best.alias("best"), worst.alias("worst"))
+
+
 def by_source(metrics: DataFrame, source: str, variable: str) -> DataFrame:
     """Mean over prompts of each metric."""
     return metrics.groupBy(source, variable, "metric").agg(F.avg("value").alias("value"))

@@ -65,10 +65,15 @@ def loose_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("uid", A.loosely_equal("a", "b").alias("same"))
 
 
-@register("minerva_spelling")
+@register("minerva_spelling", f"WITH {LAST_SQL}, s AS (SELECT result_id, coalesce(regexp_extract_all(text, '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1], '[INVALID]') AS given FROM l) SELECT result_id, {A.minerva_sql('given')} AS answer FROM s")
 def minerva_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = last_messages(spark, sf_dir)
-    return m.select("result_id", A.minerva(A.stated_answer("text")).alias("answer"), A.normalised_column(A.box_column("text")).alias("box"))
+    return last_messages(spark, sf_dir).select("result_id", A.minerva(A.stated_answer("text")).alias("answer"))
+
+
+@register("box_spelling")
+def box_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in one spelling, by ordered rewriting; tests hold it."""
+    return last_messages(spark, sf_dir).select("result_id", A.normalised_column(A.box_column("text")).alias("box"))
 
 
 @register(
@@ -82,10 +87,28 @@ def number_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_messages(spark, sf_dir).select("result_id", S.number_match(F.col("text"), A.last_number("text"), "strict", 0.1).alias("score"))
 
 
-@register("dispatched_scores")
+_LAST_NUMBER_SQL = "coalesce(list_filter(regexp_extract_all(text, '(\\-?[0-9\\.\\,]+)', 1), lambda x: x <> '' AND x <> '.')[-1], regexp_extract_all(text, '(\\-?[0-9\\.\\,]+)', 1)[1])"
+
+
+@register(
+    "dispatched_scores",
+    f"""WITH {LAST_SQL}, e AS (SELECT result_id, any_value(lower(eval_name)) AS eval_name FROM eval_results GROUP BY result_id), a AS (SELECT l.result_id, eval_name, text, {_LAST_NUMBER_SQL} AS want, nullif(regexp_replace(regexp_extract(text, '#### (\\-?[0-9\\.\\,]+)', 1), '[,$]', '', 'g'), '') AS hashed,
+    nullif(regexp_extract(text, '(?i)Answer[ \\t]*:[ \\t]*\\$?([A-D])\\$?', 1), '') AS letter, coalesce(regexp_extract_all(right(text, 300), '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1], '[INVALID]') AS stated, regexp_extract_all(right(text, 100), '\\\\boxed\\{{([^{{}}]*)\\}}', 1)[-1] AS box FROM l JOIN e USING (result_id)), m AS (SELECT *, {A.minerva_sql('stated')} AS stated_m, {A.minerva_sql('want')} AS want_m FROM a)
+    SELECT result_id, eval_name, CAST(CASE eval_name WHEN 'mc_general' THEN CASE WHEN letter = want THEN 1 ELSE 0 END WHEN 'code_exec' THEN CASE WHEN hashed = want THEN 1 ELSE 0 END WHEN 'theorem_short' THEN CASE WHEN stated_m = want_m THEN 1 ELSE -1 END ELSE CASE WHEN box = want THEN 1 ELSE -1 END END AS DOUBLE) AS score FROM m""",
+)
 def dispatched_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row by its source's rule, against the row's own last number; boxes need a UDF, so there is no SQL."""
-    rules = {"math_final": S.box_match, "mc_general": S.letter_match, "code_exec": S.number_match, "theorem_short": S.stated_match}
+    """Each row by its source's rule, against the row's own last number."""
+    rules = {"mc_general": S.letter_match, "code_exec": S.number_match, "theorem_short": S.stated_match}
+    return _dispatched(spark, sf_dir, rules)
+
+
+@register("dispatched_boxes")
+def dispatched_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of one source are compared in one spelling, which is no SQL."""
+    return _dispatched(spark, sf_dir, {"math_final": S.box_match})
+
+
+def _dispatched(spark: SparkSession, sf_dir: str, rules: dict[str, S.Rule]) -> DataFrame:
     names = table(spark, sf_dir, "eval_results").groupBy("result_id").agg(F.lower(F.first("eval_name")).alias("eval_name"))
     m = last_messages(spark, sf_dir).join(names, "result_id")
     return m.select("result_id", "eval_name", S.dispatch(F.col("eval_name"), F.col("text"), A.last_number("text"), rules, S.strict_box_match).alias("score"))

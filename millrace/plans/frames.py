@@ -77,6 +77,11 @@ def sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.cut(_parts(spark, sf_dir), 5, 150, 3)
 
 
+@register("reversed_slice", f"WITH {PARTS_SQL}, n AS (SELECT count(*) AS n FROM b) SELECT (n - 1 - row_idx) // 2 AS row_idx, p_partkey, p_name, p_size FROM b, n WHERE (n - 1 - row_idx) % 2 = 0")
+def reversed_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.cut(_parts(spark, sf_dir), step=-2)
+
+
 @register("masked_rows", f"WITH {PARTS_SQL} SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, p_partkey, p_name, p_size FROM b WHERE p_size > 25")
 def masked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.masked(_parts(spark, sf_dir), F.col("p_size") > 25)
@@ -121,9 +126,13 @@ def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.transpose(e, "event_id", "value")
 
 
-@register("shuffled_batches")
+@register(
+    "shuffled_batches",
+    f"""WITH {PARTS_SQL}, c AS (SELECT * FROM b WHERE row_idx < (SELECT count(*) FROM b) // 10 * 10), s AS (SELECT row_number() OVER (PARTITION BY e ORDER BY md5((3 + e) || ':' || row_idx), row_idx) - 1 AS row_idx, p_partkey, p_name, p_size, CAST(e AS INTEGER) AS epoch FROM c, (SELECT unnest(range(2)) AS e))
+    SELECT *, row_idx // 10 AS batch_id FROM s""",
+)
 def shuffled_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two epochs of seeded mini-batches; the order is a hash's, so there is no SQL for it."""
+    """Two epochs of seeded mini-batches, each in the order of its own hash."""
     b = _parts(spark, sf_dir)
     return frame.mini_batches(frame.cut(b, 0, b.count() // 10 * 10), 10, 2, seed=3)
 
@@ -150,6 +159,17 @@ def token_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.token_budget(_steps(spark, sf_dir), "step", "row_idx", "len", 2048)
 
 
+@register(
+    "imbalance_before",
+    """WITH d AS (SELECT row_idx, any_value(step) AS step, any_value(list_sum(list_slice(attention_mask, 81, 240))) AS len FROM rollout GROUP BY row_idx), r AS (SELECT step, len, row_number() OVER (PARTITION BY step ORDER BY row_idx) - 1 AS k, count(*) OVER (PARTITION BY step) AS n FROM d),
+    p AS (SELECT step, k // CAST(ceil(n / 4) AS BIGINT) AS part, sum(len) AS load FROM r WHERE n >= 4 GROUP BY ALL) SELECT step, CAST(min(load) AS BIGINT) AS min, CAST(max(load) AS BIGINT) AS max, round(avg(load), 6) AS mean, CAST(max(load) - min(load) AS BIGINT) AS diff FROM p GROUP BY step""",
+)
+def imbalance_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads of consecutive parts, before any balancing."""
+    r = _steps(spark, sf_dir).withColumn("part", F.lit(0))
+    return balance.imbalance(r, "step", "row_idx", "len", "part", 4).select("step", "min", "max", F.round("mean", 6).alias("mean"), "diff")
+
+
 @register("balance_report")
 def balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _steps(spark, sf_dir)

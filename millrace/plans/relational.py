@@ -35,14 +35,18 @@ def catalogue_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "repo_catalog").agg(F.count("*").alias("n"), F.count_if(filled("repo_id") & filled("repository_url")).alias("valid"))
 
 
+_PATH_SQL = "regexp_extract(trim(repository_url), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+
+
 @register(
     "repository_names",
-    """SELECT repo_id, CASE WHEN len(p) >= 2 THEN p[-1] END AS name, regexp_replace(repository_url, '\\.git$', '').split('/')[-1] AS base, regexp_replace(repository_url, '[.git]+$', '').split('/')[-1] AS trimmed
-    FROM (SELECT repo_id, repository_url, list_filter(string_split(regexp_replace(trim(repository_url), '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> '') AS p FROM (SELECT DISTINCT repo_id, repository_url FROM repo_catalog) WHERE repository_url LIKE 'https://%')""",
+    f"""SELECT repo_id, repository_url, CASE WHEN len(p) >= 2 THEN p[-1] END AS name, regexp_replace(repository_url, '\\.git$', '').split('/')[-1] AS base, regexp_replace(repository_url, '[.git]+$', '').split('/')[-1] AS trimmed
+    FROM (SELECT repo_id, repository_url, list_filter(string_split({_PATH_SQL}, '/'), lambda x: x <> '') AS p FROM (SELECT DISTINCT repo_id, repository_url FROM repo_catalog))""",
 )
 def repository_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "repo_catalog").where("repository_url like 'https://%'").select("repo_id", "repository_url").distinct()
-    return c.select("repo_id", T.repo_name("repository_url").alias("name"), T.repo_base("repository_url").alias("base"), T.repo_base("repository_url", exact=False).alias("trimmed"))
+    """Of every address, ssh forms and null ones included."""
+    c = table(spark, sf_dir, "repo_catalog").select("repo_id", "repository_url").distinct()
+    return c.select("repo_id", "repository_url", T.repo_name("repository_url").alias("name"), T.repo_base("repository_url").alias("base"), T.repo_base("repository_url", exact=False).alias("trimmed"))
 
 
 @register(
@@ -88,9 +92,9 @@ def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "py_files").select("sample_id", T.line_count("code_content").alias("lines"))
 
 
-@register("function_counts")
+@register("function_counts", "SELECT sample_id, func_num, func_num AS functions FROM py_files")
 def function_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counted by Python's parser, which SQL can't say; tests hold it against the table's own counts."""
+    """Counted by Python's parser; the table's own counts are the answer."""
     return table(spark, sf_dir, "py_files").select("sample_id", "func_num", C.function_count_column("code_content").alias("functions"))
 
 
@@ -258,10 +262,22 @@ def turn_loss_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "eval_results").groupBy("result_id").agg(F.first("convo").alias("convo")).where("convo is not null and size(convo) > 0")
     n = F.transform("convo", lambda m: F.size(F.split(F.coalesce(m["content"], F.lit("")), " ", -1)))
-    e = e.withColumn("n", n).withColumn("w", F.transform("convo", lambda m: m["role"] == "assistant")).withColumn("total", F.aggregate("n", F.lit(0), lambda a, x: a + x))
-    mask = F.flatten(F.zip_with("n", "w", lambda k, w: F.array_repeat(F.when(w, 1).otherwise(0), k)))
-    del Q
-    return e.select("result_id", F.aggregate(mask, F.lit(0), lambda a, x: a + x).alias("assistant"), F.size(mask).alias("all_tokens"))
+    e = e.select("result_id", n.alias("n"), F.transform("convo", lambda m: m["role"] == "assistant").alias("w")).withColumn("mask", Q.turn_mask("n", "w"))
+    return e.select("result_id", F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("assistant"), F.size("mask").alias("all_tokens"))
+
+
+@register(
+    "turn_masks",
+    """WITH e AS (SELECT result_id, any_value(convo) AS convo FROM eval_results GROUP BY result_id), t AS (SELECT result_id, unnest(convo) AS m, generate_subscripts(convo, 1) AS k FROM e), f AS (SELECT result_id, list(CASE WHEN m.role = 'assistant' THEN 1 ELSE 0 END ORDER BY k, j) AS l FROM (SELECT result_id, m, k, unnest(range(len(string_split(coalesce(m.content, ''), ' ')))) AS j FROM t) GROUP BY result_id)
+    SELECT result_id, list_transform(range(1, 65), lambda i: CAST(CASE WHEN i > len(l) THEN 0 ELSE l[i] END AS INTEGER)) AS mask FROM f""",
+)
+def turn_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As turn_loss_tokens, padded or cut to 64 tokens."""
+    from millrace.functions import sequences as Q
+
+    e = table(spark, sf_dir, "eval_results").groupBy("result_id").agg(F.first("convo").alias("convo")).where("convo is not null and size(convo) > 0")
+    n = F.transform("convo", lambda m: F.size(F.split(F.coalesce(m["content"], F.lit("")), " ", -1)))
+    return e.select("result_id", n.alias("n"), F.transform("convo", lambda m: m["role"] == "assistant").alias("w")).select("result_id", Q.turn_mask("n", "w", 64).alias("mask"))
 
 
 @register("string_date_range", "SELECT o_orderkey FROM orders WHERE strftime(o_orderdate, '%Y-%m-%d') >= '1996-08-00' AND strftime(o_orderdate, '%Y-%m-%d') < '1997-01-00'")
@@ -271,19 +287,6 @@ def string_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where((d >= "1996-08-00") & (d < "1997-01-00")).select("o_orderkey")
 
 
-@register("tidied_titles", "SELECT doc_id, replace(regexp_replace(replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS tidy FROM (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x20-\\x7e\\n]*$'))")
-def tidied_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compared on texts of plain characters, on which both engines' white space is the same. `tidied_texts` has all."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike("^[\\x20-\\x7e\\n]*$"))
-    return d.select("doc_id", T.tidied("text").alias("tidy"))
-
-
-@register("tidied_texts")
-def tidied_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document. White space is Python's, which is not DuckDB's, so there is no SQL; tests hold it against Python."""
-    return table(spark, sf_dir, "documents").select("doc_id", T.tidied("text").alias("tidy"))
-
-
 @register("prompt_length_filter", "SELECT item_id FROM eval_items WHERE len(string_split(question, ' ')) <= 60")
 def prompt_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").where(F.size(F.split("question", " ", -1)) <= 60).select("item_id")
@@ -308,10 +311,32 @@ def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("result_id", F.explode("m").alias("e")).select("result_id", F.col("e.key").alias("name"), F.round("e.value", 6).alias("value"))
 
 
-@register("metric_sections", "SELECT metric, CASE WHEN regexp_matches(metric, '^(mean|std|maj|best)') AND contains(metric, '@8/') THEN 'val-core' ELSE 'val-aux' END AS section FROM (SELECT unnest(['mean@8', 'std@8', 'best@8/mean', 'best@4/mean', 'worst@8/mean', 'maj@8/mean', 'best@8/std']) AS metric)")
+_METRIC_NAMES = ["mean@8", "std@8", "best@8/mean", "best@4/mean", "worst@8/mean", "maj@8/mean", "best@8/std"]
+
+
+@register("metric_sections", f"""SELECT var, metric, CASE WHEN var = 'acc' AND regexp_matches(metric, '^(mean|std|maj|best)') AND contains(metric, '@8/') THEN 'val-core' ELSE 'val-aux' END AS section FROM (SELECT DISTINCT unnest(map_keys(metrics)) AS var FROM eval_results), (SELECT unnest({_METRIC_NAMES}) AS metric)""")
 def metric_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spark.createDataFrame([(x,) for x in ("mean@8", "std@8", "best@8/mean", "best@4/mean", "worst@8/mean", "maj@8/mean", "best@8/std")], "metric string")
-    return m.select("metric", V.section(F.lit("acc"), F.col("metric"), F.lit("acc"), F.lit(8)).alias("section"))
+    """Every variable of the evaluations with every form of a metric."""
+    v = table(spark, sf_dir, "eval_results").select(F.explode(F.map_keys("metrics")).alias("var")).distinct()
+    m = v.select("var", F.explode(F.array(*map(F.lit, _METRIC_NAMES))).alias("metric"))
+    return m.select("var", "metric", V.section(F.col("var"), F.col("metric"), F.lit("acc"), F.lit(8)).alias("section"))
+
+
+@register(
+    "expected_best_of_n",
+    """WITH r AS (SELECT row_idx, any_value(coalesce(uid, '')) AS uid, any_value(coalesce(lower(data_source), '')) AS data_source, any_value(list_sum(token_level_scores)) AS score FROM rollout GROUP BY row_idx),
+    k AS (SELECT data_source, uid, score, count(*) AS n FROM r WHERE score IS NOT NULL GROUP BY ALL), g AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY data_source, uid) AS total FROM k WINDOW w AS (PARTITION BY data_source, uid ORDER BY score)),
+    s AS (SELECT *, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768], lambda x: x < total), total)) AS size FROM g WHERE total > 1),
+    p AS (SELECT data_source, uid, size, sum(score * ((upto / total) ** size - ((upto - n) / total) ** size)) AS best, sum(score * ((1 - (upto - n) / total) ** size - (1 - upto / total) ** size)) AS worst FROM s GROUP BY ALL)
+    SELECT data_source, CAST(size AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS prompts, round(avg(best), 6) AS best, round(avg(worst), 6) AS worst FROM p GROUP BY ALL""",
+)
+def expected_best_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact expectations of the best and worst of n runs drawn with replacement, over all runs of each prompt."""
+    from millrace.plans.groups import scored
+
+    r = scored(spark, sf_dir).select(F.coalesce("data_source", F.lit("")).alias("data_source"), F.coalesce("uid", F.lit("")).alias("uid"), "score")
+    out = V.expected_extremes(r, ["data_source", "uid"], "score").groupBy("data_source", "size").agg(F.count("*").alias("prompts"), F.avg("best").alias("best"), F.avg("worst").alias("worst"))
+    return out.select("data_source", "size", "prompts", F.round("best", 6).alias("best"), F.round("worst", 6).alias("worst"))
 
 
 @register("best_of_n")

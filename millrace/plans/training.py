@@ -18,12 +18,12 @@ from millrace.session import table
 
 @register(
     "assembled_rollouts",
-    """WITH d AS (SELECT row_idx, any_value(prompts) AS p, any_value(responses) AS r, any_value(list_slice(attention_mask, 1, 80)) AS m FROM rollout GROUP BY row_idx), e AS (SELECT *, CASE WHEN list_position(r, 1) > 0 THEN list_position(r, 1) ELSE 160 END AS k FROM d)
-    SELECT row_idx, CAST(list_sum(p) + list_sum(r) AS BIGINT) AS ids, CAST(list_sum(m) + k AS BIGINT) AS attended, CAST(greatest(list_sum(m) - 1, 0) + 160 AS BIGINT) AS last_position FROM e WHERE p IS NOT NULL AND r IS NOT NULL AND len(r) = 160""",
+    """WITH d AS (SELECT row_idx, any_value(prompts) AS p, any_value(responses) AS r, any_value(list_slice(attention_mask, 1, 80)) AS m FROM rollout GROUP BY row_idx), e AS (SELECT *, CASE WHEN list_position(r, 1) > 0 THEN list_position(r, 1) ELSE len(r) END AS k FROM d)
+    SELECT row_idx, CAST(list_sum(p) + coalesce(list_sum(r), 0) AS BIGINT) AS ids, CAST(list_sum(m) + k AS BIGINT) AS attended, CAST(greatest(list_sum(m) - 1, 0) + len(r) AS BIGINT) AS last_position FROM e WHERE p IS NOT NULL AND r IS NOT NULL""",
 )
 def assembled_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows put together again from prompts and responses, shown as sums."""
-    d = table(spark, sf_dir, "rollout").select("row_idx", "prompts", "responses", F.slice("attention_mask", 1, 80).alias("pm")).where("prompts is not null and size(responses) = 160")
+    d = table(spark, sf_dir, "rollout").select("row_idx", "prompts", "responses", F.slice("attention_mask", 1, 80).alias("pm")).where("prompts is not null and responses is not null")
     full = R.rollout_rows(d, "prompts", "responses", "pm", 1)
     add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return once(full.select("row_idx", add("input_ids").alias("ids"), add("attention_mask").alias("attended"), F.element_at("position_ids", -1).alias("last_position")))
@@ -31,12 +31,14 @@ def assembled_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "judge_replies",
-    """WITH j AS (SELECT doc_id, regexp_extract(replace(text, chr(13) || chr(10), chr(10)), '(?s)```json\\n(.*?)```', 1) AS o FROM documents WHERE source = 'judge_reply' AND contains(text, '```json'))
-    SELECT doc_id, round(CAST(json_extract_string(o, '$.complexity_score') AS DOUBLE), 6) AS complexity, CAST(json_extract_string(o, '$.is_suitable') AS BOOLEAN) AS suitable FROM j WHERE json_valid(o)""",
+    """WITH j AS (SELECT doc_id, replace(text, chr(13) || chr(10), chr(10)) AS t FROM documents WHERE source = 'judge_reply' AND text IS NOT NULL), b AS (SELECT doc_id, nullif(regexp_extract(t, '(?s)```(?:json)?\\s*\\n?(.*?)```', 1), '') AS fenced, regexp_extract(t, '(\\{[^{}]*\\})', 1) AS free FROM j),
+    o AS (SELECT doc_id, CASE WHEN starts_with(trim(fenced, ' ' || chr(10) || chr(9)), '{') THEN fenced ELSE free END AS o FROM b)
+    SELECT doc_id, round(CAST(json_extract_string(o, '$.complexity_score') AS DOUBLE), 6) AS complexity, CAST(json_extract_string(o, '$.is_suitable') AS BOOLEAN) AS suitable FROM o WHERE json_valid(o) AND json_extract_string(o, '$.complexity_score') IS NOT NULL""",
 )
 def judge_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects in fenced blocks of judges' replies; replies that don't parse are left out."""
-    d = table(spark, sf_dir, "documents").where("source = 'judge_reply'").where(F.contains("text", F.lit("```json"))).select("doc_id", C.object_column(T.unix_lines("text")).alias("o"))
+    """Objects of judges' replies, in a fenced block or else the first whose braces balance; replies whose object doesn't
+    parse, or lacks the score that it must have, are left out."""
+    d = table(spark, sf_dir, "documents").where("source = 'judge_reply'").select("doc_id", C.object_column(T.unix_lines("text")).alias("o"))
     p = F.from_json("o", "complexity_score double, is_suitable boolean, rejection_reason string")
     return d.select("doc_id", p.alias("p")).where("p.complexity_score is not null").select("doc_id", F.round("p.complexity_score", 6).alias("complexity"), F.col("p.is_suitable").alias("suitable"))
 
@@ -53,15 +55,6 @@ def log_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("doc_id").agg(F.count("*").alias("steps"), F.round(F.max(F.regexp_extract("line", "critic/score/mean:(-?[0-9.]+)", 1).cast("double")), 6).alias("best"))
 
 
-@register(
-    "chat_answers",
-    "SELECT doc_id, length(list_last(string_split(text, '<|im_start|>assistant'))) AS n FROM documents WHERE source = 'rollout_dump' AND contains(text, '<|im_start|>assistant')",
-)
-def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("source = 'rollout_dump'").where(F.contains("text", F.lit("<|im_start|>assistant")))
-    return d.select("doc_id", F.length(F.substring_index("text", "<|im_start|>assistant", -1)).cast("long").alias("n"))
-
-
 @register(
     "preference_cross_entropy",
     f"""WITH {TOKENS_SQL}, s AS (SELECT row_idx, sum((o - f) * m) AS x FROM t WHERE o IS NOT NULL AND f IS NOT NULL GROUP BY row_idx), {ROLLOUT_SQL}
@@ -118,11 +111,10 @@ def worker_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("s_suppkey", F.round("twice", 2).alias("twice"), "chunk_id")
 
 
-@register("hash_sample")
+@register("hash_sample", "SELECT item_id FROM eval_items ORDER BY md5('42:' || item_id), item_id LIMIT 50")
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of 50 items without replacement, the same each time: the feature is a sample, so the limit stays. The hash
-    is Spark's, so there is no SQL."""
-    return table(spark, sf_dir, "eval_items").orderBy(F.xxhash64(F.lit(42), "item_id"), "item_id").limit(50).select("item_id")
+    """A sample of 50 items without replacement, the same each time: the feature is a sample, so the limit stays."""
+    return table(spark, sf_dir, "eval_items").orderBy(F.md5(F.concat(F.lit("42:"), "item_id")), "item_id").limit(50).select("item_id")
 
 
 @register("common_sources", "SELECT DISTINCT lower(data_source) AS data_source FROM rollout WHERE lower(data_source) IN (SELECT data_source FROM token_budgets)")
@@ -139,14 +131,6 @@ def sft_loss_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumn("att", ones).select("row_idx", F.aggregate(Q.sft_mask("att", F.col("p"), F.col("n")), F.lit(0), lambda a, x: a + x).alias("tokens"))
 
 
-@register("packed_bounds", "SELECT uid, list_transform(range(0, len(l) + 1), lambda i: CAST(coalesce(list_sum(l[1:i]), 0) AS BIGINT)) AS bounds FROM (SELECT uid, list(len ORDER BY row_idx) AS l FROM (SELECT row_idx, any_value(uid) AS uid, any_value(CAST(list_sum(list_slice(attention_mask, 81, 240)) AS INTEGER)) AS len FROM rollout GROUP BY row_idx) WHERE uid LIKE 'val-00%' GROUP BY uid)")
-def packed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the sequences of a validation prompt begin when they are packed one after another, as arrays: the prompts that
-    its SQL names. `sequence_bounds` has all sequences."""
-    r = scored(spark, sf_dir).where("uid like 'val-00%'").groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "len"))), lambda x: x["len"]).alias("l"))
-    return r.select("uid", Q.cumulative_lengths("l").alias("bounds"))
-
-
 @register(
     "sequence_bounds",
     f"""WITH {ROLLOUT_SQL} SELECT row_idx, uid, CAST(coalesce(sum(len) OVER (PARTITION BY uid ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins,
