@@ -7,7 +7,7 @@ differ in length are read as if the shorter had zeros (masks: 0) at its end; nul
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,17 +36,65 @@ def lists(values: np.ndarray, lengths: np.ndarray, valid: np.ndarray | None = No
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=mask)
 
 
+#: Values of one padded matrix at most, but for a single row: rows are taken in order of length until it is full.
+CELLS = 4_000_000
+
+
+def _parts(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows in order of length, in parts whose padded matrix has at most CELLS values; a long row pads no others."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        size = lengths[order[at:]]
+        full = size * np.arange(1, len(size) + 1) > CELLS
+        n = max(1, int(np.argmax(full)) if full.any() else len(size))
+        yield np.sort(order[at : at + n])
+        at += n
+
+
+def _aligned(arrays: tuple[pa.Array, ...]) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    arrays = [a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a for a in arrays]
+    valid = np.ones(len(arrays[0]), bool)
+    for a in arrays:
+        valid &= pc.is_valid(a).to_numpy(zero_copy_only=False)
+    return arrays, valid, pc.fill_null(pc.list_value_length(arrays[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def fold(f: Callable[..., np.ndarray], *columns: Column | str) -> Column:
     """f over the padded matrices of array columns; the result is as long as the first array, null where any is null."""
 
     @F.arrow_udf("array<double>")
     def run(*arrays: pa.Array) -> pa.Array:
-        first, lengths = matrix(arrays[0])
-        others = [matrix(a, first.shape[1])[0][:, : first.shape[1]] for a in arrays[1:]]
-        valid = np.ones(len(first), bool)
-        for a in arrays:
-            valid &= pc.is_valid(a).to_numpy(zero_copy_only=False)
-        return lists(f(first, *others), np.where(valid, lengths, 0), valid)
+        arrays, valid, lengths = _aligned(arrays)
+        made, places = [], []
+        for rows in _parts(lengths):
+            take = pa.array(rows)
+            first, n = matrix(arrays[0].take(take))
+            others = [matrix(a.take(take), first.shape[1])[0][:, : first.shape[1]] for a in arrays[1:]]
+            made.append(lists(f(first, *others), np.where(valid[rows], n, 0), valid[rows]))
+            places.append(rows)
+        if len(made) <= 1:
+            return made[0] if made else pa.array([], pa.list_(pa.float64()))
+        return pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate(places), kind="stable")))
+
+    return run(*columns)
+
+
+def sums(f: Callable[..., dict[str, np.ndarray]], names: list[str], *columns: Column | str) -> Column:
+    """A struct of the row sums of the matrices that f gives by name; null where any array is null."""
+
+    @F.arrow_udf("struct<" + ",".join(f"{k}:double" for k in names) + ">")
+    def run(*arrays: pa.Array) -> pa.Array:
+        arrays, valid, lengths = _aligned(arrays)
+        out = np.zeros((len(names), len(valid)))
+        for rows in _parts(lengths):
+            take = pa.array(rows)
+            first, _ = matrix(arrays[0].take(take))
+            others = [matrix(a.take(take), first.shape[1])[0][:, : first.shape[1]] for a in arrays[1:]]
+            made = f(first, *others)
+            for i, k in enumerate(names):
+                out[i, rows] = np.asarray(made[k], float).sum(1)
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], names, mask=pa.array(~valid))
 
     return run(*columns)
 

@@ -100,6 +100,37 @@ def weighted_rloo(df: DataFrame, position: str, samples: int, rewards: dict[str,
     return out.withColumn("advantage", value).select(*df.columns, "advantage")
 
 
+#: Estimators along the tokens by name: each gives df `advantages` and `returns`, arrays over the response.
+TOKEN = ("gae", "reinforce_plus_plus", "remax")
+
+
+def token_advantage(df: DataFrame, estimator: str, rewards: str, mask: str, values: str | None = None, reference: str | None = None, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
+    """df with `returns` and `advantages` of each token. gae needs values, remax the reference's score. What gae and
+    reinforce_plus_plus give is whitened over the masked tokens of the table where `whiten_tokens` is called next."""
+    if estimator == "gae":
+        raw = general_advantage(rewards, values, gamma, lam)
+        return df.withColumn("advantages", raw).withColumn("returns", F.zip_with("advantages", values, lambda a, v: a + v))
+    if estimator == "reinforce_plus_plus":
+        return df.withColumn("returns", discounted_returns(rewards, mask, gamma)).withColumn("advantages", F.col("returns"))
+    if estimator == "remax":
+        made = df.withColumn("returns", remax_returns(rewards, mask))
+        pairs = F.transform(F.col(mask), lambda m: m.cast("double") * F.col(reference))
+        return made.withColumn("advantages", F.zip_with("returns", pairs, lambda r, b: r - b))
+    raise ValueError(f"no estimator {estimator}; there are {sorted(TOKEN)}")
+
+
+def whiten_tokens(df: DataFrame, values: str, mask: str) -> DataFrame:
+    """`values` whitened over all masked tokens of the table, and cut to the mask: moments of rows add up, so no token is
+    shuffled."""
+    moments = F.aggregate(F.zip_with(values, mask, lambda v, m: F.struct(v.alias("v"), m.cast("double").alias("m"))), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["n"] + x["m"]).alias("n"), (a["s"] + x["m"] * x["v"]).alias("s"), (a["q"] + x["m"] * x["v"] * x["v"]).alias("q")))
+    m = df.select(moments.alias("m")).where("m is not null")
+    n, s, q = F.sum("m.n"), F.sum("m.s"), F.sum("m.q")
+    mean = m.agg(s / (n + 1e-8)).scalar()
+    var = m.agg((q - 2 * mean * s + mean * mean * n) / (n + 1e-8) * n / (n - 1)).scalar()
+    scaled = df.withColumn("_mean", mean).withColumn("_scale", F.sqrt(var + 1e-8))
+    return scaled.withColumn(values, F.zip_with(values, mask, lambda v, k: (v - F.col("_mean")) / F.col("_scale") * k.cast("double"))).drop("_mean", "_scale")
+
+
 #: Estimators over the outcome score by name.
 OUTCOME = {"grpo": grpo, "rloo": rloo, "reinforce_plus_plus_baseline": baseline}
 

@@ -17,49 +17,52 @@ MAX_BATCH = 1_000_000
 
 def differencing(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:
     """Largest differencing into k sets: the two states of widest spread are merged against each other until one is
-    left. With equal_size each k items that follow one another by length begin as one state, so sets end equal."""
+    left. With equal_size each k items that follow one another by length begin as one state, so sets end equal.
+
+    A state holds the sums and sizes of its sets and where each came from; items are put together once, at the end, so a
+    merge costs k and not the items merged. Equal sums go by size, then by the sets' first state.
+    """
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
     if equal_size and len(lengths) % k:
         raise ValueError(f"{len(lengths)} items don't divide into {k} sets")
-    empty: tuple = (0, 0, ())
-
-    def ranked(sets: list[tuple]) -> tuple:
-        sets.sort(reverse=True)
-        top, bottom = sets[0], sets[-1]
-        # a min-heap: wider spread first, then the state with the larger top set
-        return (bottom[0] - top[0], _Last(top), sets)
-
-    def single(i: int) -> tuple:
-        return (lengths[i], 1, ((lengths[i], i),))
-
-    if equal_size:
-        states = [ranked([single(i) for i in order[j : j + k]]) for j in range(0, len(order), k)]
-    else:
-        states = [ranked([single(i), *[empty] * (k - 1)]) for i in order]
-    heap = [(s[0], s[1], n, s[2]) for n, s in enumerate(states)]
+    # a set is (sum, size, number); its number leads to an item, or to the two sets it was made of, or to nothing
+    made: list[tuple] = [()]
+
+    def single(i: int) -> tuple[int, int, int]:
+        made.append((i,))
+        return lengths[i], 1, len(made) - 1
+
+    def joined(a: tuple[int, int, int], b: tuple[int, int, int]) -> tuple[int, int, int]:
+        if not a[1] or not b[1]:
+            return a if a[1] else b
+        made.append((a[2], b[2]))
+        return a[0] + b[0], a[1] + b[1], len(made) - 1
+
+    empty = (0, 0, 0)
+    starts = [order[j : j + k] for j in range(0, len(order), k)] if equal_size else [[i] for i in order]
+    heap: list[tuple] = []
+    for n, items in enumerate(starts):
+        sets = sorted([*(single(i) for i in items), *[empty] * (k - len(items))], reverse=True)
+        heap.append((sets[-1][0] - sets[0][0], -sets[0][0], n, sets))
     heapq.heapify(heap)
     count = len(heap)
     while len(heap) > 1:
         first, second = heapq.heappop(heap)[3], heapq.heappop(heap)[3]
-        merged = ranked([(a[0] + b[0], a[1] + b[1], tuple(sorted(a[2] + b[2]))) for a, b in zip(first, reversed(second))])
-        heapq.heappush(heap, (merged[0], merged[1], count, merged[2]))
+        sets = sorted((joined(a, b) for a, b in zip(first, reversed(second))), reverse=True)
+        heapq.heappush(heap, (sets[-1][0] - sets[0][0], -sets[0][0], count, sets))
         count += 1
-    return [[i for _, i in s[2]] for s in heap[0][3]] if heap else [[] for _ in range(k)]
-
-
-class _Last:
-    """Orders by the reverse of a set's order."""
-
-    __slots__ = ("of",)
-
-    def __init__(self, of: tuple) -> None:
-        self.of = of
-
-    def __lt__(self, other: _Last) -> bool:
-        return self.of > other.of
 
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Last) and self.of == other.of
+    def items(number: int) -> list[int]:
+        out, rest = [], [number]
+        while rest:
+            x = made[rest.pop()]
+            if len(x) == 1:
+                out.append(x[0])
+            else:
+                rest += x
+        return out
+
+    return [items(s[2]) for s in heap[0][3]] if heap else [[] for _ in range(k)]
 
 
 def in_turn(lengths: list[int], k: int, equal_size: bool) -> list[list[int]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -117,21 +117,18 @@ def packed(df: DataFrame, group: str, order: str, length: str, block: int = 4096
 
 
 def on_workers(df: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], workers: int, order: str, schema: str) -> DataFrame:
-    """f on equal consecutive chunks, one a worker, results in the chunks' order: `chunk_id` is added to the schema.
-    Each chunk is handed to f in Arrow batches; rows that don't divide are an error."""
+    """f on equal consecutive chunks, one a worker, each handed over whole and in order; `chunk_id` is added to the schema.
+    Rows that don't divide are an error. A chunk must fit a worker, as it must where the function runs for one."""
     n = df.count()
     if n % workers:
         raise ValueError(f"{n} rows don't divide among {workers} workers")
     size = max(n // workers, 1)
     chunked = df.withColumn("chunk_id", F.expr(f"{order} div {size}").cast("long"))
-    chunked = chunked.repartition(workers, "chunk_id").sortWithinPartitions("chunk_id", order)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk, part in pdf.groupby("chunk_id", sort=True):
-                yield f(part.drop(columns="chunk_id")).assign(chunk_id=chunk)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return f(pdf.sort_values(order, ignore_index=True).drop(columns="chunk_id")).assign(chunk_id=pdf["chunk_id"].iloc[0])
 
-    return chunked.mapInPandas(run, f"{schema}, chunk_id long")
+    return chunked.groupBy("chunk_id").applyInPandas(run, f"{schema}, chunk_id long")
 
 
 def to_all(df: DataFrame, workers: int) -> DataFrame:

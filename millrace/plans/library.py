@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from millrace.plans import answers, frames, groups, relational, sources, streams, texts, tokens, training  # noqa: F401
+from millrace.plans import answers, frames, groups, relational, roundtrips, sources, streams, texts, tokens, training  # noqa: F401

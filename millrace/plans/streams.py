@@ -12,25 +12,45 @@ from millrace.session import shared_dir, table
 from millrace.streaming import incremental
 
 
+def _as_files(spark: SparkSession, df: DataFrame, time: str, files: int, at: str) -> None:
+    """Rows in files by range of time, so that a stream reads them in about their order and several batches."""
+    df.repartitionByRange(files, time).write.parquet(at)
+
+
 @register(
     "stream_windows",
     "SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
 )
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts and means by type, from the event table read as a stream in one available-now run. The watermark is
-    wide enough for the table, so no row is late."""
-    schema = table(spark, sf_dir, "events").schema
+    """Hourly counts and means by type over event time, from a stream of several files and batches. Windows are written once,
+    when the watermark has passed them; a last row of no type moves it past all."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    _as_files(spark, e, "ts", 4, f"{at}/in")
+    last = e.agg((F.max("ts") + F.expr("interval 400 days")).alias("ts")).select("ts", F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("double").alias("value"))
+    out = incremental.windows_of_files(spark, f"{at}/in", last, "ts", "event_type", "value", f"{at}/out", f"{at}/check", late="366 days", files_a_batch=1)
+    return out.where("event_type is not null").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
-    def work(batch: DataFrame) -> DataFrame:
-        return batch.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
 
+@register("stream_deduplicated", "SELECT DISTINCT event_id, event_type FROM events")
+def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event delivered twice, in other files; each comes out once."""
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for k in range(2):
+        e.repartition(2 + k).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    once = incremental.deduplicated(stream, "event_id", "ts", "4000 days").select("event_id", "event_type")
+    once.writeStream.outputMode("append").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).format("parquet").start(f"{at}/out").awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{at}/out")
 
-    def each(batch: DataFrame, number: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
-    spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("start", "event_type", "n", "mean")
+@register("accumulated_groups", "WITH g AS (SELECT user_id, CAST(min(event_id % 4) AS INTEGER) AS first FROM events WHERE value > 20 GROUP BY user_id), k AS (SELECT user_id FROM g ORDER BY first, user_id LIMIT 20) SELECT event_id FROM events WHERE value > 20 AND user_id IN (SELECT user_id FROM k) AND event_id % 4 <= (SELECT min(b) FROM (SELECT b FROM (SELECT unnest(range(4)) AS b) WHERE (SELECT count(*) FROM g WHERE first <= b) >= 20))")
+def accumulated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered batches until there are twenty groups: the feature is the cut."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    batches = [e.where(F.col("event_id") % 4 == k) for k in range(4)]
+    return incremental.accumulated(batches, lambda b: b.where("value > 20"), "user_id", 20, 4).select("event_id")
 
 
 @register("stream_resume", "SELECT sample_id, line_num > 30 AS long_file FROM py_files WHERE line_num IS NOT NULL")

@@ -107,10 +107,8 @@ def masked_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipped policy loss with the policy's log-probabilities against the reference's, mean over all masked tokens."""
     r = rows(spark, sf_dir, "token_level_scores", "old_log_probs", "ref_log_prob").where("token_level_scores is not null and old_log_probs is not null and ref_log_prob is not null")
-    terms = Q.policy_terms("old_log_probs", "ref_log_prob", F.transform("token_level_scores", lambda s: s - 0.1), 0.2)
-    parts = r.withColumn("terms", terms)
     names = ("loss", "clipped", "clipped_low", "kl")
-    sums = once(parts.select("row_idx", *[Q.masked_sum(F.col(f"terms.{c}"), "mask").alias(c) for c in names], Q.total("mask").alias("n")))
+    sums = once(r.select("row_idx", Q.policy_sums("old_log_probs", "ref_log_prob", F.transform("token_level_scores", lambda s: s - 0.1), "mask", 0.2).alias("s"))).select("s.*")
     total = sums.agg(*[(F.sum(c) / (F.sum("n") + 1e-8)).alias(c) for c in names])
     return total.select(F.round("loss", 6).alias("loss"), F.round("clipped", 6).alias("clip_fraction"), F.round("clipped_low", 6).alias("clip_fraction_low"), F.round("kl", 6).alias("kl"))
 
@@ -243,3 +241,92 @@ def masked_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = s.agg(total / (n + 1e-8)).scalar()
     var = s.agg((squares - 2 * mean * total + mean * mean * n) / (n + 1e-8) * n / (n - 1)).scalar()
     return s.select("row_idx", F.round((F.col("s") - F.col("n") * mean) / F.sqrt(var + 1e-8), 5).alias("whitened"))
+
+
+_WHITE_SQL = """m AS (SELECT sum(a * m) / (sum(m) + 1e-8) AS mean, sum(m) AS n FROM x), v AS (SELECT any_value(mean) AS mean, sum((a - mean) ** 2 * m) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS var FROM x, m)"""
+
+
+def _sums(df: DataFrame) -> DataFrame:
+    """Sums over each row of advantages and returns under the mask, each row once."""
+    s = once(df.select("row_idx", Q.masked_sum("advantages", "mask").alias("advantages"), Q.masked_sum("returns", "mask").alias("returns")))
+    return s.select("row_idx", F.round("advantages", 4).alias("advantages"), F.round("returns", 4).alias("returns"))
+
+
+@register(
+    "remax_advantage",
+    f"""WITH {TOKENS_SQL}, x AS (SELECT row_idx, m, sum(r * m) OVER (PARTITION BY row_idx ORDER BY pos DESC) AS ret FROM t WHERE r IS NOT NULL)
+    SELECT row_idx, round(sum((ret - 0.25 * m) * m), 4) AS advantages, round(sum(ret * m), 4) AS returns FROM x GROUP BY row_idx""",
+)
+def remax_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returns less a reference score, here one quarter for every row; shown as sums over the mask."""
+    r = rows(spark, sf_dir, "token_level_scores").where("token_level_scores is not null").withColumn("reference", F.lit(0.25))
+    return _sums(A.token_advantage(r, "remax", "token_level_scores", "mask", reference="reference"))
+
+
+@register(
+    "gae_advantage",
+    f"""WITH {TOKENS_SQL}, d2 AS (SELECT row_idx, pos, v, m, r + {GAMMA} * coalesce(lead(v) OVER (PARTITION BY row_idx ORDER BY pos), 0) - v AS delta FROM t WHERE r IS NOT NULL AND v IS NOT NULL),
+    x AS (SELECT row_idx, m, v AS val, sum(delta * {GAMMA * LAMBDA} ** pos) OVER (PARTITION BY row_idx ORDER BY pos DESC) / {GAMMA * LAMBDA} ** pos AS a FROM d2), {_WHITE_SQL}
+    SELECT row_idx, round(sum((a - v.mean) / sqrt(v.var + 1e-8) * m) + 1e-9, 4) AS advantages, round(sum((a + val) * m) + 1e-9, 4) AS returns FROM x, v GROUP BY row_idx""",
+)
+def gae_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generalised advantages whitened over all masked tokens, and their returns; shown as sums over the mask."""
+    r = rows(spark, sf_dir, "token_level_scores", "critic_values").where("token_level_scores is not null and critic_values is not null")
+    made = A.whiten_tokens(A.token_advantage(once(r), "gae", "token_level_scores", "mask", values="critic_values", gamma=GAMMA, lam=LAMBDA), "advantages", "mask")
+    s = made.select("row_idx", Q.masked_sum("advantages", "mask").alias("a"), Q.masked_sum("returns", "mask").alias("r"))
+    return s.select("row_idx", F.round(F.col("a") + 1e-9, 4).alias("advantages"), F.round(F.col("r") + 1e-9, 4).alias("returns"))
+
+
+@register(
+    "token_metrics",
+    f"""WITH {TOKENS_SQL}, x AS (SELECT m, v, sum(r * m) OVER (PARTITION BY row_idx ORDER BY pos DESC) AS ret FROM t WHERE r IS NOT NULL AND v IS NOT NULL), k AS (SELECT *, ret - v AS a FROM x WHERE m = 1)
+    SELECT round(avg(a), 6) AS advantage_mean, round(max(a), 6) AS advantage_max, round(min(a), 6) AS advantage_min, round(avg(ret), 6) AS return_mean, round(max(ret), 6) AS return_max, round(min(ret), 6) AS return_min, round(avg(v), 6) AS value_mean, round(max(v), 6) AS value_max, round(min(v), 6) AS value_min, round(1 - var_samp(ret - v) / (var_samp(ret) + 1e-5), 5) AS explained FROM k""",
+)
+def token_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advantages, returns and values over all valid tokens, and how much of the returns' variance the values explain. Each row
+    gives its extremes and moments, so no token leaves its row."""
+    r = rows(spark, sf_dir, "token_level_scores", "critic_values").where("token_level_scores is not null and critic_values is not null")
+    r = r.withColumn("returns", A.remax_returns("token_level_scores", "mask"))
+    valid = F.filter(F.arrays_zip(F.col("returns").alias("r"), F.col("critic_values").alias("v"), F.col("mask").alias("m")), lambda x: x["m"] == 1)
+    zero = F.lit(0.0)
+    start = F.struct(*[zero.alias(k) for k in ("n", "sr", "sv", "qr", "qa")])
+
+    def step(a, x):  # noqa: ANN001, ANN202
+        v, gap = x["v"].cast("double"), x["r"] - x["v"].cast("double")
+        return F.struct((a["n"] + 1).alias("n"), (a["sr"] + x["r"]).alias("sr"), (a["sv"] + v).alias("sv"), (a["qr"] + x["r"] * x["r"]).alias("qr"), (a["qa"] + gap * gap).alias("qa"))
+
+    kept = r.select("row_idx", valid.alias("k")).where(F.size("k") > 0)
+    pick = lambda f: F.transform("k", f)
+    each = once(kept.select("row_idx", F.aggregate("k", start, step).alias("s"), *[f(pick(g)).alias(f"{n}_{w}") for n, g in (("a", lambda x: x["r"] - x["v"]), ("r", lambda x: x["r"]), ("v", lambda x: x["v"])) for w, f in (("max", F.array_max), ("min", F.array_min))]))
+    n, sr, sv, qr, qa = (F.sum(f"s.{k}") for k in ("n", "sr", "sv", "qr", "qa"))
+    var = lambda q, s: (q - s * s / n) / (n - 1)
+    out = [("advantage_mean", (sr - sv) / n), ("advantage_max", F.max("a_max")), ("advantage_min", F.min("a_min")), ("return_mean", sr / n), ("return_max", F.max("r_max")), ("return_min", F.min("r_min")), ("value_mean", sv / n), ("value_max", F.max("v_max")), ("value_min", F.min("v_min"))]
+    return each.agg(*[F.round(c, 6).alias(k) for k, c in out], F.round(1 - var(qa, sr - sv) / (var(qr, sr) + 1e-5), 5).alias("explained"))
+
+
+@register(
+    "rewarded_pairs",
+    """SELECT item_id, CAST(least(len(q) + len(a), 24) AS INTEGER) AS chosen, CAST(least(len(q) + len(c), 24) AS INTEGER) AS rejected FROM (SELECT item_id, string_split(question, ' ') AS q, string_split(coalesce(answer, ''), ' ') AS a, string_split(category, ' ') AS c FROM eval_items)""",
+)
+def rewarded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Padded pairs for a reward model, each with its own mask; shown as the masks' sums."""
+    from millrace.operators import training as R
+
+    ids = lambda c: F.transform(F.split(c, " ", -1), lambda w: F.length(w).cast("long"))
+    i = table(spark, sf_dir, "eval_items").select("item_id", ids(F.col("question")).alias("q"), ids(F.coalesce("answer", F.lit(""))).alias("a"), ids(F.col("category")).alias("c"))
+    p = i.select("item_id", R.preference_pair(F.col("q"), F.col("a"), F.col("c"), 24, 0).alias("p"))
+    mask = lambda k: Q.total(F.get("p", F.lit(k))["attention_mask"]).cast("int")
+    return p.select("item_id", mask(0).alias("chosen"), mask(1).alias("rejected"))
+
+
+@register(
+    "response_slices",
+    """WITH d AS (SELECT row_idx, any_value(attention_mask) AS m, any_value(critic_values) AS v, any_value(old_log_probs) AS o, any_value(position_ids) AS p FROM rollout GROUP BY row_idx)
+    SELECT row_idx, round(list_sum(list_transform(range(1, 161), lambda i: v[i] * m[79 + i])), 5) AS values, CAST(list_sum(list_slice(p, 80, 239)) AS DOUBLE) AS shifted FROM d WHERE v IS NOT NULL AND m IS NOT NULL AND p IS NOT NULL""",
+)
+def response_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A critic's values under the mask one place before each token, and the slice by which log-probabilities are shifted."""
+    from millrace.operators import training as R
+
+    r = table(spark, sf_dir, "rollout").where("critic_values is not null and attention_mask is not null and position_ids is not null")
+    return once(r.select("row_idx", F.round(Q.total(R.masked_values(F.col("critic_values"), F.col("attention_mask"), F.lit(160))), 5).alias("values"), Q.total(R.shifted_logprobs(F.col("position_ids"), F.lit(160))).alias("shifted")))

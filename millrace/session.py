@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,25 +38,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a private one only where none is named (tests)."""
+    """The folder all executors share, as the session names it; a private one only where none is named and all run in one
+    process (tests). A cluster without a named folder is an error: its executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """`df` written once to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The table stays until `removed` takes it or the folder goes: what is read from it may be computed long after.
+    """
     spark = df.sparkSession
     at = os.path.join(shared_dir(spark), f"millrace-{label}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Deletes tables that `written` gave and that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/millrace-" in path:
+                p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _shipped: set[str] = set()
 
 

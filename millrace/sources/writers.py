@@ -50,13 +50,30 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def json_array(df: DataFrame, path: str, order: str, most: int = 1_000_000) -> None:
-    """One file with one JSON array, indented by two, in order; an export for small tables, whose size is checked."""
-    if df.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} rows; write JSON lines instead")
-    rows = [json.loads(r.j) for r in df.orderBy(order).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, ensure_ascii=False, indent=2)
+def json_array(df: DataFrame, path: str, order: str) -> None:
+    """One file with one JSON array, indented by two, in order. The format has one file, so one stream writes it: rows come by
+    partition and go at once, and the driver holds one partition."""
+    fs, target = _fs(df.sparkSession, path)
+    out = fs.create(target, True)
+    try:
+        rows = df.select(F.struct(*df.columns).alias("r"), order).orderBy(order).select(F.to_json("r", {"ignoreNullFields": "false"}).alias("j"))
+        out.write(b"[")
+        first, held = True, []
+
+        def flush() -> None:
+            out.write("".join(held).encode("utf-8"))
+            held.clear()
+
+        for r in rows.toLocalIterator():
+            text = json.dumps(json.loads(r.j), ensure_ascii=False, indent=2).replace("\n", "\n  ")
+            held.append(("\n  " if first else ",\n  ") + text)
+            first = False
+            if len(held) >= 1000:
+                flush()
+        flush()
+        out.write(b"]" if first else b"\n]")
+    finally:
+        out.close()
 
 
 def texts(df: DataFrame, path: str, keys: list[str], text: str) -> None:
@@ -105,10 +122,10 @@ def step_folder(root: str, step: int) -> str:
 
 
 def metric_line(metrics: Column | str, step: Column | str) -> Column:
-    """'step:7 - a:0.500 - b:1.000' from a map of metrics, by name."""
+    """'step:7 - a:0.500 - b:1.000' from a map of metrics, by name; nulls are left out."""
     m = F.col(metrics) if isinstance(metrics, str) else metrics
     s = F.col(step) if isinstance(step, str) else step
-    parts = F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit(":"), F.format_string("%.3f", e["value"])))
+    parts = F.transform(F.array_sort(F.filter(F.map_entries(m), lambda e: e["value"].isNotNull())), lambda e: F.concat(e["key"], F.lit(":"), F.format_string("%.3f", e["value"])))
     return F.array_join(F.concat(F.array(F.concat(F.lit("step:"), s.cast("string"))), parts), " - ")
 
 

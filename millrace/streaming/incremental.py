@@ -43,6 +43,20 @@ def windowed_metrics(events: DataFrame, time: str, key: str, value: str, window:
     return events.groupBy(F.window(time, window), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), key, "n", "mean")
 
 
+def windows_of_files(spark: SparkSession, source: str, last: DataFrame, time: str, key: str, value: str, target: str, checkpoint: str, late: str, window: str = "1 hour", files_a_batch: int = 1) -> DataFrame:
+    """windowed_metrics over a folder of files, in batches; windows are appended once the watermark has passed them. `last`, rows
+    that are later than all by more than `late`, is added to the folder when the stream has read the rest, so that every window
+    closes; a second run goes on where the first ended."""
+    schema = spark.read.parquet(source).schema
+    for more in (None, last):
+        if more is not None:
+            more.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(source)
+        made = windowed_metrics(stream, time, key, value, window, late)
+        made.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(target).awaitTermination()
+    return spark.read.schema(made.schema).parquet(target)
+
+
 def deduplicated(rows: DataFrame, key: str, time: str, late: str = "2 days") -> DataFrame:
     """Each key once, within the watermark: rows that are delivered again are dropped."""
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
