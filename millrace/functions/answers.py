@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import algebra
+
 #: Fixed value: the last box, two levels of braces deep.
 _BOX = re.compile(r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
 
@@ -244,7 +246,7 @@ def graded(given: str | None, truth: str | None) -> bool:
         if whole(y) and not whole(x):
             return False
         p, q = evaluated(x), evaluated(y)
-        return p is not None and q is not None and math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-12)
+        return p is not None and q is not None and math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-12) or algebra.same(x, y)
 
     return all(one(x, y) for x, y in zip(a, b))
 
@@ -264,8 +266,10 @@ def math_equal(a: str | None, b: str | None, percent: bool = True, tolerance: fl
     s, t = str(a).strip(), str(b).strip()
     if s.lower() == t.lower() or close_numbers(s, t, percent, tolerance):
         return True
-    bare = lambda x: re.sub(r"[()\[\]{}\s]", "", x).lower()
-    if bare(s) and bare(s) == bare(t):
+    # brackets around one value say nothing; around several they are an interval's or a list's ends and must be the same
+    single = lambda x: len(split_items(x)) == 1
+    bare = lambda x: re.sub(r"[()\[\]{}\s]" if single(x) else r"\s", "", x).lower()
+    if bare(s) and bare(s) == bare(t) and single(s) == single(t):
         return True
     rows = lambda x: re.findall(r"\\begin\{[pb]?matrix\}(.*?)\\end\{[pb]?matrix\}", x, re.S)
     if rows(s) and rows(t):
@@ -274,12 +278,18 @@ def math_equal(a: str | None, b: str | None, percent: bool = True, tolerance: fl
         return len(p) == len(q) and all(len(x) == len(y) and all(math_equal(m, n, percent, tolerance) for m, n in zip(x, y)) for x, y in zip(p, q))
     p, q = split_items(s), split_items(t)
     if len(p) == len(q) > 1:
-        return all(math_equal(x, y, percent, tolerance) for x, y in zip(p, q))
+        return s[0] == t[0] and s[-1] == t[-1] and all(math_equal(x, y, percent, tolerance) for x, y in zip(p, q))
     if s.count("=") == t.count("=") == 1:
-        u, v = (evaluated(plain_expression(x.split("=")[1])) for x in (s, t))
-        return s.split("=")[0].strip() == t.split("=")[0].strip() and u is not None and v is not None and math.isclose(u, v, rel_tol=tolerance)
+        (a1, b1), (a2, b2) = ([plain_expression(y) or "" for y in x.split("=")] for x in (s, t))
+        u, v = evaluated(b1), evaluated(b2)
+        if a1 == a2 and u is not None and v is not None and math.isclose(u, v, rel_tol=tolerance):
+            return True
+        one, other = f"({a1})-({b1})", f"({a2})-({b2})"  # the same equation, either way round
+        return algebra.same(one, other) or algebra.same(one, f"-({other})")
     u, v = evaluated(plain_expression(s)), evaluated(plain_expression(t))
-    return u is not None and v is not None and math.isclose(u, v, rel_tol=tolerance, abs_tol=1e-12)
+    if u is not None and v is not None and math.isclose(u, v, rel_tol=tolerance, abs_tol=1e-12):
+        return True
+    return algebra.same(plain_expression(s), plain_expression(t))
 
 
 def interval_text(s: str | None) -> str | None:

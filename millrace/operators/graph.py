@@ -1,21 +1,23 @@
 """Import graphs of repositories: edges, closure, order, levels, merged text.
 
-Edges are one row each, `repo, src, dst, ord`. The closure is a loop of joins over the edges that are new in each round;
-its lineage is cut in every round. Order and level within one root's closure are sequential, so they run by (repo, root)
+Edges are one row each, `repo, src, dst, ord`. The closure is a loop of joins whose reach doubles in each round; its lineage
+is cut in every round. Order and level within one root's closure are sequential, so they run by (repo, root)
 on that closure alone, which MAX_CLOSURE bounds.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import code as C
 from millrace.functions import text as T
-from millrace.session import written
+from millrace.session import removed, written
 
 MAX_CLOSURE = 200_000
 
@@ -68,16 +70,22 @@ def external(mods: DataFrame, mode: str = "prefix") -> DataFrame:
 
 
 def closure(mods: DataFrame, links: DataFrame) -> DataFrame:
-    """repo, root, module: everything reachable from each module, itself included. Cycles end by what is already known."""
-    step = links.select("repo", F.col("src").alias("module"), F.col("dst").alias("next"))
-    known = mods.select("repo", F.col("module").alias("root"), "module")
-    fresh = known
-    while True:
-        found = fresh.join(step, ["repo", "module"]).select("repo", "root", F.col("next").alias("module")).distinct()
-        fresh = written(found.join(known, ["repo", "root", "module"], "left_anti"), "closure")
-        if fresh.isEmpty():
-            return known
-        known = written(known.unionByName(fresh), "closure")
+    """repo, root, module: everything reachable from each module, itself included. Cycles end by what is already known.
+
+    Reach doubles in each round: what was found last, at distances of just over half the reach, goes on by all that is known.
+    A round writes only what is new, beside what earlier rounds wrote.
+    """
+    known = [written(mods.select("repo", F.col("module").alias("root"), "module"), "closure")]
+    step = links.select("repo", F.col("src").alias("root"), F.col("dst").alias("module")).where("root <> module").distinct()
+    fresh = written(step.join(mods.select("repo", F.col("module").alias("root")).distinct(), ["repo", "root"], "left_semi"), "closure")
+    while not fresh.isEmpty():
+        known.append(fresh)
+        every = reduce(DataFrame.unionByName, known)
+        onward = every.select("repo", F.col("root").alias("module"), F.col("module").alias("next"))
+        found = fresh.join(onward, ["repo", "module"]).select("repo", "root", F.col("next").alias("module")).distinct()
+        fresh = written(found.join(every, ["repo", "root", "module"], "left_anti"), "closure")
+    removed(fresh)
+    return reduce(DataFrame.unionByName, known)
 
 
 def ordered(reach: DataFrame, links: DataFrame) -> DataFrame:
@@ -86,11 +94,11 @@ def ordered(reach: DataFrame, links: DataFrame) -> DataFrame:
     deps = links.groupBy("repo", F.col("src").alias("module")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("deps"))
     rows = reach.join(deps, ["repo", "module"], "left").select("repo", "root", "module", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_CLOSURE:
-            raise ValueError(f"a closure of {len(pdf)} modules is beyond MAX_CLOSURE")
-        inside = set(pdf["module"])
-        deps = {m: [d for d in ds if d in inside] for m, ds in zip(pdf["module"], pdf["deps"])}
+    def one(members: list[dict]) -> Iterator[tuple[str, int, int, list[str]]]:
+        if len(members) > MAX_CLOSURE:
+            raise ValueError(f"a closure of {len(members)} modules is beyond MAX_CLOSURE")
+        inside = {x["module"] for x in members}
+        deps = {x["module"]: [d for d in x["deps"] if d in inside] for x in members}
         users: dict[str, list[str]] = {}
         for m, ds in deps.items():
             for d in ds:
@@ -111,11 +119,19 @@ def ordered(reach: DataFrame, links: DataFrame) -> DataFrame:
         placed = set(order)
         order += sorted(m for m in deps if m not in placed)
         level: dict[str, int] = {}
-        for m in order:
+        for pos, m in enumerate(order):
             level[m] = 1 + max(level.get(d, 0) for d in deps[m]) if deps[m] else 0
-        return pd.DataFrame({"repo": pdf["repo"].iloc[0], "root": pdf["root"].iloc[0], "module": order, "pos": range(len(order)), "level": [level[m] for m in order], "deps": [deps[m] for m in order]})
+            yield m, pos, level[m], deps[m]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, 2000) for whole in batches for i in range(0, whole.num_rows, 2000)):
+            made = [(repo, root, *x) for repo, root, members in zip(*(b.column(k).to_pylist() for k in range(3))) for x in one(members)]
+            columns = list(zip(*made)) if made else [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["repo", "root", "module", "pos", "level", "deps"])
 
-    return rows.groupBy("repo", "root").applyInPandas(run, "repo string, root string, module string, pos int, level int, deps array<string>")
+    # one row a root, whatever its closure: no pandas frame is made for each
+    return rows.groupBy("repo", "root").agg(F.collect_list(F.struct("module", "deps"))).mapInArrow(run, "repo string, root string, module string, pos int, level int, deps array<string>")
 
 
 def rendered(order: DataFrame, contents: DataFrame, shown: int = 5, deepest: int = 10) -> DataFrame:
@@ -132,6 +148,12 @@ def rendered(order: DataFrame, contents: DataFrame, shown: int = 5, deepest: int
     return parts.select("repo", "root", F.concat(F.lit("# merged for "), "root", F.lit("\n"), F.array_join(F.transform("p", lambda x: x["row"]), "\n"), F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x["block"]), "\n\n")).alias("text"))
 
 
-def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key by an order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
+def repository_summary(mods: DataFrame, order: DataFrame, outside: DataFrame) -> DataFrame:
+    """repo, modules, packages (sorted), text: what a repository's report says. Null-free; a repository without outside packages
+    has an empty list. order: what `ordered` gives; outside: what `external` gives."""
+    sizes = mods.groupBy("repo").agg(F.count("*").alias("modules"))
+    deepest = order.groupBy("repo").agg(F.max("level").alias("levels"))
+    packages = outside.groupBy("repo").agg(F.sort_array(F.collect_set("package")).alias("packages"))
+    every = sizes.join(deepest, "repo", "left").join(packages, "repo", "left").withColumn("packages", F.coalesce("packages", F.array().cast("array<string>")))
+    text = F.concat(F.lit("repository: "), "repo", F.lit("\nmodules: "), F.col("modules").cast("string"), F.lit("\ndeepest level: "), F.coalesce("levels", F.lit(0)).cast("string"), F.lit("\noutside packages: "), F.size("packages").cast("string"), F.lit("\n"), F.array_join(F.transform("packages", lambda p: F.concat(F.lit("  "), p)), "\n"))
+    return every.select("repo", "modules", "packages", text.alias("text"))

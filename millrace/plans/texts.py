@@ -20,7 +20,7 @@ def _strip_sql(text: str) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return table(spark, sf_dir, "documents")
 
 
 @register("tidied_titles", f"SELECT doc_id, replace(regexp_replace(replace({_strip_sql('text')}, ' [title]', '. '), '\\[[^\\n]*?\\]', '', 'g'), '  ', ' ') AS tidy FROM documents")

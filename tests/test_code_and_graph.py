@@ -127,8 +127,8 @@ def test_tidied_of_any_text(spark, tmp_path):
 
     texts = ["\u3000é [title] 漢字 [x\r\ny] [a\rb]c\u2028", "\x1c\t[a\u2028b]x  y[c\x85d] \r\n", "a [b\nc] d]\u200b ", "😀 [[x]] [] \ufeff", "", " \xa0", "plain [title][z] x", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.tidy for r in catalogue.queries()["tidied_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.tidy for r in catalogue.queries()["tidied_titles"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else brute(t) for i, t in enumerate(texts)}
     whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r.doc_id: r.text and brute(r.text) for r in whole.collect()}
-    assert {r.doc_id: r.tidy for r in catalogue.queries()["tidied_texts"](spark, "/root/testdata/sf0.001").collect()} == want
+    assert {r.doc_id: r.tidy for r in catalogue.queries()["tidied_titles"](spark, "/root/testdata/sf0.001").collect()} == want
