@@ -43,6 +43,25 @@ def from_columns(spark: SparkSession, columns: dict[str, list], schema: str | T.
     return spark.createDataFrame(rows, T.StructType([T.StructField(IDX, T.LongType(), False), *kinds.fields]))
 
 
+def collate(spark: SparkSession, rows: list[dict], schema: str | T.StructType) -> DataFrame:
+    """A batch from a list of records: the keys of the first count, every record must have them, others are left out."""
+    if not rows:
+        return from_columns(spark, {f.name: [] for f in (T._parse_datatype_string(schema) if isinstance(schema, str) else schema)}, schema)
+    return from_columns(spark, {k: [r[k] for r in rows] for k in rows[0]}, schema)
+
+
+def save(df: DataFrame, path: str) -> None:
+    """The batch with its positions as Parquet, in place of what was there."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    df = spark.read.parquet(path)
+    if IDX not in df.columns:
+        raise ValueError(f"{path} holds no batch: no column {IDX}")
+    return df
+
+
 def length(df: DataFrame | None) -> int:
     """Rows of a batch; none for no batch."""
     return 0 if df is None else df.count()

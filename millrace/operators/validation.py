@@ -210,6 +210,20 @@ def accuracy(df: DataFrame, category: str, correct: str) -> DataFrame:
     return each.unionByName(total.select(F.lit(True).alias("is_total"), F.lit(None).cast("string").alias(category), "n", "right", F.try_divide("right", "n").alias("accuracy"), "macro"))
 
 
+def reduced(df: DataFrame, group: list[str], value: str, reducers: dict[str, Callable[[np.ndarray], float]]) -> DataFrame:
+    """group and a column for each reducer, a user's function of the group's values as an array. Null values are left out; a
+    group without values has none. A group meets in one task, as its array must for such a function."""
+    names = list(reducers)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf["_v"].to_numpy(float)
+        return pd.DataFrame([[*key, *(float(reducers[k](values)) for k in names)]], columns=[*group, *names])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    chosen = df.where(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    return chosen.groupBy(*group).applyInPandas(run, ", ".join([*(f"{g} {kinds[g]}" for g in group), *(f"{n} double" for n in names)]))
+
+
 def mean_of_means(df: DataFrame, source: str, row: str, score: str) -> DataFrame:
     """source, test_score: mean over rows of each row's mean over its responses."""
     rows = df.groupBy(source, row).agg(F.avg(score).alias("_s"))

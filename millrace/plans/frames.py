@@ -182,3 +182,67 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = scored(spark, sf_dir).select("row_idx", "len").join(steps, "row_idx")
     n = r.groupBy("step").count().where("count >= 4").select("step")
     return r.join(n, "step", "left_semi")
+
+
+@register("collated_rows", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'a', CAST(1 AS BIGINT)), (1, 'b', 2)) t(row_idx, k, n)")
+def collated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame.collate(spark, [{"k": "a", "n": 1}, {"k": "b", "n": 2, "extra": 3}], "k string, n long")
+
+
+@register("saved_batch", f"WITH {PARTS_SQL} SELECT * FROM b")
+def saved_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from millrace.session import shared_dir
+
+    at = f"{shared_dir(spark)}/batch-{uuid.uuid4().hex}"
+    frame.save(_parts(spark, sf_dir), at)
+    return frame.load(spark, at)
+
+
+@register(
+    "rank_samples",
+    f"""WITH {PARTS_SQL}, n AS (SELECT count(*) AS n, (7 - count(*) % 7) % 7 AS added FROM b), p AS (SELECT row_idx, p_partkey FROM b UNION ALL SELECT n + row_idx, p_partkey FROM b, n WHERE row_idx < added)
+    SELECT row_idx // 7 AS row_idx, p_partkey FROM p WHERE row_idx % 7 = 3""",
+)
+def rank_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.operators import datasets
+
+    return datasets.rank_sample(_parts(spark, sf_dir).select("row_idx", "p_partkey"), 7, 3).select("row_idx", "p_partkey")
+
+
+@register("shuffled_options", "SELECT item_id, list_transform(list_sort(list_transform(options, lambda o: {'h': md5('5:' || item_id || ':' || o), 'o': o})), lambda x: x.o) AS shuffled FROM eval_items WHERE options IS NOT NULL")
+def shuffled_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.operators import datasets
+
+    i = table(spark, sf_dir, "eval_items").where("options is not null").select("item_id", "options", "answer")
+    return datasets.shuffled_options(i, "item_id", "options", "answer", 5).select("item_id", "shuffled")
+
+
+@register("reduced_values", "SELECT event_type, round(max(value) - min(value), 6) AS spread, round(median(value), 6) AS middle FROM events GROUP BY event_type")
+def reduced_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's own reducers of each group's values."""
+    from millrace.operators import validation
+
+    e = table(spark, sf_dir, "events").select("event_type", "value")
+    out = validation.reduced(e, ["event_type"], "value", {"spread": lambda v: v.max() - v.min(), "middle": lambda v: sorted(v)[len(v) // 2] if len(v) % 2 else sum(sorted(v)[len(v) // 2 - 1 : len(v) // 2 + 1]) / 2})
+    return out.select("event_type", F.round("spread", 6).alias("spread"), F.round("middle", 6).alias("middle"))
+
+
+@register(
+    "task_rows",
+    """WITH i AS (SELECT question, answer, solution, options, category, CAST(item_id AS BIGINT) AS k FROM eval_items), a AS (SELECT 'numbers' AS data_source, k, question || ' Think.' AS content, nullif(regexp_replace(regexp_extract(answer, '#### (\\-?[0-9\\.\\,]+)', 1), '[,$]', '', 'g'), '') AS truth FROM i),
+    b AS (SELECT 'choice' AS data_source, k, question || chr(10) || coalesce(array_to_string(list_transform(list_zip(options[1:10], range(len(options[1:10]))), lambda p: '(' || chr(CAST(65 + p[2] AS INTEGER)) || '): ' || p[1] || chr(10)), ''), '') || 'Pick one.' AS content, answer AS truth FROM i WHERE options IS NOT NULL), c AS (SELECT 'preference' AS data_source, k, question AS content, solution AS truth FROM i)
+    SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""",
+)
+def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of three registered tasks over the same items, flattened to compare."""
+    from millrace.operators import datasets as D
+
+    tasks = D.Tasks()
+    tasks.add("numbers", ("question", "answer", "index"), lambda df: D.hash_numbers(df, "Think.", "test"))
+    tasks.add("choice", ("question", "options", "letter", "index"), lambda df: D.with_options(df, "Pick one.", "test"))
+    tasks.add("preference", ("prompt", "chosen", "index"), lambda df: D.preferred(df, "test"))
+    i = table(spark, sf_dir, "eval_items").withColumn("index", F.col("item_id").cast("long"))
+    parts = [tasks.build("numbers", i), tasks.build("choice", i.where("options is not null").withColumn("letter", F.col("answer"))), tasks.build("preference", i.select("index", F.col("question").alias("prompt"), F.col("solution").alias("chosen")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("data_source", F.col("extra_info.index").alias("k"), F.get("prompt", F.lit(0))["content"].alias("content"), F.col("reward_model.ground_truth").alias("truth"))
