@@ -45,12 +45,12 @@ def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(once.schema).parquet(f"{at}/out")
 
 
-@register("accumulated_groups", "WITH g AS (SELECT user_id, CAST(min(event_id % 4) AS INTEGER) AS first FROM events WHERE value > 20 GROUP BY user_id), k AS (SELECT user_id FROM g ORDER BY first, user_id LIMIT 20) SELECT event_id FROM events WHERE value > 20 AND user_id IN (SELECT user_id FROM k) AND event_id % 4 <= (SELECT min(b) FROM (SELECT b FROM (SELECT unnest(range(4)) AS b) WHERE (SELECT count(*) FROM g WHERE first <= b) >= 20))")
+@register("accumulated_groups", "WITH g AS (SELECT user_id, CAST(min(event_id % 4) AS INTEGER) AS first FROM events WHERE value > 20 GROUP BY user_id), k AS (SELECT user_id FROM g ORDER BY first, user_id LIMIT 5) SELECT event_id FROM events WHERE value > 20 AND user_id IN (SELECT user_id FROM k) AND event_id % 4 <= (SELECT min(b) FROM (SELECT b FROM (SELECT unnest(range(4)) AS b) WHERE (SELECT count(*) FROM g WHERE first <= b) >= 5))")
 def accumulated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filtered batches until there are twenty groups: the feature is the cut."""
+    """Filtered batches until there are five groups: the feature is the cut."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
     batches = [e.where(F.col("event_id") % 4 == k) for k in range(4)]
-    return incremental.accumulated(batches, lambda b: b.where("value > 20"), "user_id", 20, 4).select("event_id")
+    return incremental.accumulated(batches, lambda b: b.where("value > 20"), "user_id", 5, 4).select("event_id")
 
 
 @register("stream_resume", "SELECT sample_id, line_num > 30 AS long_file FROM py_files WHERE line_num IS NOT NULL")
