@@ -2,8 +2,9 @@
 
 Method: every place where a value could stand (string literals, literals put together, assignments, headers, URLs,
 comments, key blocks) becomes a candidate. A logistic regression on the character Markov likelihood of the value, the
-identifiers around it and the file's path decides; it is trained on candidates that patterns label weakly, taken from a
-bounded sample of the files, calibrated on held-out ones, and scores above one half are redacted. One pass over the rows.
+identifiers around it and the file's path decides; it is trained on the candidates of all files that patterns label weakly,
+calibrated on held-out ones, and scores above one half are redacted. The texts are read once: their candidates are written,
+equal ones are folded and counted, and the counts of the likelihoods and each step of the regression are sums over them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import base64
 import binascii
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 from operator import or_
@@ -22,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import removed, written
+
 #: What a redacted value becomes.
 MARK = "REDACTED"
-#: Files of each table from which weakly labelled candidates are taken, in blocks of neighbouring ids.
+#: Files of each table that `sample` takes to be looked at, in blocks of neighbouring ids. No model is trained on them.
 SAMPLE_FILES = 750
 SAMPLE_BLOCK = 32
 #: Characters of files whose candidates are scored at once in a worker.
@@ -204,17 +209,25 @@ def flat(values: list[str]) -> Flat:
     return Flat(points, np.concatenate(([0], np.cumsum(np.fromiter(map(len, values), np.int64, len(values))))))
 
 
+_STATES = len(_ALPHABET) + 1
+
+
+def steps(values: list[str], times: np.ndarray | None = None) -> np.ndarray:
+    """How often each character follows each other within the values, each value so many times: _STATES squared counts."""
+    f = flat(values)
+    c = f.codes()
+    inner = np.ones(len(c), bool)
+    inner[f.at[:-1][f.lengths() > 0]] = False
+    step = np.flatnonzero(inner)
+    weights = None if times is None else np.repeat(times, f.lengths())[step]
+    return np.bincount(c[step - 1] * _STATES + c[step], weights, _STATES * _STATES).astype(float)
+
+
 class Markov:
-    """Character bigram model with add-one counts; likelihood() is the mean log probability of a step."""
-
-    def __init__(self, values: list[str]) -> None:
-        n = len(_ALPHABET) + 1
-        f = flat(values)
-        c = f.codes()
-        inner = np.ones(len(c), bool)
-        inner[f.at[:-1][f.lengths() > 0]] = False
-        step = np.flatnonzero(inner)
-        counts = np.bincount(c[step - 1] * n + c[step], minlength=n * n).reshape(n, n) + 0.3
+    """Character bigram model of counts that `steps` gave; likelihood() is the mean log probability of a step."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        counts = counts.reshape(_STATES, _STATES) + 0.3
         self.log = np.log(counts / counts.sum(1, keepdims=True))
 
     def likelihood(self, f: Flat) -> np.ndarray:
@@ -240,17 +253,16 @@ def weak_label(c: Candidate) -> int | None:
     """1 or 0 where patterns are sure, else None."""
     words = name_words(c.name)
     value = c.value
-    digits, letters = sum(ch.isdigit() for ch in value), sum(ch.isalpha() for ch in value)
     if c.kind == "pem":
         return int(len(re.sub(r"\s|\\n", "", value)) >= 40)
-    if looks_placed(value) or words & set(OTHER_WORDS) or digits == 0:
+    if not words.isdisjoint(_OTHERS) or not any(map(str.isdigit, value)) or looks_placed(value):
         return 0
-    if any(value.startswith(p) and len(value) >= len(p) + 10 for p in PREFIXES):
+    if value.startswith(_PREFIXES) and any(value.startswith(p) and len(value) >= len(p) + 10 for p in PREFIXES):
         return 1
-    secret = bool(words & set(SECRET_WORDS)) or c.kind in ("url", "header")
-    if secret and re.fullmatch(r"[0-9a-f]{20,64}|[A-Za-z0-9+/]{32,}={0,2}", value) and letters:
+    secret = not words.isdisjoint(_SECRETS) or c.kind in ("url", "header")
+    if secret and re.fullmatch(r"[0-9a-f]{20,64}|[A-Za-z0-9+/]{32,}={0,2}", value) and any(map(str.isalpha, value)):
         return 1
-    if words & {"password", "pass", "passwd", "pwd", "pgpassword"} and digits and letters >= 4 and 8 <= len(value) <= 40 and re.search(r"[A-Z]", value):
+    if words & {"password", "pass", "passwd", "pwd", "pgpassword"} and sum(map(str.isalpha, value)) >= 4 and 8 <= len(value) <= 40 and re.search(r"[A-Z]", value):
         return 1
     return None if secret else 0
 
@@ -344,44 +356,138 @@ def _seeds() -> list[tuple[Candidate, str, int]]:
     return out
 
 
+_LOOSE = re.compile(r"[A-Za-z_]{4,}")
+#: Names and paths that stand for all that the features take for the same.
+_ABOUT = {(False, False): "", (True, False): "key", (False, True): "commit", (True, True): "key commit"}
+_PLACES = {(False, False): "", (True, False): ".env", (False, True): "test", (True, True): "test.env"}
+
+#: Labelled candidates that features were taken of: features, labels, how often each occurs, which are held out.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _part(cands: list[Candidate], paths: list[str], labels: list[int], times: list[int], random: Markov, prose: Markov) -> Part:
+    """Every second value is held out, as its hash says, in all its places."""
+    held = np.array([zlib.crc32(c.value.encode("utf-8", "surrogatepass")) & 1 for c in cands], bool)
+    return features(cands, paths, random, prose), np.array(labels, float), np.array(times, float), held
+
+
+def _markovs(of_random: np.ndarray, of_prose: np.ndarray) -> tuple[Markov, Markov]:
+    """The models of credentials and of all else, from counts of steps and the seeds'."""
+    seeds = _seeds()
+    values = lambda label: [c.value for c, _, y in seeds if y == label]
+    return Markov(of_random + steps(values(1))), Markov(of_prose + steps(values(0) + SECRET_WORDS + OTHER_WORDS))
+
+
 def train(files: list[tuple[str, str]]) -> Model:
-    """The model from a sample of (path, text). Weak labels of every second candidate calibrate it."""
-    labelled = _seeds()
-    sample: list[tuple[Candidate, str, int]] = []
-    loose: list[str] = []
-    for path, text in files:
-        for c in candidates(text):
-            label = weak_label(c)
-            if label is not None:
-                sample.append((c, path, label))
-        loose += re.findall(r"[A-Za-z_]{4,}", text[:4000])[:80]
-    rows = labelled + sample
-    random = Markov([c.value for c, _, y in rows if y == 1 and c.kind != "pem"])
-    prose = Markov(loose + [c.value for c, _, y in rows if y == 0] + SECRET_WORDS + OTHER_WORDS)
-    x = features([c for c, _, _ in rows], [p for _, p, _ in rows], random, prose)
-    y = np.array([label for _, _, label in rows], float)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    x = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    fit_on = np.ones(len(x), bool)
-    fit_on[len(labelled) + 1 :: 2] = False
-    weight = np.where(y == 1, 0.5 / max(y[fit_on].mean(), 1e-3), 0.5 / max(1 - y[fit_on].mean(), 1e-3))
-    w = _newton(x[fit_on], y[fit_on], weight[fit_on], 1e-2)
-    z = x @ w
-    held = ~fit_on if (~fit_on).sum() > 50 and 0 < y[~fit_on].mean() < 1 else fit_on
-    slope, shift = _newton(np.column_stack([z[held], np.ones(held.sum())]), y[held], weight[held], 1e-3)
+    """The model from a list of (path, text), by the steps that `trained` takes over a table."""
+    found = [(c, p, weak_label(c)) for p, t in files for c in candidates(t)]
+    rows = Counter((c.value, c.kind, _ABOUT[_name_flags(c.name)], _PLACES[_path_flags(p)], y) for c, p, y in found if y is not None)
+    of = lambda label: [r for r in rows if r[4] == label and (label == 0 or r[1] != "pem")]
+    count = lambda part: steps([r[0] for r in part], np.array([rows[r] for r in part], float))
+    random, prose = _markovs(count(of(1)), count(of(0)) + steps([w for _, t in files for w in _LOOSE.findall(t)]))
+    part = _part([Candidate(0, 0, r[0], r[2], r[1]) for r in rows], [r[3] for r in rows], [r[4] for r in rows], list(rows.values()), random, prose) if rows else None
+    return _fitted(random, prose, lambda f: f(*part) if part else 0.0)
+
+
+def trained(rows: DataFrame) -> Model:
+    """The model from all labelled candidates of a written table that `listed` gave with the steps of loose words.
+
+    Only sums come to the driver: counts of steps, and of each task one gradient and Hessian a step of the regression.
+    """
+    rows_of = lambda b: (b.column(k).to_pylist() for k in range(6))
+    labelled = rows.where("label is not null").groupBy("value", "kind", "about", "place", "label").agg(F.count("*").alias("n"))
+    labelled = written(labelled, "labels")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, _STATES * _STATES))
+        for b in _parts(batches, 0):
+            values, kinds, _, _, labels, times = rows_of(b)
+            for label in (0, 1):
+                part = [(v, n) for v, k, y, n in zip(values, kinds, labels, times) if y == label and (y == 0 or k != "pem")]
+                total[label] += steps([v for v, _ in part], np.array([n for _, n in part], float))
+        yield from (_step_rows(x, label) for label, x in enumerate(total))
+
+    counted = labelled.mapInArrow(count, "label int, step int, n long").unionByName(rows.where("step is not null").select(F.lit(0).alias("label"), "step", "n"))
+    totals = np.zeros((2, _STATES * _STATES))
+    for label, step, n in counted.groupBy("label", "step").agg(F.sum("n")).collect():
+        totals[label, step] = n
+    random, prose = _markovs(totals[1], totals[0])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, 0):
+            values, kinds, about, places, labels, times = rows_of(b)
+            part = _part([Candidate(0, 0, v, a, k) for v, a, k in zip(values, about, kinds)], places, labels, times, random, prose)
+            # by columns: most are flags, which are written in few bytes
+            yield pa.RecordBatch.from_arrays([pa.array([part[0].T.tobytes()]), *(pa.array([x.tobytes()]) for x in part[1:])], ["x", "y", "n", "held"])
+
+    parts = written(labelled.mapInArrow(measure, "x binary, y binary, n binary, held binary"), "features")
+
+    def total(f: Callable[..., np.ndarray]) -> np.ndarray | float:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = 0.0
+            for b in batches:
+                for x, y, n, held in zip(*(b.column(k).to_pylist() for k in range(4))):
+                    y, n, held = np.frombuffer(y), np.frombuffer(n), np.frombuffer(held, bool)
+                    out = out + f(np.frombuffer(x).reshape(-1, len(y)).T, y, n, held)
+            if not np.isscalar(out):
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()])], ["sums"])
+
+        return sum((np.frombuffer(r[0]) for r in parts.mapInArrow(run, "sums binary").collect()), 0.0)
+
+    model = _fitted(random, prose, total)
+    removed(labelled, parts)
+    return model
+
+
+def _step_rows(counts: np.ndarray, label: int) -> pa.RecordBatch:
+    at = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), label, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["label", "step", "n"])
+
+
+def _fitted(random: Markov, prose: Markov, total: Callable[[Callable[..., np.ndarray]], np.ndarray | float]) -> Model:
+    """The regression on the seeds and on all parts that `total` sums a function over. Held-out values calibrate it."""
+    seeds = _seeds()
+    first = _part([c for c, _, _ in seeds], [p for _, p, _ in seeds], [y for _, _, y in seeds], [1] * len(seeds), random, prose)
+    first = (*first[:3], np.zeros(len(seeds), bool))
+    every = lambda f: f(*first) + total(f)
+
+    def moments(x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> np.ndarray:
+        return np.concatenate(([n[~held].sum(), (n * y)[~held].sum(), n[held].sum(), (n * y)[held].sum()], n @ x, n @ (x * x)))
+
+    sums = every(moments)
+    k = len(NAMES)
+    mean = sums[4 : 4 + k] / (sums[0] + sums[2])
+    scale = np.maximum(np.sqrt(np.maximum(sums[4 + k :] / (sums[0] + sums[2]) - mean**2, 0.0)), 1e-3)
+    share = sums[1] / sums[0]
+    one, none = 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3)
+
+    def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.column_stack([(x - mean) / scale, np.ones(len(x))])[~held], y[~held], (n * np.where(y == 1, one, none))[~held]
+
+    w = _newton(every, fit, k + 1, sums[0], 1e-2)
+    apart = bool(sums[2] > 50 and 0 < sums[3] < sums[2])
+
+    def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        z, weight, on = np.column_stack([(x - mean) / scale, np.ones(len(x))]) @ w, n * np.where(y == 1, one, none), held == apart
+        return np.column_stack([z, np.ones(len(z))])[on], y[on], weight[on]
+
+    slope, shift = _newton(every, calibrate, 2, sums[2] if apart else sums[0], 1e-3)
     return Model(random, prose, mean, scale, w, float(max(slope, 0.1)), float(shift))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Weighted logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
+def _newton(every: Callable, rows: Callable, k: int, size: float, ridge: float) -> np.ndarray:
+    """Weighted logistic regression by Newton steps; rows gives a part's design, labels and weights, size is that of all."""
+    w = np.zeros(k)
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (y - p)) / len(x) - ridge * w
-        s = weight * p * (1 - p)
-        hessian = (x * s[:, None]).T @ x / len(x) + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w += step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
+
+        def slopes(*part: np.ndarray) -> np.ndarray:
+            x, y, weight = rows(*part)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))  # noqa: B023
+            return np.concatenate((x.T @ (weight * (y - p)), ((x * (weight * p * (1 - p))[:, None]).T @ x).ravel()))
+
+        sums = every(slopes) / size
+        step = np.linalg.solve(sums[k:].reshape(k, k) + ridge * np.eye(k), sums[:k] - ridge * w)
+        w = w + step * min(1.0, 4 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -417,10 +523,10 @@ def found_in(texts: list[str | None], paths: list[str | None], model: Model) ->
     return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about PART characters."""
+def _parts(batches: Iterator[pa.RecordBatch], column: int = 3) -> Iterator[pa.RecordBatch]:
+    """Slices of about PART characters of a column."""
     for b in batches:
-        sizes = np.cumsum([len(t or "") for t in b.column(3).to_pylist()])
+        sizes = np.cumsum([len(t or "") for t in b.column(column).to_pylist()])
         at = 0
         while at < b.num_rows:
             stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART, "right")))
@@ -455,26 +561,62 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def find(df: DataFrame, model: Model) -> DataFrame:
-    """src, file_id, line_no (from 1, lines end at \\n), kind, name of each credential. Null and empty texts have none.
+LISTED = "src string, file_id long, line_no long, kind string, name string, value string, about string, place string, label int, step int, n long"
 
-    df: src, file_id, path, text; extra columns are left out. Repeated rows give repeated results.
+
+def listed(df: DataFrame, loose: bool = False) -> DataFrame:
+    """Every candidate of every text: its line_no (from 1, lines end at \\n), kind, name and value, what the features take name and
+    path for, and its weak label or null. loose: also the counts of steps in all words of the texts, as rows of step and n.
+
+    df: src, file_id, path, text; extra columns are left out.
     """
+    types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int32(), pa.int32(), pa.int64()]
+    names = [c.split()[0] for c in LISTED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_STATES * _STATES)
         for b in _parts(batches):
-            rows = []
-            src, ids, paths, texts = (b.column(k).to_pylist() for k in range(4))
-            for s, i, text, found in zip(src, ids, texts, found_in(texts, paths, model)):
-                line, at = 1, 0
-                for c in found:
+            rows, words = [], []
+            for s, i, path, text in zip(*(b.column(k).to_pylist() for k in range(4))):
+                if not text:
+                    continue
+                place, line, at = _PLACES[_path_flags(path or "")], 1, 0
+                for c in sorted(candidates(text), key=lambda c: c.start):
                     line += text.count("\n", at, c.start)
                     at = c.start
-                    rows.append((s, i, line, c.kind, c.name))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["src", "file_id", "line_no", "kind", "name"])
+                    rows.append((s, i, line, c.kind, c.name, c.value, _ABOUT[_name_flags(c.name)], place, weak_label(c) if loose else None, None, None))
+                if loose:
+                    words += _LOOSE.findall(text)
+            total += steps(words)
+            columns = list(zip(*rows)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+        if loose:
+            counts = _step_rows(total, 0)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(counts.num_rows, t) for t in types[:9]), counts.column(1), counts.column(2)], names)
+
+    return df.select("src", "file_id", "path", "text").mapInArrow(run, LISTED)
+
 
-    return df.select("src", "file_id", "path", "text").mapInArrow(run, "src string, file_id long, line_no long, kind string, name string")
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    """src, file_id, line_no, kind, name of the credentials among the candidates that `listed` gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches, 5):
+            kinds, values, about, places = (b.column(k).to_pylist() for k in (3, 5, 6, 7))
+            sure = model.score([Candidate(0, 0, v, a, k) for v, a, k in zip(values, about, kinds)], places) >= THRESHOLD
+            keep = [x and MARK not in v for x, v in zip(sure.tolist(), values)]
+            yield b.select(["src", "file_id", "line_no", "kind", "name"]).filter(pa.array(keep, pa.bool_()))
+
+    columns = ["src", "file_id", "line_no", "kind", "name", "value", "about", "place"]
+    return rows.where("kind is not null").select(columns).mapInArrow(run, "src string, file_id long, line_no long, kind string, name string")
+
+
+def find(df: DataFrame, model: Model) -> DataFrame:
+    """src, file_id, line_no (from 1, lines end at \\n), kind, name of each credential. Null and empty texts have none.
+
+    df: src, file_id, path, text; extra columns are left out. Repeated rows give repeated results.
+    """
+    return scored(listed(df), model)
 
 
 def redacted(df: DataFrame, model: Model) -> DataFrame:
@@ -491,12 +633,14 @@ def redacted(df: DataFrame, model: Model) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines on which a credential starts, in source files and launch files."""
-    every = files(spark, sf_dir)
-    model = train(sample(every))
-    return find(every, model).select("src", "file_id", "line_no").distinct()
+    rows = written(listed(files(spark, sf_dir), loose=True), "candidates")
+    return scored(rows, trained(rows)).select("src", "file_id", "line_no").distinct()
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file with its credentials replaced."""
     every = files(spark, sf_dir)
-    return redacted(every, train(sample(every)))
+    rows = written(listed(every, loose=True), "candidates")
+    model = trained(rows)
+    removed(rows)
+    return redacted(every, model)
