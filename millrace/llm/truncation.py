@@ -3,14 +3,15 @@
 Method: near-copies are found by min-hash banding. A cut copy is like the beginning of its whole and not like all of it, so
 bands are made of beginnings: of the first 5, 8, 11, 16, 22 ... words (each level about 1.4 times the one before) the
 min-hashes of five-word shingles, with the two words that follow. A text whose end is open meets, at its four highest
-levels, the longest text of each band it shares, which is one row of an aggregate that is combined before its shuffle; a
-near-copy of the other's beginning, verified by shingle containment, whose alignment ends inside a word or sentence of it
-is cut. Records that no copy settles are scored by the terminality of their closing word: end marks and forms of an
+levels, every longer text of each band it shares; a near-copy of the other's beginning, verified by shingle containment,
+whose alignment ends inside a word or sentence of it is cut. In large bands the longest text is met first, and who is not
+settled by it meets those that hold one of its rarest shingles, or how it ends, of which a near-copy can't lack all. Records that no copy settles are scored by the terminality of their closing word: end marks and forms of an
 answer are terminal; another word is as terminal as it is, over all texts, the close of a line without an end mark.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
@@ -19,7 +20,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import records, repetition
@@ -29,6 +30,8 @@ from millrace.session import written
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of each level, min-hashes of each band, words after the level that must be equal, levels at which a text looks.
 BANDS, ROWS, FOLLOWING, LOOKED = 2, 1, 2, 4
+#: Members of a band up to which all are met outright; those of a larger band are met by their shingles.
+DIRECT = 64
 #: Rows of a look-up table that may be broadcast; a larger one is joined by shuffling.
 LOOKUP_ROWS = 200_000
 #: A closing word without an end mark is terminal if it ends an unmarked line in at least this share of its places.
@@ -109,6 +112,57 @@ def levels(words: int) -> list[int]:
     return out
 
 
+def reach(level: int) -> int:
+    """Words of the beginnings that a text which looks at this level can align with."""
+    size, longest = float(SHINGLE), 0
+    for _ in range(level + LOOKED + 1):
+        longest = int(size) + FOLLOWING
+        size = max(size * 2**0.5, size + 3)
+    return longest + longest // 4 + SHINGLE
+
+
+def _folded(text: str) -> str:
+    """Lower case letter by letter, so that a beginning is folded as its whole is."""
+    low = text.lower()
+    return (low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)).replace("ς", "σ")
+
+
+POSTED = "key long, text_key binary, size int, band long, way int, need int"
+
+
+def posted(texts: list[str], places: list[list[tuple[int, int, bool]]]) -> list[list[tuple[int, int | None, int | None, int | None]]]:
+    """For each text and each (band, level, looks) of it: (key, None, None, None) of all by which it may be met in the band, and
+    where it looks (key, band, way, need), in two ways. A text that it is an early end of has, where it can align,
+    way 0: one of any `need` of its shingles but for that of its last word, which may be cut;
+    way 1: its last word, or the word before it with one after that begins with the same letter.
+    """
+    g = W.grid([_folded(t) for t in texts], lower=False)
+    h, at = W.shingles(g, SHINGLE)
+    edges = np.searchsorted(at, g.first)
+    letters, which = np.unique(g.points[g.start], return_inverse=True)
+    lead = np.array([ord(chr(c).lower()[0]) for c in letters], np.uint64)[which]
+    with np.errstate(over="ignore"):
+        word = W.mix(g.hash + np.uint64(1))
+        ending = W.mix(g.hash[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ lead[1:])
+    out = []
+    for d, bands_of in enumerate(places):
+        lo, hi = int(g.first[d]), int(g.first[d + 1])
+        parts = (h[edges[d] : edges[d + 1]], word[lo:hi], ending[lo : hi - 1])
+        rows: list[tuple[int, int | None, int | None, int | None]] = []
+        for band, level, looks in bands_of:
+            salt = np.uint64(band & (1 << 64) - 1)
+            with np.errstate(over="ignore"):
+                shingles, words, endings = (W.mix(x[: reach(level)] * np.uint64(0x9E3779B97F4A7C15) ^ salt).view(np.int64) for x in parts)
+            rows += [(k, None, None, None) for k in np.unique(np.concatenate((shingles, words, endings))).tolist()]
+            if looks:
+                sure = np.unique(shingles[:-1]).tolist()
+                need = min(len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1, len(sure))
+                rows += [(k, band, 0, need) for k in sure]
+                rows += [(int(k), band, 1, 2) for k in (words[-1], endings[-1])]
+        out.append(rows)
+    return out
+
+
 def bands(texts: list[str]) -> list[list[int]]:
     """Band keys of each text, BANDS for each level from the lowest; a text of fewer than eight words has none."""
     g = W.grid(texts)
@@ -186,6 +240,32 @@ def ends_early(short: str, long: str) -> bool:
     return before not in END_MARKS + _CLOSERS.replace("*", "").replace("_", "") and a[-1] not in END_MARKS and closing(a)[0] in ("word", "open")
 
 
+def may_end_early(shorts: list[str], longs: list[str]) -> list[bool]:
+    """Of each pair, whether the long text begins with the short one or holds SIMILARITY of its shingles where a copy could
+    align: without that `ends_early` is false. Each text of a batch is cut into words once."""
+    shorts, longs = [t.rstrip() for t in shorts], [t.rstrip() for t in longs]
+    place = {t: i for i, t in enumerate(dict.fromkeys(shorts + longs))}
+    g = W.grid(list(place))
+    h, at = W.shingles(g, SHINGLE)
+    edges, own, words = np.searchsorted(at, g.first).tolist(), h.tolist(), g.counts().tolist()
+    sets: dict[int, set[int]] = {}
+    firsts: dict[int, dict[int, int]] = {}
+    out = []
+    for a, b in zip(shorts, longs):
+        i, j = place[a], place[b]
+        if len(b) <= len(a) or not a:
+            out.append(False)
+            continue
+        if i not in sets:
+            sets[i] = set(own[edges[i] : edges[i + 1]])
+        if j not in firsts:
+            n = edges[j + 1] - edges[j]
+            firsts[j] = dict(zip(reversed(own[edges[j] : edges[j + 1]]), range(n - 1, -1, -1)))
+        stop, held = words[i] + words[i] // 4 + 1, firsts[j]  # shingles that begin before it lie in the part that can align
+        out.append(b.startswith(a) or sum(held.get(x, stop) < stop for x in sets[i]) >= SIMILARITY * len(sets[i]))
+    return out
+
+
 SCHEMA = "src string, record_id long, data_source string, n int, text_key binary, text string, form string, word string, loops double, keys array<long>, defects array<string>"
 #: Records worked on at once in a worker.
 CHUNK = 2000
@@ -231,20 +311,62 @@ def measured(rollout: DataFrame | None, vocab: DataFrame | None, evals: DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
+#: What Python takes for white space.
+_SPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+
+
 def aligned_early(texts: DataFrame) -> DataFrame:
     """text_key of near-copies of the beginning of a longer text whose alignment with it ends early.
 
     texts: text_key, text, form, keys; copies may repeat. Only texts whose end is open look, at their LOOKED highest levels;
-    of each band they meet the longest text. A band of any size is one row by then.
+    of each band they meet every longer text. Bands of up to DIRECT members are joined with themselves. In a larger one, a
+    text that its longest member settles is done; the others are met through `posted` keys, in the way that meets fewest, so
+    that the work follows the texts that are alike and not the square of the band.
     """
     known = texts.where(F.size("keys") > 0)
-    single = known.groupBy("text_key").agg(F.first(F.length("text")).alias("size"), F.first("keys").alias("keys"), F.first("form").alias("form"))
-    top = F.slice("keys", F.greatest(F.size("keys") - LOOKED * BANDS, F.lit(0)) + 1, LOOKED * BANDS)
-    looking = single.where(~F.col("form").isin("end", "blank")).select("text_key", F.explode(top).alias("band"))
-    longest = single.select("text_key", "size", F.explode("keys").alias("band")).groupBy("band").agg(F.max(F.struct("size", "text_key")).alias("top"), F.count("*").alias("n"))
-    longest = longest.where("n > 1").select("band", F.col("top.text_key").alias("other"))
-    # a band in which many look is spread by AQE's splitting of skewed joins; the other side is one row
-    pairs = written(looking.join(longest, "band").where("text_key <> other").select("text_key", "other").distinct(), "pairs")
+    single = known.groupBy("text_key").agg(F.first(F.length("text")).alias("size"), F.first(F.length(F.rtrim("text", F.lit(_SPACE)))).alias("seen"), F.first("keys").alias("keys"), F.first("form").alias("form"))
+    single = written(single, "single")
+    looks = ~F.col("form").isin("end", "blank") & (F.col("pos") >= F.size("keys") - LOOKED * BANDS)
+    member = single.select("*", F.posexplode("keys").alias("pos", "band")).select("text_key", "size", "seen", "pos", "band", looks.alias("looks"))
+    sizes = member.groupBy("band").agg(F.count("*").alias("n"), F.max("looks").alias("sought"), F.max(F.struct("size", "text_key")).alias("top"))
+    sizes = written(sizes.where("n > 1 and sought").select("band", "n", F.col("top.text_key").alias("longest")), "bands")
+    shared = written(member.join(F.broadcast(sizes) if sizes.count() <= LOOKUP_ROWS else sizes, "band"), "members")
+    looking, hot = shared.where("looks"), shared.where(F.col("n") > DIRECT)
+    other = shared.where(F.col("n") <= DIRECT).select("band", F.col("text_key").alias("other"), F.col("size").alias("_size"))
+    few = looking.where(F.col("n") <= DIRECT).join(other, "band").where("text_key <> other and _size > seen").select("text_key", "other")
+    first = hot.where("looks and text_key <> longest").select("text_key", F.col("longest").alias("other"))
+    early = written(_verified(few.union(first).distinct(), known), "early")
+    return early.union(_verified(_alike(hot, early, known), known)).distinct()
+
+
+def _alike(hot: DataFrame, settled: DataFrame, known: DataFrame) -> DataFrame:
+    """text_key, other: texts of large bands that look and aren't settled, with each longer one that holds one of their rarest keys."""
+    places = hot.join(settled.withColumn("done", F.lit(True)), "text_key", "left").groupBy("text_key").agg(F.first("size").alias("size"), F.first("seen").alias("seen"), F.collect_list(F.struct("band", F.expr(f"pos div {BANDS}"), F.expr("looks and done is null"))).alias("places"))
+    whole = places.join(known.select("text_key", "text"), "text_key").dropDuplicates(["text_key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, CHUNK) for whole in batches for i in range(0, whole.num_rows, CHUNK)):
+            ids, size, seen = (b.column(k).to_pylist() for k in range(3))
+            found = posted(b.column(4).to_pylist(), [[tuple(p.values()) for p in x] for x in b.column(3).to_pylist()])
+            rows = [(k, i, n if band is None else s, band, way, need) for i, n, s, x in zip(ids, size, seen, found) for k, band, way, need in x]
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in POSTED.split(", ")])
+
+    rows = written(whole.select("text_key", "size", "seen", "places", "text").mapInArrow(run, POSTED), "posted")
+    held = rows.where("band is null").select("key", F.col("text_key").alias("other"), F.col("size").alias("_size"))
+    often = held.groupBy("key").agg(F.count("*").alias("often"))
+    # windows over a text's own keys in a band
+    rank = F.row_number().over(Window.partitionBy("text_key", "band", "way").orderBy("often", "key"))
+    asked = rows.where("band is not null").join(often, "key").withColumn("rank", rank).where("rank <= need")
+    asked = asked.withColumn("met", F.sum("often").over(Window.partitionBy("text_key", "band", "way")))
+    asked = asked.withColumn("best", F.min(F.struct("met", "way")).over(Window.partitionBy("text_key", "band"))).where("way = best.way and often > 1")
+    return asked.join(held, "key").where("text_key <> other and _size > size").select("text_key", "other").distinct()
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """text_key of the pairs whose text ends early in the other."""
+    pairs = written(pairs, "pairs")
     needed = pairs.select("text_key").union(pairs.select("other")).distinct()
     few = known.select("text_key", "text").join(needed, "text_key", "left_semi").dropDuplicates(["text_key"])
     few = written(few, "texts")
@@ -252,7 +374,8 @@ def aligned_early(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = [k for k, s, t in zip(*(batch.column(i).to_pylist() for i in range(3))) if ends_early(s, t)]
+            keys, shorts, longs = (batch.column(i).to_pylist() for i in range(3))
+            hit = [k for k, s, t, x in zip(keys, shorts, longs, may_end_early(shorts, longs)) if x and ends_early(s, t)]
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.binary())], ["text_key"])
 
     return both.select("text_key", "short", "long").mapInArrow(run, "text_key binary").distinct()

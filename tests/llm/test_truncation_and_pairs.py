@@ -165,3 +165,57 @@ def test_the_character_model_on_held_out_sentences():
     held = {"en": "children playing outside until evening", "de": "kinder spielten draußen lange abends weiter", "fr": "enfants jouaient dehors jusqu'au soir tombé", "es": "niños jugaban fuera hasta anochecer tranquilamente", "it": "bambini giocavano fuori fino alla sera tardi", "nl": "kinderen speelden buiten totdat avond werd"}
     got = {k: Q.likely_language(v.split()) for k, v in held.items()}
     assert all(v in (k, None) for k, v in got.items()) and sum(v is not None for v in got.values()) >= 4
+
+
+def texts_of(spark, texts):
+    rows = [(t, hashlib.md5(t.encode()).digest(), T.closing(t)[0], T.bands([t])[0]) for t in texts]
+    return spark.createDataFrame(rows, "text string, text_key binary, form string, keys array<long>")
+
+
+def met_outright(texts):
+    """The texts that end early in any text whose bands they look at, by comparing all with all."""
+    keys = T.bands(texts)
+    looks = [set(k[-T.LOOKED * T.BANDS :]) if T.closing(t)[0] not in ("end", "blank") else set() for t, k in zip(texts, keys)]
+    return {a for a, x in zip(texts, looks) for b, y in zip(texts, keys) if a != b and x & set(y) and T.ends_early(a, b)}
+
+
+HEAD = "the narrow window filters every batch before the mask is applied here Answer: "
+
+
+@pytest.mark.parametrize("others", [1, T.DIRECT + 20])
+def test_a_whole_that_is_not_the_longest_of_its_bands(spark, others):
+    """Longer texts that share the beginning stand between a cut copy and its whole, in a small band and in a large one."""
+    longer = [f"{HEAD}{7000 + i} and {'the queue is drained again ' * (2 + i % 3)}until {i}." for i in range(others)]
+    texts = [HEAD + "60", HEAD + "604 is what remains.", *longer]
+    got = {r.text for r in texts_of(spark, texts).join(T.aligned_early(texts_of(spark, texts)), "text_key", "left_semi").collect()}
+    assert got == met_outright(texts) == {HEAD + "60"}
+
+
+@pytest.mark.parametrize("direct", [1, 6, 1000])
+def test_every_longer_text_of_a_band_is_met(spark, monkeypatch, direct):
+    monkeypatch.setattr(T, "DIRECT", direct)
+    rng = random.Random(8)
+    words = ["alpha", "beta", "Gamma", "delta", "omega", "the", "of", "ΟΔΟΣ", "İzmir", "求", "数", "x1", "42"]
+    made = lambda n: [rng.choice(words) + rng.choice(["", "", "", ",", "."]) for _ in range(n)]
+    heads = [made(8), made(14), made(26)]
+    wholes = [head + made(rng.randrange(2, 40)) for head in heads for _ in range(45)]
+    texts = [" ".join(w) for w in wholes]
+    for w in wholes:
+        cut = w[: rng.randrange(8, len(w) + 1)]
+        cut = [rng.choice(words) if rng.random() < 0.04 else x for x in cut]
+        text = " ".join(cut)
+        texts.append(text[: len(text) - rng.randrange(0, 4)] + rng.choice(["", "", " ", "\n\t", " ", "!"]))
+    texts = sorted(set(texts))
+    want = met_outright(texts)
+    d = texts_of(spark, texts)
+    got = {r.text for r in d.join(T.aligned_early(d), "text_key", "left_semi").collect()}
+    assert got == want and len(want) > 50
+
+
+def test_texts_that_may_end_early():
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(40)}" for _ in range(60)]
+    made = [" ".join(x if rng.random() > 0.05 else "other" for x in base[: rng.randrange(1, 60)]) for _ in range(60)] + ["", " ", "la la la la la la"]
+    pairs = [(a, b) for a in made for b in made]
+    may = T.may_end_early([a for a, _ in pairs], [b for _, b in pairs])
+    assert all(m for m, (a, b) in zip(may, pairs) if T.ends_early(a, b)) and 0 < sum(may) < len(pairs)
