@@ -28,6 +28,7 @@ from millrace.llm import wordgrid as W
 from millrace.session import written
 
 SHINGLE, SIMILARITY = 5, 0.8
+_MULT = np.uint64(0x9E3779B97F4A7C15)
 #: Bands of each level, min-hashes of each band, words after the level that must be equal, levels at which a text looks.
 BANDS, ROWS, FOLLOWING, LOOKED = 2, 1, 2, 4
 #: Members of a band up to which all are met outright; those of a larger band are met by their shingles.
@@ -112,13 +113,13 @@ def levels(words: int) -> list[int]:
     return out
 
 
-def reach(level: int) -> int:
-    """Words of the beginnings that a text which looks at this level can align with."""
-    size, longest = float(SHINGLE), 0
-    for _ in range(level + LOOKED + 1):
-        longest = int(size) + FOLLOWING
-        size = max(size * 2**0.5, size + 3)
-    return longest + longest // 4 + SHINGLE
+def reach(level: int) -> tuple[int, int]:
+    """Words of a level, and of the beginnings that a text which looks at it can align with."""
+    sizes = [float(SHINGLE)]
+    for _ in range(level + LOOKED):
+        sizes.append(max(sizes[-1] * 2**0.5, sizes[-1] + 3))
+    longest = int(sizes[-1]) + FOLLOWING
+    return int(sizes[level]), longest + longest // 4 + SHINGLE
 
 
 def _folded(text: str) -> str:
@@ -127,40 +128,54 @@ def _folded(text: str) -> str:
     return (low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)).replace("ς", "σ")
 
 
-POSTED = "key long, text_key binary, size int, band long, way int, need int"
+POSTED = "text_key binary, size int, key long, level int, way int, need int"
 
 
-def posted(texts: list[str], places: list[list[tuple[int, int, bool]]]) -> list[list[tuple[int, int | None, int | None, int | None]]]:
-    """For each text and each (band, level, looks) of it: (key, None, None, None) of all by which it may be met in the band, and
-    where it looks (key, band, way, need), in two ways. A text that it is an early end of has, where it can align,
+def posted(texts: list[str], places: list[list[tuple[int, bool]]]) -> tuple[np.ndarray, ...]:
+    """For each text and each (level, looks) of it rows of text, key, level, way, need: the keys by which it may be met there, of
+    level -1, and where it looks those it asks for, in two ways. Texts of one band have the words after its level in common,
+    which go into each key; a text that another is an early end of has, where it can align,
     way 0: one of any `need` of its shingles but for that of its last word, which may be cut;
     way 1: its last word, or the word before it with one after that begins with the same letter.
     """
     g = W.grid([_folded(t) for t in texts], lower=False)
     h, at = W.shingles(g, SHINGLE)
-    edges = np.searchsorted(at, g.first)
     letters, which = np.unique(g.points[g.start], return_inverse=True)
     lead = np.array([ord(chr(c).lower()[0]) for c in letters], np.uint64)[which]
+    text, level, looks = np.array([(d, x, y) for d, p in enumerate(places) for x, y in p], np.int64).reshape(-1, 3).T
+    size, stop = np.array([reach(x) for x in range(level.max(initial=0) + 1)]).T
+    salt = level.astype(np.uint64)
     with np.errstate(over="ignore"):
+        for k in range(FOLLOWING):
+            salt = W.mix(salt * _MULT ^ g.hash[g.first[text] + size[level] + k])
         word = W.mix(g.hash + np.uint64(1))
         ending = W.mix(g.hash[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ lead[1:])
-    out = []
-    for d, bands_of in enumerate(places):
-        lo, hi = int(g.first[d]), int(g.first[d + 1])
-        parts = (h[edges[d] : edges[d + 1]], word[lo:hi], ending[lo : hi - 1])
-        rows: list[tuple[int, int | None, int | None, int | None]] = []
-        for band, level, looks in bands_of:
-            salt = np.uint64(band & (1 << 64) - 1)
-            with np.errstate(over="ignore"):
-                shingles, words, endings = (W.mix(x[: reach(level)] * np.uint64(0x9E3779B97F4A7C15) ^ salt).view(np.int64) for x in parts)
-            rows += [(k, None, None, None) for k in np.unique(np.concatenate((shingles, words, endings))).tolist()]
-            if looks:
-                sure = np.unique(shingles[:-1]).tolist()
-                need = min(len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1, len(sure))
-                rows += [(k, band, 0, need) for k in sure]
-                rows += [(int(k), band, 1, 2) for k in (words[-1], endings[-1])]
-        out.append(rows)
-    return out
+    edges = np.searchsorted(at, g.first)
+    shingles, words = edges[text + 1] - edges[text], g.counts()[text]
+
+    def keys(source: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and key of each of the first n values of each place."""
+        place = np.repeat(np.arange(len(n)), n)
+        with np.errstate(over="ignore"):
+            found = W.mix(source[begin[place] + np.arange(len(place)) - (np.cumsum(n) - n)[place]] * _MULT ^ salt[place]).view(np.int64)
+        return place, found
+
+    def once(*parts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        place, found = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((found, place))
+        place, found = place[order], found[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (found[1:] != found[:-1])
+        return place[new], found[new]
+
+    first, part = g.first[text], stop[level]
+    held = once(keys(h, edges[text], np.minimum(shingles, part)), keys(word, first, np.minimum(words, part)), keys(ending, first, np.minimum(words - 1, part)))
+    sure = once(keys(h, edges[text], np.where(looks, shingles - 1, 0)))
+    last = once(keys(word, first + words - 1, looks), keys(ending, first + words - 2, looks))
+    need = shingles - np.ceil(SIMILARITY * shingles - 1e-9).astype(np.int64) + 1
+    place = np.concatenate((held[0], sure[0], last[0]))
+    way = np.repeat([-1, 0, 1], [len(held[0]), len(sure[0]), len(last[0])])
+    return text[place], np.concatenate((held[1], sure[1], last[1])), np.where(way < 0, -1, level[place]), way, np.where(way == 0, need[place], 2)
 
 
 def bands(texts: list[str]) -> list[list[int]]:
@@ -341,26 +356,27 @@ def aligned_early(texts: DataFrame) -> DataFrame:
 
 def _alike(hot: DataFrame, settled: DataFrame, known: DataFrame) -> DataFrame:
     """text_key, other: texts of large bands that look and aren't settled, with each longer one that holds one of their rarest keys."""
-    places = hot.join(settled.withColumn("done", F.lit(True)), "text_key", "left").groupBy("text_key").agg(F.first("size").alias("size"), F.first("seen").alias("seen"), F.collect_list(F.struct("band", F.expr(f"pos div {BANDS}"), F.expr("looks and done is null"))).alias("places"))
+    level = hot.groupBy("text_key", F.expr(f"pos div {BANDS}").alias("level")).agg(F.first("size").alias("size"), F.first("seen").alias("seen"), F.max("looks").alias("looks"))
+    level = level.join(settled.withColumn("done", F.lit(True)), "text_key", "left")
+    places = level.groupBy("text_key").agg(F.first("size").alias("size"), F.first("seen").alias("seen"), F.collect_list(F.struct("level", F.expr("looks and done is null"))).alias("places"))
     whole = places.join(known.select("text_key", "text"), "text_key").dropDuplicates(["text_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, CHUNK) for whole in batches for i in range(0, whole.num_rows, CHUNK)):
-            ids, size, seen = (b.column(k).to_pylist() for k in range(3))
-            found = posted(b.column(4).to_pylist(), [[tuple(p.values()) for p in x] for x in b.column(3).to_pylist()])
-            rows = [(k, i, n if band is None else s, band, way, need) for i, n, s, x in zip(ids, size, seen, found) for k, band, way, need in x]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in POSTED.split(", ")])
+            size, seen = (b.column(k).to_pylist() for k in (1, 2))
+            text, key, level, way, need = posted(b.column(4).to_pylist(), [[tuple(p.values()) for p in x] for x in b.column(3).to_pylist()])
+            sizes = np.where(way < 0, np.array(size, np.int32)[text], np.array(seen, np.int32)[text])
+            arrays = [b.column(0).take(pa.array(text)), pa.array(sizes, pa.int32()), pa.array(key), *(pa.array(x, pa.int32()) for x in (level, way, need))]
+            yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in POSTED.split(", ")])
 
     rows = written(whole.select("text_key", "size", "seen", "places", "text").mapInArrow(run, POSTED), "posted")
-    held = rows.where("band is null").select("key", F.col("text_key").alias("other"), F.col("size").alias("_size"))
+    held = rows.where("level < 0").select("key", F.col("text_key").alias("other"), F.col("size").alias("_size"))
     often = held.groupBy("key").agg(F.count("*").alias("often"))
-    # windows over a text's own keys in a band
-    rank = F.row_number().over(Window.partitionBy("text_key", "band", "way").orderBy("often", "key"))
-    asked = rows.where("band is not null").join(often, "key").withColumn("rank", rank).where("rank <= need")
-    asked = asked.withColumn("met", F.sum("often").over(Window.partitionBy("text_key", "band", "way")))
-    asked = asked.withColumn("best", F.min(F.struct("met", "way")).over(Window.partitionBy("text_key", "band"))).where("way = best.way and often > 1")
+    # windows over a text's own keys at a level
+    rank = F.row_number().over(Window.partitionBy("text_key", "level", "way").orderBy("often", "key"))
+    asked = rows.where("level >= 0").join(often, "key").withColumn("rank", rank).where("rank <= need")
+    asked = asked.withColumn("met", F.sum("often").over(Window.partitionBy("text_key", "level", "way")))
+    asked = asked.withColumn("best", F.min(F.struct("met", "way")).over(Window.partitionBy("text_key", "level"))).where("way = best.way and often > 1")
     return asked.join(held, "key").where("text_key <> other and _size > size").select("text_key", "other").distinct()
 
 

@@ -219,3 +219,17 @@ def test_texts_that_may_end_early():
     pairs = [(a, b) for a in made for b in made]
     may = T.may_end_early([a for a, _ in pairs], [b for _, b in pairs])
     assert all(m for m, (a, b) in zip(may, pairs) if T.ends_early(a, b)) and 0 < sum(may) < len(pairs)
+
+
+def test_cut_pairs_of_both_tables_meet_their_whole(spark, tmp_path):
+    """The cut copy ends like an answer, so only its whole, which is not the longest of its bands, shows that it is cut."""
+    texts = [HEAD + "60", HEAD + "604 is what remains.", f"{HEAD}7000 and the queue is drained again until 1."]
+    vocab = sorted(set("".join(texts)))
+    ids = {c: i + 1 for i, c in enumerate(vocab)}
+    spark.createDataFrame([(0, "<pad>", True), *((i, c, False) for c, i in ids.items())], "token_id long, piece string, is_special boolean").write.parquet(f"{tmp_path}/vocab.parquet")
+    rows = [(k, "s", [ids[c] for c in t], [0] * 4, [0] * 4 + [1] * len(t), "clash") for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "row_idx long, data_source string, responses array<long>, prompts array<long>, attention_mask array<int>, response string").write.parquet(f"{tmp_path}/rollout.parquet")
+    chats = [(10 + k, [("user", "How many rows remain?"), ("assistant", t)]) for k, t in enumerate(texts)]
+    spark.createDataFrame(chats, "result_id long, convo array<struct<role:string,content:string>>").write.parquet(f"{tmp_path}/eval_results.parquet")
+    assert {(r.src, r.record_id, r.defect) for r in Q.p5_found(spark, str(tmp_path)).collect()} == {("rollout", 0, "truncated"), ("eval_results", 10, "truncated")}
+    assert [r.row_idx for r in T.p4_found(spark, str(tmp_path)).collect()] == [0]
