@@ -9,6 +9,7 @@ responses come from problem 4's operator. One pass over the rows besides that op
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,13 +26,14 @@ REFUSAL = 0.8
 #: A response is in the wrong language if at most this part of what can be told is in the wanted one.
 WANTED_SHARE = 0.5
 
-_WORD = re.compile(r"[^\W_]+", re.U)
+_WORD, _PLAIN_WORD = re.compile(r"[^\W_]+", re.U), re.compile(r"[a-z0-9]+")
 _WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 
 
 def words(text: str) -> list[str]:
     """Words in lower case; each ideograph is a word."""
-    return _WORD.findall(_WIDE.sub(lambda m: f" {m[0]} ", text.lower()))
+    low = text.lower()
+    return _PLAIN_WORD.findall(low) if low.isascii() else _WORD.findall(_WIDE.sub(lambda m: f" {m[0]} ", low))
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -75,11 +77,29 @@ REFUSALS = [
     "无法回答", "无法提供", "不能提供", "不能回答", "只能拒绝", "必须拒绝", "无法协助", "不能协助", "无法帮助", "不能帮助", "无可奉告", "不便回答", "拒绝回答", "无法满足", "不能满足", "帮不了", "无法完成这个请求", "不予回答", "不能继续",
 ]
 #: A template with these first words refuses only when nothing but the refusal follows; results after it undo it.
-_RESULT = re.compile(r"\\boxed\{[^}]|####\s*\S|(?:answer|ergebnis|antwort|résultat|réponse|resultado|respuesta|result|答案|结果)\s*(?:is|:|：|是|ist|est|es)\s*\\?\w|```\s*\n\S|\d\s*[-+*×/]\s*\d+\s*=|=\s*\d", re.I)
+_STATED = r"\s*(?:is|:|：|是|ist|est|es)\s*\\?\w"
+#: Forms of a result in lower case, each with what it can't lack.
+_RESULT_FORMS = [("####", r"####\s*\S"), ("\\boxed{", r"\\boxed\{[^}]"), ("=", r"=\s*\d"), *((w, w + _STATED) for w in "answer ergebnis antwort résultat réponse resultado respuesta result 答案 结果".split()), ("```", r"```\s*\n\S"), ("=", r"\d\s*[-+*×/]\s*\d+\s*=")]
+_RESULT = re.compile("|".join(p for _, p in _RESULT_FORMS), re.I)
+_RESULT_FORMS = [(mark, re.compile(p)) for mark, p in _RESULT_FORMS]
+#: Letters that a pattern takes for s and i in other case, though their lower case is another.
+_FOLDED = re.compile("[ſıİ]")
+
+
+def gives_result(text: str) -> bool:
+    """Whether a result is given, as `_RESULT` says: each form is looked for only where the text holds what it can't lack."""
+    low = text.lower()
+    if not low.isascii() and _FOLDED.search(text):
+        return _RESULT.search(text) is not None
+    return any(mark in low and form.search(low) for mark, form in _RESULT_FORMS)
+
+
+_REFUSAL_WORD, _PLAIN_REFUSAL_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*"), re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
 
 
 def _refusal_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:['’][^\W_]+)*", _WIDE.sub(lambda m: f" {m[0]} ", text.lower().replace("’", "'")))
+    low = text.lower().replace("’", "'")
+    return _PLAIN_REFUSAL_WORD.findall(low) if low.isascii() else _REFUSAL_WORD.findall(_WIDE.sub(lambda m: f" {m[0]} ", low))
 
 
 #: Families of templates: a row of slots, of which each takes any of its phrases, and the words that may stand between two.
@@ -121,19 +141,15 @@ _KEYS = re.compile("|".join(sorted({re.escape(t[-1]) for t in _TEMPLATES if t},
 
 def is_refusal(response: str | None) -> bool:
     """Whether the response declines: a template lies in it, in order and close together, and no result is given."""
-    if not response or _RESULT.search(response):
+    if not response or gives_result(response):
         return False
     w = _refusal_words(response)
-    at: dict[str, list[int]] = {}
-    for i, x in enumerate(w):
-        at.setdefault(x, []).append(i)
-    for first, templates in _BY_FIRST.items():
-        for i in at.get(first, ()):
-            for t in templates:
-                room = w[i : i + len(t) + 3]
-                if common_words(t, room) >= max(REFUSAL * len(t), min(len(t), 3)) and (len(t) > 3 or common_words(t, room[: len(t) + (len(t) > 1 and "*" in t)]) == len(t)):
-                    return True
-    return any(_aligned(w, i, slots, gap) for first, families in _OPENINGS.items() for i in at.get(first, ()) for gap, slots in families)
+    for i, first in enumerate(w):
+        for t in _BY_FIRST.get(first, ()):
+            room = w[i : i + len(t) + 3]
+            if common_words(t, room) >= max(REFUSAL * len(t), min(len(t), 3)) and (len(t) > 3 or common_words(t, room[: len(t) + (len(t) > 1 and "*" in t)]) == len(t)):
+                return True
+    return any(_aligned(w, i, slots, gap) for i, first in enumerate(w) for gap, slots in _OPENINGS.get(first, ()))
 
 
 # --------------------------------------------------------------------------------------------------- language
@@ -205,30 +221,39 @@ def likely_language(words: list[str]) -> str | None:
 
 _LANGUAGE_OF = {w: [k for k, v in FUNCTION_WORDS.items() if w in v] for v in FUNCTION_WORDS.values() for w in v}
 _MARKS = [("pt", re.compile("[ãõ]")), ("de", re.compile("[ßäöü]")), ("es", re.compile("[ñáíóú]")), ("fr", re.compile("[àâçêëîïôùûœè]"))]
+#: One search tells whether any of SCRIPTS or of _MARKS can be found.
+_SCRIPT, _MARK = (re.compile("[" + "".join(p.pattern.strip("[]") for _, p in x) + "]") for x in (SCRIPTS, _MARKS))
 _CODE = re.compile(r"```.*?(?:```|\Z)|\\[a-z]+\{[^}]*\}", re.S)
 
 
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?。！？\n]|'")
+_STOP = re.compile(r"[.!?。！？\n]")
+_LETTERS, _PLAIN_LETTERS = re.compile(r"[^\W\d_]+|'"), re.compile(r"[a-z]+|'")
 _TAIL = re.compile(r"\b(?:[ldnsjmc]|qu)['’]")
 
 
-def languages(text: str | None) -> dict[str, int]:
-    """Characters of the text by language; sentences that can't be told are left out."""
-    out: dict[str, int] = {}
+def _told(text: str | None) -> Iterator[tuple[str, int, int]]:
+    """Of each sentence that can be told its language and characters, and how many may follow at most."""
     if not text:
-        return out
+        return
     if "\\" in text or "`" in text:
         text = _CODE.sub(" ", text)
     low = text.lower()
-    sentence: list[str] = []
-    for token in [*_TOKEN.findall(low), "."]:
-        if token not in ".!?。！？\n":
-            sentence.append(token)
-        elif sentence:
+    letters, each = (_PLAIN_LETTERS, 1) if low.isascii() else (_LETTERS, 2)  # an ideograph counts twice
+    left = len(low)
+    for part in _STOP.split(low):
+        left -= len(part)
+        sentence = letters.findall(part)
+        if sentence:
             language, size = _vote(sentence)
             if language:
-                out[language] = out.get(language, 0) + size
-            sentence = []
+                yield language, size, each * left
+
+
+def languages(text: str | None) -> dict[str, int]:
+    """Characters of the text by language; sentences that can't be told are left out."""
+    out: dict[str, int] = {}
+    for language, size, _ in _told(text):
+        out[language] = out.get(language, 0) + size
     return out
 
 
@@ -237,7 +262,7 @@ def _vote(sentence: list[str]) -> tuple[str | None, int]:
     joined = " ".join(sentence)
     letters = len(joined) - joined.count(" ") - joined.count("'")
     plain = joined.isascii()
-    if not plain:
+    if not plain and _SCRIPT.search(joined):
         for k, pattern in SCRIPTS:
             n = len(pattern.findall(joined))
             if n > 0.1 * letters and k == "ja" or n > 0.3 * letters:
@@ -245,12 +270,10 @@ def _vote(sentence: list[str]) -> tuple[str | None, int]:
     if len(sentence) > 5 and len(set(sentence)) < 3:  # a loop of a syllable is in no language
         return None, 0
     votes: dict[str, float] = {}
-    for w in sentence:
-        known = _LANGUAGE_OF.get(w)
-        if known:
-            for k in known:
-                votes[k] = votes.get(k, 0) + 1 / len(known)
-    if not plain:
+    for known in filter(None, map(_LANGUAGE_OF.get, sentence)):
+        for k in known:
+            votes[k] = votes.get(k, 0) + 1 / len(known)
+    if not plain and _MARK.search(joined):
         for k, pattern in _MARKS:
             n = len(pattern.findall(joined))
             if n:
@@ -261,10 +284,9 @@ def _vote(sentence: list[str]) -> tuple[str | None, int]:
             votes["fr"] = votes.get("fr", 0) + min(n, 3)
     if not votes:
         return likely_language(sentence), letters
-    best = sorted(votes.items(), key=lambda x: -x[1])
-    if len(best) == 1 or best[0][1] > best[1][1]:
-        return best[0][0], letters
-    return None, 0
+    most = max(votes.values())
+    best = [k for k, v in votes.items() if v == most]
+    return (best[0], letters) if len(best) == 1 else (None, 0)
 
 
 #: How languages are named in a request.
@@ -290,7 +312,9 @@ def wanted_language(prompt: str | None) -> str | None:
     """The language a prompt asks for, or else the one it is written in; None if neither can be told."""
     if not prompt:
         return None
-    asked = _ASK.findall(prompt)
+    low = prompt.lower()
+    named = any(n in low for n in _NAMED) or not low.isascii() and _FOLDED.search(prompt)
+    asked = _ASK.findall(prompt) if named else []
     if asked:
         return _NAMED[asked[-1].lower()]
     found = languages(prompt)
@@ -300,9 +324,15 @@ def wanted_language(prompt: str | None) -> str | None:
 def wrong_language(prompt: str | None, response: str | None) -> bool:
     """Whether the response is for the most part not in the wanted language. What can't be told is not wrong."""
     wanted = wanted_language(prompt)
-    found = languages(response)
-    total = sum(found.values())
-    return bool(wanted and total) and found.get(wanted, 0) < WANTED_SHARE * total
+    if not wanted:
+        return False
+    held = total = 0
+    for language, size, left in _told(response):
+        total += size
+        held += size if language == wanted else 0
+        if held >= WANTED_SHARE * (total + left):  # whatever follows
+            return False
+    return bool(total) and held < WANTED_SHARE * total
 
 
 def defects(prompt: str | None, response: str | None) -> list[str]:

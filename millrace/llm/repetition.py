@@ -35,13 +35,27 @@ THRESHOLD = 0.4
 CHUNK = 2000
 
 
+def _equal(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries equal an earlier entry, and which equal any other."""
+    again, shared = np.zeros((2, len(key)), bool)
+    if not len(key):
+        return again, shared
+    order = np.argsort(key)  # equal entries in any order: the earliest is looked for among them
+    ranked = key[order]
+    same = ranked[1:] == ranked[:-1]
+    later = np.concatenate(([False], same))
+    either = later.copy()
+    either[:-1] |= same
+    some, later = order[either], later[either]
+    if len(some):
+        shared[some] = again[some] = True
+        again[np.minimum.reduceat(some, np.flatnonzero(~later))] = False
+    return again, shared
+
+
 def _repeated(key: np.ndarray) -> np.ndarray:
     """Which entries equal an earlier entry."""
-    order = np.argsort(key, kind="stable")
-    same = np.concatenate(([False], key[order][1:] == key[order][:-1]))
-    out = np.zeros(len(key), bool)
-    out[order] = same
-    return out
+    return _equal(key)[0]
 
 
 def _share(flag: np.ndarray, weight: np.ndarray, g: W.Grid) -> np.ndarray:
@@ -56,9 +70,15 @@ def statistics(texts: list[str]) -> np.ndarray:
     with np.errstate(over="ignore"):
         salt = W.mix(g.doc.astype(np.uint64) + np.uint64(0xA5)) if n else g.hash
         columns = []
+        alike, size = np.ones(n, bool), 1  # words at which a run of `size` words begins that stands elsewhere too
         for k in RUNS:
-            h, at = W.shingles(g, k)
-            again = _repeated(h ^ salt[at]) if len(at) else np.zeros(0, bool)
+            # a run of k words stands elsewhere only if the shorter runs that it begins and ends with do
+            m = max(n - k + 1, 0)
+            at = np.flatnonzero(alike[:m] & alike[k - size : k - size + m] & (g.doc[:m] == g.doc[n - m :]))
+            h = W.runs(g, at, k)
+            again, shared = _equal(h ^ salt[at])
+            alike, size = np.zeros(n, bool), k
+            alike[at[shared]] = True
             flag = W.covered(n, at[again], k) if n else np.zeros(0, bool)
             columns.append(_share(flag, weight, g))
             if k == 8:

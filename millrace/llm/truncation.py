@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
@@ -53,6 +54,8 @@ def blank(text: str | None) -> bool:
     """Whether nothing can be seen: white space, zero-width characters or empty markup only."""
     if not text:
         return True
+    if text.lstrip()[:1].isalnum():  # nothing that can't be seen begins so
+        return False
     rest = re.sub(r"<(think|answer|b|p|div|span)>\s*</\1>|\\(?:boxed|text)\{\s*\}|```\w*\s*```|<[^<>]*>|[\s​-‏⁠﻿\xad]", "", text)
     return not rest or not re.sub(r"[`$*_#>|~-]", "", rest)
 
@@ -65,6 +68,22 @@ def open_marks(text: str) -> bool:
     return at >= 0 and text.count("{", at) > text.count("}", at)
 
 
+_LAST_WORD = re.compile(r"\W*([^\W\d_]+)")
+
+
+def _answers(t: str) -> bool:
+    """Whether a text without space at its end ends in a form of `_ANSWER`. All but boxes and fences are of three pieces
+    between spaces at most, and those two begin at the last mark of their kind."""
+    pieces = t.rsplit(None, 3)
+    if _ANSWER.search(t, len(pieces[0]) if len(pieces) > 3 else 0):
+        return True
+    if t.endswith(("}", "}$")):
+        at = t.rfind("\\boxed{")
+    else:
+        at = t.rfind("```", 0, len(t) - 3) if t.endswith("```") else -1
+    return at >= 0 and _ANSWER.match(t, at) is not None
+
+
 def closing(text: str) -> tuple[str, str]:
     """How a text ends: ('end' | 'answer' | 'open' | 'word' | 'blank', its last word in lower case)."""
     if blank(text):
@@ -72,29 +91,35 @@ def closing(text: str) -> tuple[str, str]:
     t = text.rstrip().rstrip("​‌‍﻿").rstrip()
     if open_marks(t):
         return "open", ""
-    if _ANSWER.search(t) or len(t) <= BARE and _BARE.fullmatch(t):
+    if _answers(t) or len(t) <= BARE and _BARE.fullmatch(t):
         return "answer", ""
     if t.rstrip(_CLOSERS)[-1:] and t.rstrip(_CLOSERS)[-1] in END_MARKS:
         return "end", ""
-    m = re.search(r"([^\W\d_]+)\W*$", t)
-    word = m[1].lower() if m else ""
+    m = _LAST_WORD.match(t[::-1])  # read from the end, in time that doesn't grow with the words before it
+    word = m[1][::-1].lower() if m else ""
     if word and ord(word[-1]) > 0x2E80:
         word = word[-1]
     return "word", word
 
 
-_LINE_WORD = re.compile(r"([^\W\d_]+)([ \t]*\r?\n(?=\s*\S))?")
+_ANY_WORD = re.compile(r"[^\W\d_]+")
 
 
 def closing_counts(texts: list[str]) -> dict[str, list[int]]:
     """For each word how often it occurs, and how often it closes a line without an end mark with more text below."""
-    out: dict[str, list[int]] = {}
+    every: Counter[str] = Counter()
+    closes: Counter[str] = Counter()
     for t in texts:
-        for w, close in _LINE_WORD.findall(t.lower()):
-            w = w[-1] if ord(w[-1]) > 0x2E80 else w
-            c = out.setdefault(w, [0, 0])
-            c[0] += 1
-            c[1] += close != ""
+        low = t.lower()
+        every.update(_ANY_WORD.findall(low))
+        if "\n" in low:
+            ends = (_ANY_WORD.match(line.removesuffix("\r").rstrip(" \t")[::-1]) for line in low.rstrip().split("\n")[:-1])
+            closes.update(m[0][::-1] for m in ends if m)
+    out: dict[str, list[int]] = {}
+    for w, n in every.items():
+        c = out.setdefault(w[-1] if ord(w[-1]) > 0x2E80 else w, [0, 0])
+        c[0] += n
+        c[1] += closes[w]
     return out
 
 
@@ -264,6 +289,8 @@ def may_end_early(shorts: list[str], longs: list[str]) -> list[bool]:
     h, at = W.shingles(g, SHINGLE)
     edges, own, words = np.searchsorted(at, g.first).tolist(), h.tolist(), g.counts().tolist()
     sets: dict[int, set[int]] = {}
+    lasts: dict[int, set[int]] = {}  # of a short text so many shingles that without them too few are left
+    wholes: dict[int, set[int]] = {}
     firsts: dict[int, dict[int, int]] = {}
     out = []
     for a, b in zip(shorts, longs):
@@ -271,13 +298,23 @@ def may_end_early(shorts: list[str], longs: list[str]) -> list[bool]:
         if len(b) <= len(a) or not a:
             out.append(False)
             continue
+        if b.startswith(a):
+            out.append(True)
+            continue
         if i not in sets:
             sets[i] = set(own[edges[i] : edges[i + 1]])
+            lasts[i] = set(own[max(edges[i], edges[i + 1] - int((1 - SIMILARITY) * len(sets[i])) - 2) : edges[i + 1]])
+        if j not in wholes:
+            wholes[j] = set(own[edges[j] : edges[j + 1]])
+        least = SIMILARITY * len(sets[i])
+        if len(sets[i]) - len(lasts[i]) < least and lasts[i].isdisjoint(wholes[j]) or len(shared := sets[i] & wholes[j]) < least:
+            out.append(False)
+            continue
         if j not in firsts:
             n = edges[j + 1] - edges[j]
             firsts[j] = dict(zip(reversed(own[edges[j] : edges[j + 1]]), range(n - 1, -1, -1)))
         stop, held = words[i] + words[i] // 4 + 1, firsts[j]  # shingles that begin before it lie in the part that can align
-        out.append(b.startswith(a) or sum(held.get(x, stop) < stop for x in sets[i]) >= SIMILARITY * len(sets[i]))
+        out.append(sum(held[x] < stop for x in shared) >= least)
     return out
 
 
@@ -297,7 +334,9 @@ def measured(rollout: DataFrame | None, vocab: DataFrame | None, evals: DataFram
         texts = [t or "" for t in text.to_pylist()]
         ends = [closing(t) for t in texts]
         loops = np.zeros(len(texts))
-        loose = [i for i, (f, _) in enumerate(ends) if f not in ("blank", "answer")]
+        # endless repetition counts at a source's limit only, which no record without a token count can be at
+        counted = n.is_valid().to_pylist()
+        loose = [i for i, (f, _) in enumerate(ends) if counted[i] and f not in ("blank", "answer")]
         if loose:
             loops[loose] = np.clip(forest.score(repetition.statistics([texts[i] for i in loose])), 0, 1)
         prompts = prompt.to_pylist() if prompt is not None else [None] * len(texts)

@@ -130,11 +130,16 @@ def shingles(g: Grid, k: int) -> tuple[np.ndarray, np.ndarray]:
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     at = np.flatnonzero(g.doc[:n] == g.doc[k - 1 :])
+    return runs(g, at, k), at
+
+
+def runs(g: Grid, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the run of k words that starts at each of the places."""
     with np.errstate(over="ignore"):
         h = np.zeros(len(at), np.uint64)
         for j in range(k):
             h = h * _BASE + g.hash[at + j]
-    return mix(h), at
+    return mix(h)
 
 
 def covered(n: int, at: np.ndarray, k: int) -> np.ndarray:

@@ -69,3 +69,20 @@ def test_loops_within_a_word():
     texts = ["3" * 160, "ha" * 80, SENTENCES[0] + " " + "0" * 140, SENTENCES[0] + " " + "ha" * 200, " ".join(SENTENCES) + " " + "q8" * 12, "".join(np.random.default_rng(1).choice(list("abcdefghijklmnop0123"), 200))]
     got = R.repeated_share(texts)
     assert (got[:4] >= R.THRESHOLD).all() and (got[4:] < R.THRESHOLD).all()
+
+
+def test_runs_within_repeated_runs_are_all_runs():
+    """Runs are looked for only where shorter ones repeat; the shares are those of all runs."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["s", "tt", "uuu", "v"]) for _ in range(rng.integers(0, 90))) for _ in range(60)] + ["", "a b", " ".join("abcdefghijklmnopqrstuvwxyz" * 2)]
+    got = R.statistics(texts)
+    for row, text in zip(got, texts):
+        words = text.split()
+        for j, k in enumerate(R.RUNS):
+            seen, inside = set(), set()
+            for i in range(len(words) - k + 1):
+                run = tuple(words[i : i + k])
+                inside |= set(range(i, i + k)) if run in seen else set()
+                seen.add(run)
+            weight = sum(len(words[i]) for i in inside) / max(sum(map(len, words)), 1)
+            assert abs(row[j] - weight) < 1e-9

@@ -1,5 +1,7 @@
 import hashlib
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -233,3 +235,41 @@ def test_cut_pairs_of_both_tables_meet_their_whole(spark, tmp_path):
     spark.createDataFrame(chats, "result_id long, convo array<struct<role:string,content:string>>").write.parquet(f"{tmp_path}/eval_results.parquet")
     assert {(r.src, r.record_id, r.defect) for r in Q.p5_found(spark, str(tmp_path)).collect()} == {("rollout", 0, "truncated"), ("eval_results", 10, "truncated")}
     assert [r.row_idx for r in T.p4_found(spark, str(tmp_path)).collect()] == [0]
+
+
+def test_the_last_word_is_read_from_the_end():
+    """A long word that a figure follows took time by its square."""
+    text = "a" * 30_000 + "1"
+    began = time.process_time()
+    assert T.closing(text) == ("word", "") and T.closing(text[:-1] + " -") == ("word", text[:-1])
+    assert time.process_time() - began < 1
+
+
+def test_only_counted_records_are_looked_at_for_endless_repetition(spark):
+    """The evaluations have no token counts, so no limit that an endless text could be at: the trees don't read them."""
+    r, v = frames(spark)
+    loop = "la " * 40
+    e = spark.createDataFrame([(1, [("user", "q"), ("assistant", loop)])], "result_id long, convo array<struct<role:string,content:string>>")
+    loops = {(x.src, x.record_id): x.loops for x in T.measured(r, v, e).collect()}
+    assert loops["rollout", 6] >= T.ENDLESS and loops["eval_results", 1] == 0
+
+
+PIECES = ["####", "###", " ", "\n", "```", "`", "\\boxed{", "\\BOXED{", "{", "}", "}$", "=", "= 4", "3 * 4 =", "×", "answer", "Answer:", "anſwer: 5", "Ergebnis ist", "RÉSULTAT est 3", "resultado es", "答案", "：", ":", "is", "İs", "17", "</b>", "</", ">", "\x1c", "\xa0", "求", "Σ", "é", "I", "word", "abc1", "."]
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_quick_ways_say_what_the_patterns_say(text):
+    assert Q.gives_result(text) == bool(Q._RESULT.search(text))
+    t = text.rstrip()
+    assert not t or T._answers(t) == bool(T._ANSWER.search(t))
+    last = re.search(r"([^\W\d_]+)\W*$", t)
+    if T.closing(t)[0] == "word":
+        word = last[1].lower() if last else ""
+        assert T.closing(t)[1] == (word[-1:] if word and ord(word[-1]) > 0x2E80 else word)
+    words: dict[str, list[int]] = {}
+    for w, close in re.findall(r"([^\W\d_]+)([ \t]*\r?\n(?=\s*\S))?", text.lower()):
+        c = words.setdefault(w[-1] if ord(w[-1]) > 0x2E80 else w, [0, 0])
+        c[0] += 1
+        c[1] += close != ""
+    assert T.closing_counts([text]) == words
